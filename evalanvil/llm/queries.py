@@ -6,27 +6,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalanvil.functions.keys import logical_id, model_key, norm_id
-from evalanvil.llm.pairs import LABELS, PairModel, sample_pairs, score_pairs
+from evalanvil.llm.mixing import draw, draw_shares
+from evalanvil.llm.packing import containers, pack
+from evalanvil.llm.pairs import LABELS, PairModel, sample_pairs, sampled, score_pairs
+from evalanvil.llm.quality import QualityModel, judge, sample_texts
 from evalanvil.llm.truncation import flag_truncated, length_spikes
 from evalanvil.plans.session import cut, read_table
 
 
-def answer_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """(row_id, source, dataset, prompt, text, chars, bytes): completions with their sample's prompt.
-
-    The id is a hash of the prompt, so any data set's copy of a sample gives it. The prompt is the
-    last message's content; samples that no table has leave it null.
-    """
-    last = F.try_element_at("messages", F.lit(-1))["content"]
-    prompts = (
-        read_table(spark, d, "samples")
-        .select(norm_id(F.col("id")).alias("sid"), last.alias("prompt"))
-        .where(F.col("sid").isNotNull() & F.col("prompt").isNotNull())
-        .groupBy("sid")
-        .agg(F.max("prompt").alias("prompt"))
-    )
+def _lines(spark: SparkSession, d: str) -> DataFrame:
     text = F.col("completion")
-    lines = read_table(spark, d, "completions").select(
+    return read_table(spark, d, "completions").select(
         "row_id",
         model_key(F.col("model")).alias("source"),
         F.concat_ws("/", "eval_id", "dataset").alias("dataset"),
@@ -35,14 +25,30 @@ def answer_pairs(spark: SparkSession, d: str) -> DataFrame:
         F.length(text).cast("long").alias("chars"),
         F.octet_length(text).cast("long").alias("bytes"),
     )
+
+
+def with_prompts(lines: DataFrame, samples: DataFrame) -> DataFrame:
+    """Completion lines with their sample's prompt (null if no table has the sample).
+
+    The id is a hash of the prompt, so any data set's copy of a sample gives it. The prompt is the
+    last message's content. A sample with a third of all lines makes one key hot on the side of the
+    lines; AQE's skew join splits it.
+    """
+    last = F.try_element_at("messages", F.lit(-1))["content"]
+    prompts = (
+        samples.select(norm_id(F.col("id")).alias("sid"), last.alias("prompt"))
+        .where(F.col("sid").isNotNull() & F.col("prompt").isNotNull())
+        .groupBy("sid")
+        .agg(F.max("prompt").alias("prompt"))
+    )
     return lines.join(prompts, "sid", "left").drop("sid")
 
 
 def _scored(spark: SparkSession, d: str) -> tuple[DataFrame, PairModel]:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
-    pairs = answer_pairs(spark, d)
-    model = PairModel.fit(sample_pairs(pairs))
-    return cut(score_pairs(pairs, model)), model
+    lines, samples = _lines(spark, d), read_table(spark, d, "samples")
+    model = PairModel.fit(sample_pairs(with_prompts(sampled(lines), samples)))
+    return cut(score_pairs(with_prompts(lines, samples), model)), model
 
 
 def _flagged(spark: SparkSession, d: str) -> tuple[DataFrame, PairModel]:
@@ -80,7 +86,49 @@ def p5_spikes(spark: SparkSession, d: str) -> DataFrame:
     return length_spikes(_scored(spark, d)[0].where(F.col("empty") < 0.5))
 
 
+def _judged(spark: SparkSession, d: str) -> DataFrame:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    documents = read_table(spark, d, "documents")
+    return judge(documents, QualityModel.fit(sample_texts(documents)))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Every document that is mostly not prose, with its kind."""
+    return _judged(spark, d).where("kind <> 'prose'").select("doc_id", "kind")
+
+
+def p8_stats(spark: SparkSession, d: str) -> DataFrame:
+    """Every document's statistics, with the verdict and its probability."""
+    return _judged(spark, d)
+
+
+def p6_pack(spark: SparkSession, d: str) -> DataFrame:
+    """Container, place and piece of every document, for each capacity."""
+    return pack(read_table(spark, d, "documents"), read_table(spark, d, "pack_limits"))
+
+
+def p6_fill(spark: SparkSession, d: str) -> DataFrame:
+    """Containers and room left over per capacity."""
+    return containers(p6_pack(spark, d))
+
+
+def p7_draw(spark: SparkSession, d: str) -> DataFrame:
+    """The draw: documents in training order."""
+    return draw(read_table(spark, d, "documents"), read_table(spark, d, "mix_targets"))
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Target and real share of every source, and how often its documents were used."""
+    return draw_shares(p7_draw(spark, d), read_table(spark, d, "mix_targets"))
+
+
 QUERIES = {
+    "p6_pack": p6_pack,
+    "p6_fill": p6_fill,
+    "p7_draw": p7_draw,
+    "p7_shares": p7_shares,
+    "p8_found": p8_found,
+    "p8_stats": p8_stats,
     "p4_found": p4_found,
     "p5_found": p5_found,
     "p5_shares": p5_shares,
