@@ -203,7 +203,7 @@ CLOSERS = "\"'”’»)]}*_`> \t\r\n​"
 _BULLET = re.compile(r"\s*(?:[-*+•–]|\(?\d{1,3}[.)]|#\d+|\[[ xX]?\]|[a-zA-Z][.)])\s+")
 #: A short last segment that gives a value: an option's letter or a boxed value; or a number.
 _VALUE = re.compile(r"(?:(?<![^\W_])\(?[A-J]\)?|\\(?:boxed|fbox|framebox)\{[^{}]*\})\W{0,4}\Z|[:=]\s*\**[-+]?[\d.,]+ ?%?\W{0,4}\Z")
-_NUMBER = re.compile(r"[-+]?[\d.,]+ ?%?\W{0,4}\Z")
+_NUMBER = re.compile(r"[-+]?\d[\d.,]* ?%?\W{0,4}\Z")
 _SEGMENT = re.compile(r"[.!?。！？…]\W*\s+")
 _BROKEN = re.compile(r"(?:�|\\u?[0-9a-fA-F]{0,3}|&#?\w{1,6}|%[0-9a-fA-F]?|\ud83d|\xc3)\Z")
 _KEYLINE = re.compile(r"\s*(?:- )?\"?[\w ]{1,24}\"?:(?:\s|\Z)")
@@ -240,7 +240,7 @@ def ending(answer: str) -> dict:
     elif ":\n" in body[:120]:  # a line that announces what follows
         body = body[body.find(":\n") + 2 :].strip() or body
         head = body[:12]
-    if head[:1] in "{[" and (head[:2] != "[ " and head[:3] not in ("[x]", "[ ]") and ('"' in head or "\n" in head or head[:2] == "[{")):
+    if head[:1] in "{[" and (head[:2] != "[ " and head[:3] not in ("[x]", "[ ]") and ('"' in head or "\n" in head or head[:2] in ("[{", "{}", "[]"))):
         form = "json"
         depth = body.count("{") - body.count("}") + body.count("[") - body.count("]")
         if depth > 0 or body[-1:] not in "}]":
@@ -285,7 +285,7 @@ def ending(answer: str) -> dict:
     return {
         "form": form,
         "open": left,
-        "stop": _ends_well(s),
+        "stop": not left if form in ("json", "xml") else _ends_well(s),
         "last": words,
         "title": title,
         "broken": bool(_BROKEN.search(s)) and not s.endswith(("\\)", "\\]")),
