@@ -12,10 +12,11 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalanvil.functions.text import accuracy
+from evalanvil.operators.attempts import positions
 
 #: Samples that one subset search accepts; a larger pool is to be filtered or reduced first.
 MOST = 200_000
@@ -118,12 +119,20 @@ def top_agreement(scores: DataFrame, key: str, x: str, y: str, n: int = 5) -> Da
 def difficulty_bins(samples: DataFrame, group: str, passes: str, sample: str = "sample_id", bins: int = BINS) -> DataFrame:
     """samples with `bin` 0 (hardest) to bins - 1 within their group; a remainder goes to the last bins.
 
-    A group is ranked as a whole by one sort; a group with a third of all samples is one task's
-    spill-to-disk sort of (passes, id), without anything else in its rows.
+    Samples are ordered by (group, passes, id) with Spark's range sort and numbered per partition, so a
+    group with a third of all samples is spread over many tasks. Empty bins have no rows; a null group
+    is a group of its own; null passes come first.
     """
-    order = Window.partitionBy(group).orderBy(F.desc(passes), F.desc(sample))
-    keyed = samples.select(sample, group, passes).withColumn("bin", (F.lit(bins) - F.ntile(bins).over(order)).cast("int"))
-    return keyed
+    numbered = positions(samples.select(sample, group, passes), group, passes, sample)
+    sizes = numbered.groupBy(group).agg(F.min("position").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    sizes = sizes.withColumnRenamed(group, "__group")  # one row per group
+    placed = numbered.join(sizes, numbered[group].eqNullSafe(F.col("__group")))
+    rank, small = F.col("position") - F.col("__first"), F.floor(F.col("__n") / bins)
+    plain = F.lit(bins) - F.col("__n") % bins  # bins without one of the remainder
+    low = F.floor(F.try_divide(rank, small))
+    high = plain + F.floor((rank - small * plain) / (small + 1))
+    at = F.when(rank < small * plain, low).otherwise(high)
+    return placed.select(sample, group, passes, at.cast("int").alias("bin"))
 
 
 def allocate(sizes: dict[tuple, int], wanted: int) -> dict[tuple, int]:
