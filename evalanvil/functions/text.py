@@ -151,3 +151,19 @@ def accuracy(correct: Column, total: Column) -> Column:
 def stderr(p: Column, n: Column) -> Column:
     """The binomial standard error of a share, 0 if there is nothing."""
     return F.coalesce(F.sqrt(F.try_divide(p * (1 - p), n)), F.lit(0.0))
+
+
+def verdict(correct: Column) -> Column:
+    """PASS or FAIL; null fails."""
+    return F.when(F.coalesce(correct, F.lit(False)), "PASS").otherwise("FAIL")
+
+
+def shown_number(value: Column) -> Column:
+    """A metric as it is shown: whole numbers plainly, others with four digits; null is empty."""
+    whole = value == F.floor(value)
+    return F.when(value.isNull(), "").when(whole, F.format_string("%d", value.cast("long"))).otherwise(F.format_string("%.4f", value))
+
+
+def shown_share(value: Column) -> Column:
+    """A share in per cent with two digits; null is empty."""
+    return F.when(value.isNull(), "").otherwise(F.format_string("%.2f%%", value * 100))

@@ -134,6 +134,25 @@ def registry_status(registry: DataFrame, verified: DataFrame, model: str = "mode
     return registry.join(verified, model, "left").withColumn("status", F.coalesce("status", F.lit("missing")))
 
 
+def status_cell(has_check: Column | None = None) -> Column:
+    """What a table of runs shows for one: its state and, below it, what is missing, repeated or empty."""
+    c = F.col
+    count = lambda name, word: F.when(c(name) > 0, F.concat(c(name).cast("string"), F.lit(f" {word}")))
+    done = F.concat(c("have").cast("string"), F.lit("/"), c("total").cast("string"))
+    text = F.concat_ws("\n", F.concat_ws(" ", c("status"), done), count("missing", "missing"), count("duplicates", "repeated"), count("empty", "empty"))
+    return text if has_check is None else F.when(has_check, text).otherwise("-")
+
+
+def stray_ids(scores: DataFrame, inputs: DataFrame, on: list[str]) -> DataFrame:
+    """Keys that a scorer returned without having been given them; a correct scorer leaves this empty."""
+    return unknown_ids(scores, inputs, on)
+
+
+def answer_distribution(samples: DataFrame, answer: str, domain: tuple[str, ...] = ("A", "B", "C", "D"), by: list[str] | None = None) -> DataFrame:
+    """(by, answer, n) of gold answers over a fixed domain, with zeros."""
+    return histogram(samples, answer, domain, by=by)
+
+
 def strided_shard(items: DataFrame, order: str, shards: int) -> DataFrame:
     """items with `shard`: every shards-th item in order. Positions are counted by range-sorted
     partitions, so no task sees all rows (see positions)."""

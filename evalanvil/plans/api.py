@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from evalanvil import __version__
 from evalanvil.operators import panel
-from evalanvil.operators.attempts import duplicate_ids, offenders, summary, unknown_ids, verify
+from evalanvil.operators.attempts import duplicate_ids, offenders, stray_ids, summary, unknown_ids, verify
 from evalanvil.operators.scoring import SCORERS, score
 from evalanvil.plans.session import cut
 from evalanvil.sources import catalog
@@ -57,6 +57,9 @@ def score_completions(spark: SparkSession, eval_id: str, dataset: str, completio
     scores = cut(scores)
     metrics = SCORERS[eval_id].metrics(scores, truth)
     prompts = catalog.load_prompts(spark, eval_id, dataset, root)
+    stray = offenders(stray_ids(scores, prompts, ["id"]), "the scorer returned unknown ids")
+    if stray:
+        raise RuntimeError(stray)
     enriched = scores.select("id", "completion", "is_correct").join(prompts.dropDuplicates(["id"]), "id")
     return enriched.select("id", "messages", "completion", "is_correct"), metrics
 

@@ -24,11 +24,15 @@ from evalanvil.functions.text import (
     mcq_correct,
     model_slug,
     normalize_numeric,
+    shown_number,
+    shown_share,
     strip_reasoning,
     user_message,
+    verdict,
 )
 from evalanvil.operators import panel
 from evalanvil.operators.attempts import (
+    answer_distribution,
     duplicate_ids,
     histogram,
     length_filter,
@@ -37,12 +41,15 @@ from evalanvil.operators.attempts import (
     pass_at_1,
     pass_per_sample,
     registry_status,
+    status_cell,
+    stray_ids,
     strided_shard,
     summary,
     unknown_ids,
     verify,
     with_missing,
 )
+from evalanvil.operators.generate import generate
 from evalanvil.operators.instructions import tiers
 from evalanvil.operators.mathgrade import METHODS, grade_math
 from evalanvil.operators.recount import expected_ids
@@ -363,6 +370,35 @@ def instruction_categories(spark: SparkSession, d: str) -> DataFrame:
     return read_table(spark, d, "part").groupBy(category(F.replace("p_type", F.lit(" "), F.lit(":"))).alias("category")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def answer_letters(spark: SparkSession, d: str) -> DataFrame:
+    """Letters stated in answers to multiple-choice prompts per data set, over the fixed domain."""
+    stated = _answers(spark, d, "gpqa_diamond").select("dataset", mcq_answer(F.col("answer"), "ABCD")["extracted"].alias("answer"))
+    return answer_distribution(stated, "answer", by=["dataset"])
+
+
+def status_cells(spark: SparkSession, d: str) -> DataFrame:
+    return _verified(spark, d).select(*RUN, status_cell().alias("cell"))
+
+
+def shown_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    """Shares and verdicts of the panel's models as they are shown."""
+    a = F.col("accuracy")
+    return panel.model_accuracy(_panel(spark, d)).select("model", shown_number(a).alias("accuracy"), shown_share(a).alias("share"), verdict(a > 0.5).alias("verdict"))
+
+
+def stray_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Ids that scores name and no expected attempt has, counted per data set."""
+    stray = stray_ids(_scored(spark, d), _expected(spark, d), ["eval_id", "dataset", "id"])
+    return stray.groupBy("eval_id", "dataset").agg(F.count(F.lit(1)).alias("ids"))
+
+
+def echoed_prompts(spark: SparkSession, d: str) -> DataFrame:
+    """Completions of a model that repeats its prompt, for prompts of at most 24 words; longer ones get none."""
+    p = _prompts(spark, d).withColumn("words", F.size(F.split("prompt", " ")))
+    out = generate(p, lambda: lambda texts: texts, "prompt", "words", 25)
+    return out.select("eval_id", "dataset", "sid", F.length("completion").cast("long").alias("chars"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -372,6 +408,7 @@ QUERIES = {
         enriched_scores, blank_answers, model_slugs, release_name, next_2025_10, prompt_shards, prompt_length_stats, pass_vectors,
         unanimous_filter, dedup_behavior, full_accuracy, model_exclusion, difficulty_bins, cell_quotas, subset_drift, panel_tau,
         top3_agreement, instruction_tiers, representative_subset, held_out_cv, set_operations, instruction_categories,
+        answer_letters, status_cells, shown_verdicts, stray_scores, echoed_prompts,
     )
 }
 
@@ -529,5 +566,13 @@ ORACLES = {
         j AS (SELECT eval_id, dataset, model, CASE WHEN w AND h THEN 'both' WHEN w THEN 'expected' ELSE 'received' END AS side
           FROM (SELECT *, true AS w FROM want) FULL JOIN (SELECT *, true AS h FROM have) USING (eval_id, dataset, model, id))
         SELECT eval_id, dataset, model, side, count(*) AS n FROM j GROUP BY ALL""",
+    "answer_letters": f"""WITH c AS ({_CHOICES}) SELECT m.dataset, d.answer, count(c.row_id) AS n FROM (SELECT DISTINCT dataset FROM c) m CROSS JOIN
+        (SELECT unnest(['A', 'B', 'C', 'D']) AS answer) d LEFT JOIN c ON c.dataset = m.dataset AND c.extracted = d.answer GROUP BY ALL""",
+    "status_cells": f"""{_VERIFIED} SELECT eval_id, dataset, model, concat_ws(chr(10), status || ' ' || have || '/' || total, CASE WHEN missing > 0 THEN missing || ' missing' END,
+        CASE WHEN duplicates > 0 THEN duplicates || ' repeated' END, CASE WHEN empty > 0 THEN empty || ' empty' END) AS cell FROM verified""",
+    "shown_verdicts": f"""SELECT model, CASE WHEN a = floor(a) THEN CAST(CAST(a AS BIGINT) AS VARCHAR) ELSE printf('%.4f', a) END AS accuracy, printf('%.2f', a * 100) || '%' AS share,
+        CASE WHEN a > 0.5 THEN 'PASS' ELSE 'FAIL' END AS verdict FROM (SELECT model, sum(CAST(pass AS INT)) / CAST(count(*) AS DOUBLE) AS a FROM ({_PANEL}) GROUP BY ALL)""",
+    "stray_scores": f"""WITH {_EXPECTED} SELECT eval_id, dataset, count(*) AS ids FROM (SELECT DISTINCT eval_id, dataset, id FROM ({_LINES}) l ANTI JOIN expected USING (eval_id, dataset, id)) GROUP BY ALL""",
+    "echoed_prompts": f"""SELECT eval_id, dataset, sid, CASE WHEN len(string_split(prompt, ' ')) <= 24 THEN length(prompt) ELSE 0 END AS chars FROM ({_PROMPTS})""",
     "instruction_categories": "SELECT split_part(p_type, ' ', 1) AS category, count(*) AS n FROM part GROUP BY ALL",
 }

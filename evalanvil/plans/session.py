@@ -55,9 +55,24 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Tables written by `stored` in this process.
+_stored: list[str] = []
+
+
+def drop_stored(spark: SparkSession) -> int:
+    """Deletes the tables that `stored` wrote, once no DataFrame that reads them is needed any more."""
+    path_of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    n = 0
+    while _stored:
+        path = path_of(_stored.pop())
+        n += bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True))
+    return n
+
+
 def stored(df: DataFrame, *partition_by: str) -> DataFrame:
     """df written to the shared folder (partitioned) and read again, for storage that later steps prune."""
     path = os.path.join(shared_dir(df.sparkSession), f"t-{uuid.uuid4().hex}")
+    _stored.append(path)
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(*partition_by)

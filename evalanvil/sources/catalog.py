@@ -194,6 +194,22 @@ def save_rows(rows: DataFrame, eval_id: str, dataset: str, split: str | None = N
     return path
 
 
+def read_upstream_instructions(spark: SparkSession, path: str) -> DataFrame:
+    """Published instruction rows (JSON lines), reduced to the four stored columns."""
+    schema = "key string, instruction_id_list array<string>, prompt string, kwargs array<map<string,string>>"
+    rows = spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+    return rows.select("key", "instruction_id_list", "prompt", F.to_json("kwargs").alias("kwargs"))
+
+
+def ingest_initial(spark: SparkSession, eval_id: str, path: str, dataset: str, root: str | None = None) -> str:
+    """Lands a first data set from JSON lines; only structured-output data sets begin like this."""
+    if eval_id != "ifstruct":
+        raise NotImplementedError(f"{eval_id} has no initial data set of this form")
+    _, form, schema = EVALS[eval_id]
+    rows = spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+    return save_rows(rows, eval_id, dataset, None, root, {"source_dataset": "original"})
+
+
 # ---- completions -------------------------------------------------------------------------------------
 
 
