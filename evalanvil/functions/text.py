@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 from evalanvil.functions.keys import py_strip
 
 # The markers of reasoning and of the final channel.
+_PAIRS = r"(?is)<think>.*?</think>|\[THINK\].*?\[/THINK\]"
+_MARKED = r"(?i)think|assistantfinal|<\|"  # what any text with markers has
+_UP_TO_LAST_CLOSER = r"(?is)\A.*(?:</think>|\[/THINK\])"
 _STEPS = (
-    (r"(?is)<think>.*?</think>|\[THINK\].*?\[/THINK\]", ""),
     (r"(?is)\A.*?(?:</think>|\[/THINK\])", ""),
     (r"(?is)(?:<think>|\[THINK\]).*\z", ""),
     (r"(?s)\A.*?(?:<\|start\|>)?assistant(?:<\|channel\|>)?final(?:<\|message\|>)?", ""),
@@ -39,10 +41,20 @@ _NUMBER = r"(-?\d++(?:\.\d++)?)"
 
 def strip_reasoning(c: Column) -> Column:
     """The answer without reasoning: complete pairs, what precedes an orphan closer, what follows an
-    orphan opener, everything up to the final channel, a closing marker; stripped. Null stays null."""
-    for pattern, to in _STEPS:
-        c = F.regexp_replace(c, F.lit(pattern), F.lit(to))
-    return py_strip(c)
+    orphan opener, everything up to the final channel, a closing marker; stripped. Null stays null.
+
+    Pairs are sought up to the last closer only, so many openers without one cost no repeated scans.
+    """
+
+    def read(text: Column) -> Column:
+        head = F.regexp_extract(text, _UP_TO_LAST_CLOSER, 0)
+        tail = F.substring(text, F.length(head) + 1, F.length(text))
+        out = F.when(head == "", text).otherwise(F.concat(F.regexp_replace(head, F.lit(_PAIRS), F.lit("")), tail))
+        for pattern, to in _STEPS:
+            out = F.regexp_replace(out, F.lit(pattern), F.lit(to))
+        return py_strip(F.when(text.rlike(_MARKED), out).otherwise(text))
+
+    return _once(c, read)
 
 
 def _last(c: Column, pattern: str) -> Column:
@@ -56,15 +68,28 @@ def mcq_answer(response: Column, options: str = "ABCDEFGHIJ") -> Column:
     A response of one character states itself. Otherwise each pattern's last match counts, and a
     last match that is no option gives way to the next pattern, not to an earlier match.
     """
-    r = py_strip(response)
     none = F.lit(None).cast("string")
-    result = lambda letter, name: F.struct(letter.alias("extracted"), F.lit(name).alias("pattern"))
-    is_option = lambda letter: (F.length(letter) == 1) & F.contains(F.lit(options), letter)
-    found = F.struct(none.alias("extracted"), none.alias("pattern"))
-    for name, pattern in reversed(MCQ_PATTERNS):
-        letter = F.upper(_last(r, "(?U)" + pattern))
-        found = F.when(is_option(letter), result(letter, name)).otherwise(found)
-    return F.when((F.length(r) == 1) & is_option(F.upper(r)), result(F.upper(r), "single_letter")).otherwise(found)
+    nothing = F.struct(none.alias("extracted"), none.alias("pattern"))
+
+    def stated(name: str):
+        def result(letter: Column) -> Column:
+            """The result if a letter is an option, else null."""
+            good = (F.length(letter) == 1) & F.contains(F.lit(options), letter)
+            return F.when(good, F.struct(letter.alias("extracted"), F.lit(name).alias("pattern")))
+
+        return result
+
+    def read(r: Column) -> Column:
+        found = [F.when(F.length(r) == 1, stated("single_letter")(F.upper(r)))]
+        found += [_once(F.upper(_last(r, "(?U)" + pattern)), stated(name)) for name, pattern in MCQ_PATTERNS]
+        return F.coalesce(*found, nothing)
+
+    return F.coalesce(_once(py_strip(response), read), nothing)
+
+
+def _once(value: Column, f) -> Column:
+    """f(value) with value computed once, however often f names it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
 
 
 def mcq_correct(extracted: Column, gold: Column) -> Column:
