@@ -45,7 +45,9 @@ def split_reasoning(text: str) -> tuple[str, bool]:
     unfinished = False
     low = text.lower() if "<" in text or "[" in text else ""
     if "think" in low:
-        text = _PAIR.sub("", text)
+        end = max((m.end() for m in _CLOSER.finditer(text)), default=0)
+        if end:  # pairs end at a closer: many openers without one cost no repeated scans
+            text = _PAIR.sub("", text[:end]) + text[end:]
         m = _CLOSER.search(text)
         if m:
             text = text[m.end() :]
