@@ -10,10 +10,17 @@ from evalanvil.llm.mixing import draw, draw_shares
 from evalanvil.llm.packing import containers, pack
 from evalanvil.llm.pairs import LABELS, PairModel, sample_pairs, sampled, score_pairs
 from evalanvil.llm.quality import QualityModel, judge, sample_texts
+from evalanvil.llm.sampling import trained
 from evalanvil.llm.truncation import flag_truncated, length_spikes
 from evalanvil.plans.session import cut, read_table
 
 
+def _batches(spark: SparkSession, rows: int) -> None:
+    """Arrow batches of so many rows, and of 64 MB where Spark bounds bytes too: texts may be very long."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20))
+
+
 def _lines(spark: SparkSession, d: str) -> DataFrame:
     text = F.col("completion")
     return read_table(spark, d, "completions").select(
@@ -45,9 +52,9 @@ def with_prompts(lines: DataFrame, samples: DataFrame) -> DataFrame:
 
 
 def _scored(spark: SparkSession, d: str) -> tuple[DataFrame, PairModel]:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
+    _batches(spark, 4000)
     lines, samples = _lines(spark, d), read_table(spark, d, "samples")
-    model = PairModel.fit(sample_pairs(with_prompts(sampled(lines), samples)))
+    model = trained("pairs", sample_pairs(with_prompts(sampled(lines), samples)), PairModel.fit)
     return cut(score_pairs(with_prompts(lines, samples), model)), model
 
 
@@ -87,9 +94,9 @@ def p5_spikes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _judged(spark: SparkSession, d: str) -> DataFrame:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    _batches(spark, 1000)
     documents = read_table(spark, d, "documents")
-    return judge(documents, QualityModel.fit(sample_texts(documents)))
+    return judge(documents, trained("quality", sample_texts(documents), QualityModel.fit))
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
@@ -104,6 +111,7 @@ def p8_stats(spark: SparkSession, d: str) -> DataFrame:
 
 def p6_pack(spark: SparkSession, d: str) -> DataFrame:
     """Container, place and piece of every document, for each capacity."""
+    _batches(spark, 2000)
     return pack(read_table(spark, d, "documents"), read_table(spark, d, "pack_limits"))
 
 
@@ -114,6 +122,7 @@ def p6_fill(spark: SparkSession, d: str) -> DataFrame:
 
 def p7_draw(spark: SparkSession, d: str) -> DataFrame:
     """The draw: documents in training order."""
+    _batches(spark, 2000)
     return draw(read_table(spark, d, "documents"), read_table(spark, d, "mix_targets"))
 
 
