@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,6 +19,30 @@ DEFAULTS = {
 }
 
 
+#: Applications that have this package's code already.
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives the executors' Python this package (once per application), so nothing need be installed there.
+
+    Only code travels, through Spark's own file server; the archive lies with the driver.
+    """
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    archive = os.path.join(tempfile.mkdtemp(prefix="evalanvil-code-"), "evalanvil.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for folder, _, names in os.walk(package):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    out.write(path, os.path.relpath(path, os.path.dirname(package)))
+    spark.sparkContext.addPyFile(archive)
+    _shipped.add(app)
+
+
 def build_session(app: str = "evalanvil", master: str | None = None, **conf: str) -> SparkSession:
     """A session with DEFAULTS; `conf` takes keys with `__` for `.`."""
     builder = SparkSession.builder.appName(app)
@@ -25,11 +50,14 @@ def build_session(app: str = "evalanvil", master: str | None = None, **conf: str
         builder = builder.master(master)
     for key, value in {**DEFAULTS, **{k.replace("__", "."): v for k, v in conf.items()}}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship(spark)
+    return spark
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """The table `<folder>/<name>.parquet`; the caller selects the columns it needs."""
+    ship(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
