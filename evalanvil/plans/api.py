@@ -68,7 +68,9 @@ def report(eval_id: str, dataset: str, scored: DataFrame, metrics: DataFrame) ->
     """One row of JSON: eval, data set, total, correct, accuracy and metrics (scores stay a table)."""
     context = metrics.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("metric", "value")))).alias("context"))
     head = summary(scored).select(F.lit(eval_id).alias("eval_id"), F.lit(dataset).alias("dataset"), "total", "correct", "accuracy", F.lit(__version__).alias("runtime_version"))
-    return head.join(context, on=F.lit(True)).select(F.to_json(F.struct("*")).alias("report"))
+    one = F.lit(1).alias("one")
+    joined = head.select("*", one).join(context.select("*", one), "one").drop("one")  # one row each
+    return joined.select(F.to_json(F.struct("*")).alias("report"))
 
 
 def verify_runs(spark: SparkSession, eval_id: str, dataset: str, results: str, root: str | None = None) -> DataFrame:
