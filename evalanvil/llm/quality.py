@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import random
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -127,11 +128,10 @@ def document_stats(text: str | None, familiar: Familiar) -> list[float]:
     lines = [x for x in text.split("\n") if x.strip()]
     total = sum(map(len, lines)) or 1
     raw = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
-    kind = _KIND_OF[np.minimum(raw, _KINDS - 1)]
+    flags = _FLAGS_OF[raw]
+    kind = flags & 7
     of = np.bincount(kind, minlength=7)
     letters, symbols = int(of[1] + of[2] + of[6]), int(of[5])
-    alnum = (kind >= 1) & (kind <= 3) | (kind == 6)
-    digit = kind == 3
     # lines
     bullet = table = key = short = wrapped = plain = ended = 0
     cells = [_separators(x) if len(x) < 2000 else ("", 1) for x in lines]
@@ -169,9 +169,8 @@ def document_stats(text: str | None, familiar: Familiar) -> list[float]:
     counts = Counter(words)
     common = [w for w in words if w in _COMMON_ANY]
     tokens = text.split()
-    between = (kind[1:-1] == 5) & alnum[:-2] & alnum[2:]
-    mixed = int(between.sum()) / max(1, len(tokens))
-    numbers = int((digit[1:] & ~digit[:-1] & (kind[:-1] == 0)).sum() + digit[0]) / k
+    mixed = _mixed(flags) / max(1, len(tokens))
+    numbers = _numbers(flags, kind) / k
     inside = int(((kind[:-1] == 1) & (kind[1:] == 2)).sum()) / max(1, len(tokens))
     folded = _fold(text)
     surprise = float(familiar.letters[folded[:-1], folded[1:]].mean()) if len(folded) > 1 else 0.0
@@ -185,30 +184,71 @@ def document_stats(text: str | None, familiar: Familiar) -> list[float]:
         line_spread, ended / len(lines), bullet / total, table / total, key / total,
         short / total, wrapped / total, in_sentences, average, spread / max(1.0, average),
         len(set(pieces)) / max(1, len(pieces)), len(set(lines)) / len(lines), len(counts) / k ** 0.7,
-        counts.most_common(1)[0][1] / k if counts else 0.0, len(common) / k, float(min(40, len(set(common)))), mixed, surprise,
+        counts.most_common(1)[0][1] / k if counts else 0.0, len(common) / k, float(len(set(common))), mixed, surprise,
         known, numbers, plain / total, inside, float(max(map(len, tokens), default=0)), int(of[4]) / n,
     ]
 
 
-def _kinds() -> np.ndarray:
-    """0 space, 1 and 2 lower and upper ASCII letters, 3 digits, 4 plain punctuation, 5 symbols, 6 other letters."""
-    out = np.full(_KINDS, 5, np.uint8)
-    for c in range(_KINDS):
-        ch = chr(c)
-        if ch.isspace():
-            out[c] = 0
-        elif ch.isdigit():
-            out[c] = 3
-        elif ch.isalpha():
-            out[c] = (1 if ch.islower() else 2) if c < 128 else 6
-        elif ch in ".,;:!?'\"()-" or c > 0x2000 and ch in "‘’“”„–—…。，！？、：；（）":
-            out[c] = 4
+#: Flags beside the kind: part of a word; a symbol that mixes words; what a number may go on with.
+_IN_WORD, _MIXES, _GOES_ON = 8, 16, 32
+
+
+def _flags() -> np.ndarray:
+    """Flags of every code point, and its kind: 0 space, 1 and 2 lower and upper letters, 3 digits, 4 plain punctuation, 5 symbols, 6 other letters and their marks."""
+    every = np.arange(0x110000, dtype=np.uint32).tobytes().decode("utf-32-le", "surrogatepass")
+    out = np.full(0x110000, 5 | _MIXES, np.uint8)
+    for first in range(0, 0x110000, 256):
+        block = every[first : first + 256]
+        if block.isalpha() and block.lower() == block.upper():
+            out[first : first + 256] = 6 | _IN_WORD | _GOES_ON
+        elif first < 0x20000 or _WORD_CHAR.search(block):
+            out[first : first + 256] = [_flags_of(ch) for ch in block]
     return out
 
 
-#: Code points told apart one by one; all above count as the last of them, a letter.
-_KINDS = 0xAC01
-_KIND_OF = _kinds()
+def _flags_of(ch: str) -> int:
+    if ch.isspace():
+        return 0
+    if ch.isdigit():
+        return 3 | _IN_WORD | _GOES_ON
+    if ch.isalpha():
+        return (1 if ch.islower() else 2 if ch.isupper() else 6) | _IN_WORD | _GOES_ON
+    if unicodedata.category(ch) in ("Mn", "Mc") and not "\ufe00" <= ch <= "\ufe0f":  # selectors go with emoji
+        return 6 | _IN_WORD | _GOES_ON
+    kind = 4 if ch in ".,;:!?'\"()-‘’“”„–—…。，！？、：；（）" else 5
+    if ch == "_" or ch.isnumeric():
+        return kind | _IN_WORD | _GOES_ON
+    return kind | (0 if ch in ".,'’/;:()\"-" else _MIXES) | (_GOES_ON if ch in ".," else 0)
+
+
+_WORD_CHAR = re.compile(r"\w")
+_FLAGS_OF = _flags()
+
+
+def _mixed(flags: np.ndarray) -> int:
+    """Matches of [word character][symbols][word character], none of which overlap."""
+    on = np.flatnonzero(flags & _MIXES)
+    if not len(on):
+        return 0
+    gap = np.flatnonzero(np.diff(on) > 1)
+    before, after = on[np.r_[0, gap + 1]] - 1, on[np.r_[gap, len(on) - 1]] + 1
+    word = np.r_[flags & _IN_WORD, 0]  # the last is before the first and after the last character
+    at = np.flatnonzero((word[before] > 0) & (word[after] > 0))
+    if not len(at):
+        return 0
+    begins = np.r_[True, before[at[1:]] != after[at[:-1]]]  # else it shares a character with the match before
+    place = np.arange(len(at))
+    return int(((place - np.maximum.accumulate(np.where(begins, place, 0))) % 2 == 0).sum())
+
+
+def _numbers(flags: np.ndarray, kind: np.ndarray) -> int:
+    """Numbers that begin where a word may, with the word characters, points and commas that follow."""
+    first = np.flatnonzero(kind == 3)
+    first = first[(first == 0) | (flags[first - 1] & _IN_WORD == 0)]
+    if len(first) < 2:
+        return len(first)
+    ends = np.cumsum(flags & _GOES_ON == 0)[first]
+    return 1 + int((ends[1:] != ends[:-1]).sum())
 
 
 class Trees:

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -55,3 +56,25 @@ def test_spark(spark, model):
     assert got[2]["probability"] == 1.0 and got[1]["words"] > 0
     assert Q.judge(spark.createDataFrame([], "doc_id long, text string"), model).count() == 0
     assert len(Q.sample_texts(spark.createDataFrame(rows, "doc_id long, text string, kind string"), rows=2)) == 2
+
+
+def test_characters_of_all_unicode():
+    blind = Q.Familiar(np.zeros((64, 64), np.float32), np.zeros(1 << Q.Familiar.BITS, bool), np.zeros(0))
+    of = lambda t: dict(zip(Q.STATS, Q.document_stats(t, blind)))
+    for symbols in ("\ufffd", "🙂", "\ue000", "\U000f0000"):
+        assert of(f"ab{symbols}{symbols}")["symbol_ratio"] == 0.5 and of(f"ab{symbols}cd")["mixed_word_share"] == 1
+    s = of("你好，世界！（好）")
+    assert s["punctuation_ratio"] == 4 / 9 and s["symbol_ratio"] == 0
+    assert of("한국 힣𠀀")["symbol_ratio"] == of("हिन्दी")["symbol_ratio"] == 0 and of("ÄÖ Жж")["upper_ratio"] == 0.75
+    assert of(" ".join(sorted(Q._COMMON_ANY)))["common_kinds"] > 40
+
+
+def test_counts_are_those_of_the_patterns():
+    blind = Q.Familiar(np.zeros((64, 64), np.float32), np.zeros(1 << Q.Familiar.BITS, bool), np.zeros(0))
+    mixed, number = re.compile(r"\w[^\w\s.,'’/;:()\"-]+\w"), re.compile(r"\b\d[\w.,]*")
+    rng = random.Random(4)
+    for text in ["a;5 (7) 1,234.5 x9", "a##b", "a#b#c#d", "#a# #", "7", *("".join(rng.choices("ab19 ##!_.,;/-é\ufffd你，½🙂", k=rng.randint(1, 60))) for _ in range(400))]:
+        if text.strip():
+            s = dict(zip(Q.STATS, Q.document_stats(text, blind)))
+            assert s["mixed_word_share"] == len(mixed.findall(text)) / len(text.split()), text
+            assert s["number_word_share"] == len(number.findall(text)) / max(1, s["words"]), text
