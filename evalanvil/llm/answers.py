@@ -33,11 +33,20 @@ _EMPTY_FENCE = re.compile(r"```[\w+-]*\s*(?:```)?\s*\Z")
 
 WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)?")
 _BREAKS = str.maketrans(dict.fromkeys("!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~¡¿«»“”„‘…–—•·。，！？、：；（）", " ") | {"’": "'"})
+#: The same in two steps, faster for a text that isn't ASCII: what lies above ASCII, and a table of bytes.
+_HIGH_BREAKS = [(chr(c), to) for c, to in _BREAKS.items() if c > 127]
+_LOW_BREAKS = bytes(ord(_BREAKS.get(c, chr(c))) if c < 128 else c for c in range(256))
 
 
 def lower_words(text: str) -> list[str]:
     """The words of a text in lower case; an apostrophe inside a word belongs to it."""
-    return text.lower().translate(_BREAKS).split()
+    text = text.lower()
+    if text.isascii():
+        return text.translate(_BREAKS).split()
+    for c, to in _HIGH_BREAKS:
+        if c in text:
+            text = text.replace(c, to)
+    return text.encode("utf-8", "surrogatepass").translate(_LOW_BREAKS).decode("utf-8", "surrogatepass").split()
 
 
 def split_reasoning(text: str) -> tuple[str, bool]:

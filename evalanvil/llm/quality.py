@@ -1,6 +1,7 @@
 """Text statistics of documents, and whether a document is prose, a list, a table or junk.
 
-Statistics are computed from whole texts in Arrow batches. Gradient-boosted trees over them, trained
+Statistics are computed from whole texts in Arrow batches; those against the corpus from counts over
+all documents, added up per task first. Gradient-boosted trees over them, trained
 when the query runs on a bounded sample of the corpus, give a probability per kind: prose is weakly
 labelled by rules that only clear cases pass; lists, tables and junk are made from the corpus's own
 phrases and sentences. A temperature fitted on the hand-checked texts of `holdout` calibrates the
@@ -13,7 +14,7 @@ import random
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -48,7 +49,7 @@ STATS = (
 
 @dataclass
 class Familiar:
-    """Letter pairs and word pairs of prose, learned from the sample."""
+    """How surprising letter pairs are, and which word pairs are known, by the counts of a whole corpus."""
 
     letters: np.ndarray  # -log2 P(b | a) over folded bytes
     pairs: np.ndarray  # bit per hashed word pair
@@ -57,16 +58,28 @@ class Familiar:
     BITS = 20
 
     @classmethod
-    def fit(cls, texts: list[str]) -> "Familiar":
-        counts = np.full((64, 64), 0.5)
-        pairs = np.zeros(1 << cls.BITS, np.int32)
-        for t in texts:
-            a = _fold(t)
-            np.add.at(counts, (a[:-1], a[1:]), 1)
-            p = _word_pairs(lower_words(t))
-            np.add.at(pairs, np.unique(p), 1)
-        letters = -np.log2(counts / counts.sum(axis=1, keepdims=True))
-        return cls(letters.astype(np.float32), pairs >= 2, np.zeros(0))
+    def of(cls, letters: np.ndarray, pairs: np.ndarray) -> "Familiar":
+        """From counts of letter pairs, and of the documents that hold a word pair.
+
+        A pair is known if at least two documents hold it, and more than chance puts into a bucket:
+        with many documents every bucket holds some pair.
+        """
+        counts = letters.reshape(64, 64) + 0.5
+        chance = pairs.mean()
+        shares = -np.log2(counts / counts.sum(axis=1, keepdims=True))
+        return cls(shares.astype(np.float32), pairs >= max(2.0, chance + 3 * chance**0.5), np.zeros(0))
+
+
+def corpus_counts(texts: Iterable[str | None], letters: np.ndarray | None = None, pairs: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Letter pairs, and documents by word pair, of whole texts; added to the given counts if there are any."""
+    letters = np.zeros(64 * 64, np.int64) if letters is None else letters
+    pairs = np.zeros(1 << Familiar.BITS, np.int64) if pairs is None else pairs
+    for t in texts:
+        if isinstance(t, str) and t:
+            folded = _fold(t)
+            letters += np.bincount(_letter_pairs(folded), minlength=64 * 64)
+            pairs[_word_pairs(lower_words(t))] += 1  # once a document, however often the pair occurs in it
+    return letters, pairs
 
 
 _FOLD = np.full(256, 63, np.uint8)
@@ -84,6 +97,10 @@ def _fold(text: str) -> np.ndarray:
     return _FOLD[np.frombuffer(text.encode("utf-8", "replace"), np.uint8)]
 
 
+def _letter_pairs(folded: np.ndarray) -> np.ndarray:
+    return folded[:-1].astype(np.intp) * 64 + folded[1:]
+
+
 def _word_pairs(words: list[str]) -> np.ndarray:
     if len(words) < 2:
         return np.zeros(0, np.int64)
@@ -173,7 +190,7 @@ def document_stats(text: str | None, familiar: Familiar) -> list[float]:
     numbers = _numbers(flags, kind) / k
     inside = int(((kind[:-1] == 1) & (kind[1:] == 2)).sum()) / max(1, len(tokens))
     folded = _fold(text)
-    surprise = float(familiar.letters[folded[:-1], folded[1:]].mean()) if len(folded) > 1 else 0.0
+    surprise = float(familiar.letters.ravel().take(_letter_pairs(folded)).mean()) if len(folded) > 1 else 0.0
     pairs = _word_pairs(words)
     known = float(familiar.pairs[pairs].mean()) if len(pairs) else 0.0
     typical = total / len(lines)
@@ -231,12 +248,12 @@ def _mixed(flags: np.ndarray) -> int:
     if not len(on):
         return 0
     gap = np.flatnonzero(np.diff(on) > 1)
-    before, after = on[np.r_[0, gap + 1]] - 1, on[np.r_[gap, len(on) - 1]] + 1
-    word = np.r_[flags & _IN_WORD, 0]  # the last is before the first and after the last character
+    before, after = np.concatenate((on[:1], on[gap + 1])) - 1, np.concatenate((on[gap], on[-1:])) + 1
+    word = np.append(flags & _IN_WORD, 0)  # the last is before the first and after the last character
     at = np.flatnonzero((word[before] > 0) & (word[after] > 0))
-    if not len(at):
-        return 0
-    begins = np.r_[True, before[at[1:]] != after[at[:-1]]]  # else it shares a character with the match before
+    if len(at) < 2:
+        return len(at)
+    begins = np.append(True, before[at[1:]] != after[at[:-1]])  # else it shares a character with the match before
     place = np.arange(len(at))
     return int(((place - np.maximum.accumulate(np.where(begins, place, 0))) % 2 == 0).sum())
 
@@ -247,7 +264,7 @@ def _numbers(flags: np.ndarray, kind: np.ndarray) -> int:
     first = first[(first == 0) | (flags[first - 1] & _IN_WORD == 0)]
     if len(first) < 2:
         return len(first)
-    ends = np.cumsum(flags & _GOES_ON == 0)[first]
+    ends = np.searchsorted(np.flatnonzero(flags & _GOES_ON == 0), first)
     return 1 + int((ends[1:] != ends[:-1]).sum())
 
 
@@ -493,13 +510,14 @@ class QualityModel:
     trees: Trees
 
     @classmethod
-    def fit(cls, texts: list[str], seed: int = 5) -> "QualityModel":
+    def fit(cls, texts: list[str], seed: int = 5, familiar: Familiar | None = None) -> "QualityModel":
+        """Trees trained on a sample; familiar: of the corpus that it is from, else of the sample itself."""
         rng = random.Random(seed)
         texts = [t for t in texts if t and t.strip()]
         blind = Familiar(np.zeros((64, 64), np.float32), np.zeros(1 << Familiar.BITS, bool), np.zeros(0))
-        prose = [t[:20_000] for t in texts if clear_prose(document_stats(t, blind))]
+        prose = [t for t in texts if clear_prose(document_stats(t, blind))]
         prose += [t for t, k in HOLDOUT if k == "prose"] if len(prose) < 20 else []
-        familiar = Familiar.fit(prose[: len(prose) // 2] or prose)  # the rest shows what unseen prose looks like
+        familiar = familiar or Familiar.of(*corpus_counts(texts))
         x, y = [], []
 
         def add(text: str, kind: int) -> None:
@@ -539,6 +557,42 @@ def sample_texts(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
     return [r["t"] for r in some.orderBy("h").limit(rows).collect()]
 
 
+#: Counts of one row of `familiar_of`.
+_BLOCK = 1 << 14
+
+
+def familiar_of(documents: DataFrame, text_col: str = "text") -> Familiar:
+    """Familiar of all documents and whole texts.
+
+    A task adds up its texts' counts and hands on blocks of them; blocks are added up where they
+    meet, so the driver gets 8 MB whatever the number of documents.
+    """
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        letters, pairs = corpus_counts(())
+        for pdf in batches:
+            corpus_counts(pdf["text"], letters, pairs)
+        for i, part in enumerate([letters, *pairs.reshape(-1, _BLOCK)]):
+            if part.any():
+                yield pd.DataFrame({"block": [i], "counts": [part.tobytes()]})
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[int, np.ndarray] = {}
+        for pdf in batches:
+            for i, c in zip(pdf["block"], pdf["counts"]):
+                sums[i] = sums.get(i, 0) + np.frombuffer(c, np.int64)
+        for i, part in sums.items():
+            yield pd.DataFrame({"block": [i], "counts": [part.tobytes()]})
+
+    schema = "block int, counts binary"
+    blocks = documents.select(F.col(text_col).alias("text")).mapInPandas(count, schema).repartition("block").mapInPandas(add, schema)
+    letters, pairs = corpus_counts(())
+    for r in blocks.collect():
+        part = letters if r["block"] == 0 else pairs[(r["block"] - 1) * _BLOCK : r["block"] * _BLOCK]
+        part += np.frombuffer(r["counts"], np.int64)
+    return Familiar.of(letters, pairs)
+
+
 def judge(documents: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, STATS..., kind, probability) of every document.
 

@@ -9,7 +9,7 @@ from evalanvil.functions.keys import logical_id, model_key, norm_id
 from evalanvil.llm.mixing import draw, draw_shares
 from evalanvil.llm.packing import containers, pack
 from evalanvil.llm.pairs import LABELS, PairModel, sample_pairs, sampled, score_pairs
-from evalanvil.llm.quality import QualityModel, judge, sample_texts
+from evalanvil.llm.quality import QualityModel, familiar_of, judge, sample_texts
 from evalanvil.llm.truncation import flag_truncated, length_spikes
 from evalanvil.plans.session import cut, read_table
 
@@ -95,7 +95,7 @@ def p5_spikes(spark: SparkSession, d: str) -> DataFrame:
 def _judged(spark: SparkSession, d: str) -> DataFrame:
     _batches(spark, 1000)
     documents = read_table(spark, d, "documents")
-    return judge(documents, QualityModel.fit(sample_texts(documents)))
+    return judge(documents, QualityModel.fit(sample_texts(documents), familiar=familiar_of(documents)))
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:

@@ -1,8 +1,10 @@
 from __future__ import annotations
 
+import random
+
 import pytest
 
-from evalanvil.llm.answers import Languages, ending, is_blank, lower_words, split_reasoning
+from evalanvil.llm.answers import _BREAKS, Languages, ending, is_blank, lower_words, split_reasoning
 
 
 @pytest.mark.parametrize(
@@ -41,3 +43,10 @@ def test_languages():
     }.items():
         assert known.of(lower_words(text), text) == lang
     assert known.of([], "") == ""
+
+
+def test_lower_words_above_ascii():
+    rng = random.Random(2)
+    for _ in range(300):
+        t = "".join(rng.choices("aBÉß İ’'—…。，\n\t\x1c\u3000_-.;你🙂\ud800\x00", k=rng.randint(1, 30)))
+        assert lower_words(t) == t.lower().translate(_BREAKS).split()

@@ -78,3 +78,29 @@ def test_counts_are_those_of_the_patterns():
             s = dict(zip(Q.STATS, Q.document_stats(text, blind)))
             assert s["mixed_word_share"] == len(mixed.findall(text)) / len(text.split()), text
             assert s["number_word_share"] == len(number.findall(text)) / max(1, s["words"]), text
+
+
+def test_corpus_counts_cover_all_documents(spark):
+    texts = [prose(random.Random(i)) for i in range(60)] + ["x" * 25_000 + " the zebra quietly hummed"] * 2 + ["a b", "a b a b", "", None]
+    letters, pairs = np.zeros((64, 64), np.int64), np.zeros(1 << Q.Familiar.BITS, np.int64)
+    for t in filter(None, texts):
+        np.add.at(letters, (Q._fold(t)[:-1], Q._fold(t)[1:]), 1)
+        np.add.at(pairs, np.unique(Q._word_pairs(Q.lower_words(t))), 1)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got, want = Q.familiar_of(df.repartition(7)), Q.Familiar.of(letters.ravel(), pairs)
+    assert (got.letters == want.letters).all() and (got.pairs == want.pairs).all()
+    assert got.pairs[Q._word_pairs(["quietly", "hummed"])].all()  # at the end of long texts that are no clear prose
+    assert Q.familiar_of(df.limit(0)).pairs.sum() == 0
+    assert Q.Familiar.of(letters.ravel(), pairs + 1000).pairs.mean() < 0.01  # chance alone makes no pair known
+
+
+def test_queries_count_all_documents(spark, tmp_path, monkeypatch):
+    from evalanvil.llm import queries
+
+    rows = [(i, prose(random.Random(i)) if i < 200 else f"The zebra hummed. {prose(random.Random(i))}") for i in range(210)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    sample = [t for _, t in rows[:200]]
+    monkeypatch.setattr(queries, "sample_texts", lambda documents: sample)
+    got = {r["doc_id"]: r["known_pair_share"] for r in queries.p8_stats(spark, str(tmp_path)).collect()}
+    want = Q.Familiar.of(*Q.corpus_counts(t for _, t in rows))
+    assert got == {i: dict(zip(Q.STATS, Q.document_stats(t, want)))["known_pair_share"] for i, t in rows}
