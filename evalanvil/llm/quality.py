@@ -151,7 +151,7 @@ def document_stats(text: str | None, familiar: Familiar) -> list[float]:
     letters, symbols = int(of[1] + of[2] + of[6]), int(of[5])
     # lines
     bullet = table = key = short = wrapped = plain = ended = 0
-    cells = [_separators(x) if len(x) < 2000 else ("", 1) for x in lines]
+    cells = [_separators(x) for x in lines]
     widest = max(map(len, lines))
     for i, x in enumerate(lines):
         size = len(x)

@@ -104,3 +104,14 @@ def test_queries_count_all_documents(spark, tmp_path, monkeypatch):
     got = {r["doc_id"]: r["known_pair_share"] for r in queries.p8_stats(spark, str(tmp_path)).collect()}
     want = Q.Familiar.of(*Q.corpus_counts(t for _, t in rows))
     assert got == {i: dict(zip(Q.STATS, Q.document_stats(t, want)))["known_pair_share"] for i, t in rows}
+
+
+def test_wide_rows_are_tables():
+    blind = Q.Familiar(np.zeros((64, 64), np.float32), np.zeros(1 << Q.Familiar.BITS, bool), np.zeros(0))
+    rng = random.Random(6)
+    for separator in (",", ";", "\t", " | ", "    "):
+        text = "\n".join(separator.join(f"{rng.random() * 100:.2f}" for _ in range(500)) for _ in range(5))
+        s = dict(zip(Q.STATS, Q.document_stats(text, blind)))
+        assert s["mean_line_length"] > 2000 and s["table_share"] == 1, separator
+    long = " ".join(prose(rng, 60).split())
+    assert len(long) > 2000 and dict(zip(Q.STATS, Q.document_stats(f"{long}\n{long}", blind)))["table_share"] == 0
