@@ -105,6 +105,30 @@ def advance(registry: DataFrame | None, samples: DataFrame, id_col: str, time: s
     return new if registry is None else registry.select("id", "epoch", "rate").unionByName(new)
 
 
+def advanced(path: str | None, samples: DataFrame, id_col: str, time: str, rate: Callable[[Column], Column]) -> DataFrame:
+    """The registry kept as Parquet at `path`, advanced by samples and written back; without a path, that of a first run.
+
+    Only new rows are appended, so a row once written is never written again. One job at a time may
+    advance a registry.
+    """
+    if path is None:
+        return advance(None, samples, id_col, time, rate)
+    spark = samples.sparkSession
+    schema = "id string, epoch bigint, rate double"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    ready = files.exists(where)
+    old = spark.read.schema(schema).parquet(path) if ready else None
+    new = advance(None, samples if old is None else _unknown(samples, id_col, old), id_col, time, rate)
+    new.select("id", F.col("epoch").cast("long").alias("epoch"), "rate").write.mode("append").parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
+def _unknown(samples: DataFrame, id_col: str, registry: DataFrame) -> DataFrame:
+    """Samples whose id no registry row has."""
+    return samples.join(registry.select(F.col("id").alias("_known")), norm_id(F.col(id_col)) == F.col("_known"), "left_anti")
+
+
 def chosen(registry: DataFrame, seed: int = 0) -> DataFrame:
     """The registry's rows whose random number is below their frozen rate: (id, epoch, rate, u)."""
     return registry.select("id", "epoch", "rate", uniform(F.col("id"), seed).alias("u")).where(F.col("u") < F.col("rate"))

@@ -9,7 +9,7 @@ from evalanvil.functions.keys import model_key, month_label, norm_id
 from evalanvil.operators.orphans import find_orphans, first_kind
 from evalanvil.operators.recount import expected_ids, recount
 from evalanvil.operators.redelivery import keepers, surplus
-from evalanvil.operators.stable_sample import advance, chosen, threefry_sql
+from evalanvil.operators.stable_sample import advanced, chosen, threefry_sql
 from evalanvil.plans.session import read_table
 
 MESSAGE = ["eval_id", "dataset", "model", "id"]
@@ -105,16 +105,24 @@ def sample_rate(epoch: Column) -> Column:
     return F.lit(SAMPLE_RATE) * F.pow(F.lit(SAMPLE_DECAY), years)
 
 
+#: Setting with the path of the registry of first-seen months; without it a query is a first run.
+REGISTRY = "spark.evalanvil.sampleRegistry"
+
+
+def _registry(spark: SparkSession, d: str) -> DataFrame:
+    return advanced(spark.conf.get(REGISTRY, None), read_table(spark, d, "samples"), "id", "added_at", sample_rate)
+
+
 def p3_sample(spark: SparkSession, d: str) -> DataFrame:
     """The prompts chosen, with the epoch and rate that decided."""
-    return chosen(advance(None, read_table(spark, d, "samples"), "id", "added_at", sample_rate)).select(
+    return chosen(_registry(spark, d)).select(
         F.col("id"), F.col("epoch").cast("long").alias("epoch"), "rate", "u"
     )
 
 
 def p3_shares(spark: SparkSession, d: str) -> DataFrame:
     """Prompts and prompts chosen per epoch."""
-    registry = advance(None, read_table(spark, d, "samples"), "id", "added_at", sample_rate)
+    registry = _registry(spark, d)
     some = chosen(registry).select("id", F.lit(1).alias("chosen"))
     return (
         registry.join(some, "id", "left")

@@ -44,3 +44,23 @@ def test_shared_and_odd_ids(spark):
     registry = {r["id"]: r for r in advance(None, samples(spark, 0, extra=extra), "id", "added_at", RATE).collect()}
     assert set(registry) == {"abc", "x"} and registry["abc"]["epoch"] == 2025 * 12 and registry["x"]["epoch"] == -1
     assert advance(None, samples(spark, 0), "id", "added_at", RATE).count() == 0
+
+
+def test_queries_keep_the_registry(spark, tmp_path):
+    from evalanvil.plans import problems
+
+    early, late = datetime(2025, 3, 1, tzinfo=timezone.utc), datetime(2029, 3, 1, tzinfo=timezone.utc)
+    for name, at, n in (("first", early, 300), ("again", late, 400)):  # all rows purged and added again four years later
+        spark.createDataFrame([(f"{i:012x}", at) for i in range(n)], "id string, added_at timestamp").write.parquet(f"{tmp_path}/{name}/samples.parquet")
+    rows = lambda q, name: {tuple(r) for r in q(spark, f"{tmp_path}/{name}").collect()}
+    without = rows(problems.p3_sample, "first"), rows(problems.p3_sample, "again")
+    assert not without[0] <= without[1]
+    spark.conf.set(problems.REGISTRY, f"{tmp_path}/registry")
+    try:
+        first, again = rows(problems.p3_sample, "first"), rows(problems.p3_sample, "again")
+        assert first == without[0] and first <= again and {r[1] for r in again - first} == {2029 * 12 + 2}
+        shares = rows(problems.p3_shares, "again")
+        assert {(r[0], r[2]) for r in shares} == {(2025 * 12 + 2, 300), (2029 * 12 + 2, 100)} and sum(r[3] for r in shares) == len(again)
+        assert spark.read.parquet(f"{tmp_path}/registry").count() == 400
+    finally:
+        spark.conf.unset(problems.REGISTRY)
