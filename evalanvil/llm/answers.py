@@ -63,10 +63,9 @@ def split_reasoning(text: str) -> tuple[str, bool]:
         m = _OPENER.search(text)
         if m:
             text, unfinished = text[: m.start()], True
-    if "assistant" in text:
-        m = _FINAL.search(text)
-        if m:
-            text = text[m.end() :]
+    m = _FINAL.search(text) if "assistant" in text else None
+    if m:
+        text = text[m.end() :]
     elif "analysis" in text[:40] and _ANALYSIS.match(text):
         unfinished = True
     if text.endswith(("|>", "|>\n")):

@@ -50,3 +50,9 @@ def test_lower_words_above_ascii():
     for _ in range(300):
         t = "".join(rng.choices("aBÉß İ’'—…。，\n\t\x1c\u3000_-.;你🙂\ud800\x00", k=rng.randint(1, 30)))
         assert lower_words(t) == t.lower().translate(_BREAKS).split()
+
+
+def test_unfinished_reasoning_that_names_an_assistant():
+    text = "analysisThe user asks the assistant for a list. He waits."
+    assert split_reasoning(text) == (text, True) and split_reasoning(text + "assistantfinalYes.") == ("Yes.", False)
+    assert split_reasoning("The assistant waits.") == ("The assistant waits.", False)
