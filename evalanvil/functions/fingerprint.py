@@ -6,12 +6,13 @@ import hashlib
 import json
 import random
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 # Fixed value: what separates the fields of a fingerprinted line.
 FIELD_SEPARATOR = "\x1f"
@@ -42,12 +43,20 @@ def content_fingerprint(df: DataFrame, line: Column) -> str:
 
 
 def content_fingerprints(df: DataFrame, by: list[str], line: Column, most: int = 1_000_000) -> DataFrame:
-    """(by, content_sha256) for many data sets of at most `most` lines each; raises on a larger one."""
+    """(by, content_sha256) for many data sets; one of more than `most` lines is sorted by Spark and streamed."""
     lines = df.select(*by, line.alias("line")).where(F.col("line").isNotNull())
     joined = F.array_join(F.sort_array(F.collect_list("line")), "\n")
-    return lines.groupBy(*by).agg(
-        F.when(F.count(F.lit(1)) <= most, F.sha2(joined, 256)).otherwise(F.raise_error(F.lit("too many lines for one value"))).alias("content_sha256")
-    )
+    large = lines.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > most).drop("_n").collect()
+    streamed, rest = [], lines
+    for key in large:
+        same = reduce(Column.__and__, (F.col(k).eqNullSafe(F.lit(v)) for k, v in zip(by, key)))
+        streamed.append((*key, content_fingerprint(lines.where(same), F.col("line"))))
+        rest = rest.where(~same)
+    small = rest.groupBy(*by).agg(F.sha2(joined, 256).alias("content_sha256"))
+    if not streamed:
+        return small
+    schema = StructType([*(StructField(k, lines.schema[k].dataType) for k in by), StructField("content_sha256", StringType())])
+    return small.unionByName(df.sparkSession.createDataFrame(streamed, schema))
 
 
 def nested_line(row: dict) -> str:

@@ -152,3 +152,10 @@ def test_small_helpers(spark):
     assert spark.range(1).select(short_hash(F.lit("x"), 6)).first()[0] == "2d7116"
     got = spark.createDataFrame([(["a", "b", "c"], 7), (None, 7)], "o array<string>, s long").select(fingerprint.shuffled("o", "s")).collect()
     assert sorted(got[0][0]) == ["a", "b", "c"] and got[1][0] is None
+
+
+def test_fingerprints_of_large_sets(spark):
+    rows = [(k, f"line {i * 7919 % 101}") for k, n in (("a", 40), (None, 30), ("b", 5), ("c", 0)) for i in range(n)] + [("b", None)]
+    df = spark.createDataFrame(rows, "k string, line string")
+    got = {r["k"]: r["content_sha256"] for r in fingerprint.content_fingerprints(df.repartition(4), ["k"], F.col("line"), most=10).collect()}
+    assert got == {k: fingerprint.fingerprint_lines(sorted(x for g, x in rows if g == k and x)) for k in ("a", None, "b")}
