@@ -22,14 +22,17 @@ def word_bucket(token: str) -> int:
 # The markers of reasoning, as they occur in completions.
 _PAIR = re.compile(r"<think>.*?</think>|\[THINK\].*?\[/THINK\]", re.I | re.S)
 _CLOSER = re.compile(r"</think>|\[/THINK\]", re.I)
+_CLOSERS_IN_ORDER = (re.compile(r"</think>", re.I), re.compile(r"\[/THINK\]", re.I))
 _OPENER = re.compile(r"<think>|\[THINK\]", re.I)
 _FINAL = re.compile(r"(?:<\|start\|>)?assistant(?:<\|channel\|>)?final(?:<\|message\|>)?")
 _ANALYSIS = re.compile(r"\s*(?:<\|channel\|>)?analysis(?:<\|message\|>)?(?=[^\sa-z])")
 _END = re.compile(r"(?:<\|end\|>|<\|return\|>)\s*\Z")
 
 #: Characters that no reader sees.
-_INVISIBLE = re.compile("[\\s​-‏⁠﻿­]+")
-_EMPTY_FENCE = re.compile(r"```[\w+-]*\s*(?:```)?\s*\Z")
+_HIDDEN = r"\s\u200b-\u200f\u2060\ufeff\u00ad"
+#: What can be read: a letter or digit, or a symbol above the punctuation of Latin scripts (an emoji, say).
+_READABLE = re.compile(rf"[^\W_]|[^\x00-\u2000{_HIDDEN}]")
+_EMPTY_FENCE = re.compile(rf"[{_HIDDEN}]*```[\w+-]*[{_HIDDEN}]*(?:```[{_HIDDEN}]*)?\Z")
 
 WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)?")
 _BREAKS = str.maketrans(dict.fromkeys("!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~¡¿«»“”„‘…–—•·。，！？、：；（）", " ") | {"’": "'"})
@@ -57,16 +60,18 @@ def split_reasoning(text: str) -> tuple[str, bool]:
         end = max((m.end() for m in _CLOSER.finditer(text)), default=0)
         if end:  # pairs end at a closer: many openers without one cost no repeated scans
             text = _PAIR.sub("", text[:end]) + text[end:]
-        m = _CLOSER.search(text)
-        if m:
-            text = text[m.end() :]
+        for closer in _CLOSERS_IN_ORDER:  # the second kind counts only where the first doesn't occur
+            m = closer.search(text)
+            if m:
+                text = text[m.end() :]
+                break
         m = _OPENER.search(text)
         if m:
             text, unfinished = text[: m.start()], True
     m = _FINAL.search(text) if "assistant" in text else None
     if m:
         text = text[m.end() :]
-    elif "analysis" in text[:40] and _ANALYSIS.match(text):
+    elif "analysis" in text and _ANALYSIS.match(text):
         unfinished = True
     if text.endswith(("|>", "|>\n")):
         text = _END.sub("", text)
@@ -74,13 +79,13 @@ def split_reasoning(text: str) -> tuple[str, bool]:
 
 
 def is_blank(answer: str) -> bool:
-    """Whether nothing in the answer can be read: white space, invisible characters, an empty code block."""
-    if answer[:1].isalnum() or answer.lstrip()[:1].isalnum():
+    """Whether nothing in the answer can be read: white space, invisible characters, marks alone, an empty code block.
+
+    One rule for any length; both patterns take linear time.
+    """
+    if answer[:1].isalnum():
         return False
-    if len(answer) > 400:
-        return not _INVISIBLE.sub("", answer)
-    seen = _INVISIBLE.sub(" ", answer).strip()
-    return not seen or bool(_EMPTY_FENCE.match(seen)) or not any(c.isalnum() or ord(c) > 0x2000 for c in seen)
+    return not _READABLE.search(answer) or bool(_EMPTY_FENCE.match(answer))
 
 
 #: Common words by language. Texts are told apart by these and by what is learned from texts that they settle.
@@ -149,8 +154,8 @@ class Languages:
         self.votes = {w: tuple(v) for w, v in votes.items()}
         self._by_bucket: np.ndarray | None = None
 
-    def batch_scores(self, words: np.ndarray, sizes: np.ndarray, skips: np.ndarray) -> np.ndarray:
-        """scores() of many texts at once, given as hashed words (see word_bucket); skips: words left out at the start."""
+    def batch_scores(self, words: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """scores() of many texts at once, given as hashed words (see word_bucket)."""
         if self._by_bucket is None:
             table = np.zeros((1 << BUCKET_BITS, len(LANGS) + 1), np.float32)
             for word, v in self.votes.items():
@@ -158,11 +163,8 @@ class Languages:
             self._by_bucket = table
         out = np.zeros((len(sizes), len(LANGS) + 1), np.float32)
         if len(words):
-            v = self._by_bucket[words]
-            start = np.cumsum(sizes) - sizes
-            v[np.arange(len(words)) < np.repeat(start + skips, sizes)] = 0
             some = sizes > 0
-            out[some] = np.add.reduceat(v, start[some], axis=0)
+            out[some] = np.add.reduceat(self._by_bucket[words], (np.cumsum(sizes) - sizes)[some], axis=0)
         return out[:, :-1] / (out[:, -1:] + 1)
 
     @classmethod
@@ -176,7 +178,7 @@ class Languages:
                 counts[order[0]].update(set(words))
         totals = [sum(c.values()) + 1 for c in counts]
         learned = {}
-        for word in set().union(*counts):
+        for word in sorted(set().union(*counts)):
             n = [c[word] for c in counts]
             if sum(n) >= least and not word[0].isdigit() and len(word) > 1:
                 rate = [x / t if t > 50 else 0.0 for x, t in zip(n, totals)]
@@ -214,21 +216,30 @@ _BULLET = re.compile(r"\s*(?:[-*+•–]|\(?\d{1,3}[.)]|#\d+|\[[ xX]?\]|[a-zA-Z]
 #: A short last segment that gives a value: an option's letter or a boxed value; or a number.
 _VALUE = re.compile(r"(?:(?<![^\W_])\(?[A-J]\)?|\\(?:boxed|fbox|framebox)\{[^{}]*\})\W{0,4}\Z|[:=]\s*\**[-+]?[\d.,]+ ?%?\W{0,4}\Z")
 _NUMBER = re.compile(r"[-+]?\d[\d.,]* ?%?\W{0,4}\Z")
-_SEGMENT = re.compile(r"[.!?。！？…]\W*\s+")
 _BROKEN = re.compile(r"(?:�|\\u?[0-9a-fA-F]{0,3}|&#?\w{1,6}|%[0-9a-fA-F]?|\ud83d|\xc3)\Z")
 _KEYLINE = re.compile(r"\s*(?:- )?\"?[\w ]{1,24}\"?:(?:\s|\Z)")
-
-
-_FACE = re.compile(r"\s*[:;]-?[)(DPp]\Z")
+_FACE = re.compile(r"[:;]-?[)(DPp]\Z")
+#: Words of a last segment that gives a value, at most; a line of more words is no title.
+VALUE_WORDS, TITLE_WORDS = 10, 12
 
 
 def _ends_well(s: str) -> bool:
     if s[-1] in ")(DPp":
-        s = _FACE.sub("", s)
+        s = s[: m.start()] if (m := _FACE.search(s, max(0, len(s) - 3))) else s
     t = s.rstrip(CLOSERS)
     return bool(t) and (t[-1] in TERMINAL or ord(t[-1]) > 0x2600 and not ("぀" <= t[-1] <= "鿿" or t[-1] == "�"))
 
 
+def _last_segment(line: str) -> str | None:
+    """What follows the last sentence that ends inside a line; None if that is more words than a value has."""
+    tokens = line.rsplit(None, VALUE_WORDS + 2)
+    for k in range(len(tokens) - 1, 0, -1):
+        t = tokens[k - 1].rstrip(CLOSERS + "([{<-—–:;,/|=+~^%#&@\\$")
+        if t and t[-1] in TERMINAL:
+            return " ".join(tokens[k:])
+    return line if len(tokens) <= VALUE_WORDS + 2 else None
+
+
 def ending(answer: str) -> dict:
     """How a text ends: its form, what is left open, whether it ends like a sentence, and its last words."""
     s = answer.rstrip().rstrip("​﻿")
@@ -247,9 +258,11 @@ def ending(answer: str) -> dict:
             body = body[: body.rfind("```")]
         body = body.strip()
         head = body[:12]
-    elif ":\n" in body[:120]:  # a line that announces what follows
-        body = body[body.find(":\n") + 2 :].strip() or body
-        head = body[:12]
+    else:
+        first, _, rest = s.lstrip().partition("\n")
+        if first.endswith(":"):  # a line that announces what follows
+            body = rest.strip() or body
+            head = body[:12]
     if head[:1] in "{[" and (head[:2] != "[ " and head[:3] not in ("[x]", "[ ]") and ('"' in head or "\n" in head or head[:2] in ("[{", "{}", "[]"))):
         form = "json"
         depth = body.count("{") - body.count("}") + body.count("[") - body.count("]")
@@ -280,18 +293,21 @@ def ending(answer: str) -> dict:
             if re.fullmatch(r"\s*(?:[-*+•–#]|\(?\d{1,3}[.)]?)\s*", final) and len(lines) > 1:
                 left = left or "item"
             form = "prose"
-    tail = s[-90:]
-    words = WORD.findall(tail)[-3:]
+    words = WORD.findall(" ".join(s.rsplit(None, 4)[-4:]))[-3:]
     last_line = s[s.rfind("\n") + 1 :]
-    shown = WORD.findall(last_line[:120])
-    before = s[: -len(last_line)].rstrip()
-    title = 0 < len(shown) <= 12 and all(w[0].isupper() or w[0].isdigit() for w in shown) and (not before or before[-1] in ".!?:\"'”»)]")
-    segment = _SEGMENT.split(last_line[-100:])[-1]
+    title = False
+    if len(last_line.split(None, TITLE_WORDS)) <= TITLE_WORDS:
+        shown = WORD.findall(last_line)
+        before = s[: -len(last_line)].rstrip()
+        title = 0 < len(shown) <= TITLE_WORDS and all(w[0].isupper() or w[0].isdigit() for w in shown) and (not before or before[-1] in ".!?:\"'”»)]")
+    segment = _last_segment(last_line)
     formula = 0
-    if _VALUE.search(segment) and len(WORD.findall(segment)) <= 10:
-        formula = 1
-    elif _NUMBER.search(segment) and len(WORD.findall(segment)) <= 8:
-        formula = 1 if len(s) <= 14 else 2
+    if segment is not None:
+        n = len(WORD.findall(segment))
+        if n <= VALUE_WORDS and _VALUE.search(segment):
+            formula = 1
+        elif n <= 8 and _NUMBER.search(segment):
+            formula = 1 if len(s.split(None, 2)) <= 2 else 2
     return {
         "form": form,
         "open": left,

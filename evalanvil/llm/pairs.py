@@ -42,6 +42,8 @@ LABELS = ("empty", "truncated", "refusal", "copy", "language")
 SAMPLE_ROWS = 8000
 BITS = BUCKET_BITS
 MASK = (1 << BITS) - 1
+#: Neighbouring thresholds, a hundredth apart, over which calibration averages.
+SPAN = 21
 
 #: Ways to refuse, as openings, statements and endings that combine; training data for the refused class.
 REFUSALS = {
@@ -138,6 +140,25 @@ def read_prompt(text: str | None, langs: Languages) -> Prompt | None:
     return Prompt(text, Counter(words), len(words), frozenset(zip(words, words[1:])), frozenset(allowed) if own else frozenset(), not ASKED.isdisjoint(words))
 
 
+def refusing(answer: str) -> tuple[int, int, int]:
+    """(sentences that speak of oneself and of not doing, tenths of all that they are, where: 1 first, 2 last, 3 both).
+
+    Over the whole answer, however long; a line is a sentence too.
+    """
+    parts = [x for x in _SENTENCES.split(answer) if x.strip()]
+    hits = []
+    for i, part in enumerate(parts):
+        words = lower_words(part)
+        if not DECLINING.isdisjoint(words) and not SPEAKER.isdisjoint(words):
+            hits.append(i)
+    if not hits:
+        return 0, 0, 0
+    return len(hits), -(-10 * len(hits) // len(parts)), (hits[0] == 0) + 2 * (hits[-1] == len(parts) - 1)
+
+
+_SENTENCES = re.compile(r"(?<=[.!?。！？…;])\s+|\n+")
+
+
 def _bin(x: float, steps: tuple) -> int:
     return sum(x >= s for s in steps)
 
@@ -194,8 +215,10 @@ def _given(full: int | None, other: int | None, fresh: int | None) -> bool:
 
 def _measure_buckets(key: tuple) -> tuple[int, ...]:
     """Buckets of one combination of binned measures."""
-    short, form, stop, title, formula, left, broken, mark, me, no, asked, share, full, other, told, fresh, script, step = key
+    short, form, stop, title, formula, left, broken, mark, me, no, hits, tenths, where, asked, share, full, other, told, fresh, script, step = key
     tokens = [f"short:{short}", f"me:{min(me, 3)}:{min(no, 2)}:{min(short, 6)}", f"me:{min(me, 2)}", f"no:{min(no, 3)}:{min(short, 6)}"]
+    if hits:
+        tokens += [f"said:{min(hits, 3)}:{_bin(tenths, (2, 3, 5, 7, 10))}", f"said':{where}:{min(short, 6)}", f"said:{where}"]
     back = _given(full, other, fresh)
     if asked:
         tokens += ["asked:1", "asked:2", f"asked:{min(me, 1)}:{min(no, 1)}"]
@@ -244,13 +267,12 @@ def read_batch(prompts: list[Prompt | None], texts: list[str | None], langs: Lan
     empty = bucket("blank:1")
     never = bucket("unfinished:1")
     get = _cache.get
-    words, word_sizes, skips, rows, notes = [], [], [], [], []
+    words, word_sizes, rows, notes = [], [], [], []
     for prompt, text in zip(prompts, texts):
         if text is None:
             rows.append((empty,))
             notes.append((True, False, False))
             word_sizes.append(0)
-            skips.append(0)
             continue
         answer, unfinished = split_reasoning(text)
         blank = is_blank(answer)
@@ -258,24 +280,25 @@ def read_batch(prompts: list[Prompt | None], texts: list[str | None], langs: Lan
             rows.append((never if unfinished else empty,))
             notes.append((not unfinished, unfinished, False))
             word_sizes.append(0)
-            skips.append(0)
             continue
         shown = lower_words(unescaped(answer) if "\\" in answer and answer.lstrip()[:2] == '{"' else answer)
         mine = [bucket("0") if w[0] < ":" and w[0].isdigit() else get(w) or bucket(w) for w in shown]
         words += mine
         word_sizes.append(len(mine))
-        skips.append(6 if len(mine) > 14 else 0)  # an opening phrase may be in the asker's language
         e = ending(answer)
         n = len(shown)
         short = n if n < 4 else 3 + _bin(n, (4, 8, 16, 32, 64, 128))
-        first = shown[:40]
-        me, no = len(SPEAKER.intersection(first)), len(DECLINING.intersection(first))
+        distinct = set(shown)
+        me, no = len(SPEAKER & distinct), len(DECLINING & distinct)
+        said = refusing(answer) if me and no else (0, 0, 0)
         share = full = other = told = fresh = None
         if prompt is not None:
-            part = len(prompt.words.keys() & set(shown)) / max(1, len(prompt.words))
-            share = _bin(part, (0.1, 0.25, 0.5, 0.75))
-            if part > 0.4:
-                copied, rest, after, value = given_back(prompt, shown, answer)
+            common = prompt.words.keys() & distinct
+            share = _bin(len(common) / max(1, len(prompt.words)), (0.1, 0.25, 0.5, 0.75))
+            # at most so much can be given back, however often words occur; below half, nothing is said of copies
+            most = sum(map(prompt.words.__getitem__, common)) / max(1, prompt.n)
+            copied, rest, after, value = given_back(prompt, shown, answer) if most >= 0.5 else (0.0, 0, 0, False)
+            if copied >= 0.5:
                 told = "value" if value else _bin(after, (1, 2, 3, 4, 6))
                 full = _bin(copied, (0.5, 0.65, 0.8, 0.9, 0.99))
                 other = _bin(rest / max(1, n), (0.04, 0.1, 0.18, 0.3, 0.5))
@@ -285,7 +308,7 @@ def read_batch(prompts: list[Prompt | None], texts: list[str | None], langs: Lan
         back = _given(full, other, fresh)
         rows.append(
             (
-                (short, e["form"], e["stop"], e["title"], e["formula"], e["open"], e["broken"], e["mark"], me, no, prompt is not None and prompt.asks_no, share, full, other, told, fresh, bool(script)),
+                (short, e["form"], e["stop"], e["title"], e["formula"], e["open"], e["broken"], e["mark"], me, no, *said, prompt is not None and prompt.asks_no, share, full, other, told, fresh, bool(script)),
                 [] if e["stop"] else _end_buckets(e["form"], back, e["last"]),
                 (prompt.allowed, script, part) if judged else None,
             )
@@ -294,7 +317,7 @@ def read_batch(prompts: list[Prompt | None], texts: list[str | None], langs: Lan
         notes.append((False, False, bool(done and not e["open"])))
     flat = np.array(words, np.int64)
     sizes = np.array(word_sizes, np.int64)
-    score = langs.batch_scores(flat, sizes, np.array(skips, np.int64))
+    score = langs.batch_scores(flat, sizes)
     measures, measure_sizes = [], []
     for i, row in enumerate(rows):
         if len(row) == 1:
@@ -333,6 +356,35 @@ def _sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
+@dataclass
+class Part:
+    """Rows of a training set with their features, sorted by row and by place, made once for all epochs."""
+
+    rows: np.ndarray
+    places: np.ndarray  # distinct buckets
+    place: np.ndarray  # of each feature, by row
+    value: np.ndarray
+    starts: np.ndarray
+    row_by_place: np.ndarray
+    value_by_place: np.ndarray
+    place_starts: np.ndarray
+
+    @classmethod
+    def all_of(cls, batch: Batch, size: int = 256, seed: int = 1) -> list["Part"]:
+        """Every row once, in parts of `size` rows drawn at random; each row has a feature."""
+        order, out = np.random.default_rng(seed).permutation(len(batch.measure_sizes)), []
+        for lo in range(0, len(order), size):
+            rows = order[lo : lo + size]
+            at, value, row = Linear.flat(batch.take(rows))
+            by_row = np.argsort(row, kind="stable")
+            at, value, row = at[by_row], value[by_row], row[by_row]
+            places, place = np.unique(at, return_inverse=True)
+            by_place = np.argsort(place, kind="stable")
+            first = lambda x, n: np.searchsorted(x, np.arange(n))
+            out.append(cls(rows, places, place, value, first(row, len(rows)), row[by_place], value[by_place], first(place[by_place], len(places))))
+        return out
+
+
 class Linear:
     """One weight per bucket and label; words and pairs of words are averaged, measures count whole."""
 
@@ -373,43 +425,42 @@ class Linear:
     def probabilities(self, batch: Batch) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.margins(batch), -30, 30)))
 
-    def fit(self, batch: Batch, y: np.ndarray, epochs: int = 10, rate: float = 0.5, decay: float = 1e-6, seed: int = 1) -> "Linear":
-        """Adagrad on the logistic loss of every label."""
+    def fit(self, parts: list["Part"], y: np.ndarray, use: np.ndarray, epochs: int = 10, rate: float = 0.5, decay: float = 1e-6, seed: int = 1) -> "Linear":
+        """Adagrad on the logistic loss of every label, over the rows that `use` names of prepared parts."""
         rng = np.random.default_rng(seed)
         g2 = np.full(self.w.shape, 1e-2, np.float32)
         b2 = np.full(self.bias.shape, 1e-2, np.float32)
         for _ in range(epochs):
-            order = rng.permutation(len(y))
-            for lo in range(0, len(order), 256):
-                part = order[lo : lo + 256]
-                at, value, row = self.flat(batch.take(part))
-                places, inverse = np.unique(at, return_inverse=True)
-                sub = self.w[places]
-                m = np.zeros((len(part), y.shape[1]), np.float32)
-                np.add.at(m, row, sub[inverse] * value[:, None])
-                d = (1 / (1 + np.exp(-np.clip(m + self.bias, -30, 30))) - y[part]).astype(np.float32)
-                g = np.zeros_like(sub)
-                np.add.at(g, inverse, d[row] * value[:, None])
-                g = g / len(part) ** 0.5 + decay * sub
-                g2[places] += g * g
-                self.w[places] = sub - rate * g / np.sqrt(g2[places])
-                gb = d.sum(axis=0) / len(part) ** 0.5
+            for k in rng.permutation(len(parts)):
+                part = parts[k]
+                n = max(1, int(use[part.rows].sum()))
+                sub = self.w[part.places]
+                m = np.add.reduceat(sub[part.place] * part.value[:, None], part.starts, axis=0) + self.bias
+                d = ((1 / (1 + np.exp(-np.clip(m, -30, 30))) - y[part.rows]) * use[part.rows, None]).astype(np.float32)
+                g = np.add.reduceat(d[part.row_by_place] * part.value_by_place[:, None], part.place_starts, axis=0)
+                g = g / n**0.5 + decay * sub
+                seen = g2[part.places] + g * g
+                g2[part.places] = seen
+                self.w[part.places] = sub - rate * g / np.sqrt(seen)
+                gb = d.sum(axis=0) / n**0.5
                 b2 += gb * gb
                 self.bias -= 0.3 * rate * gb / np.sqrt(b2)
         return self
 
     def calibrate(self, batch: Batch, y: np.ndarray) -> None:
-        """Per label, the threshold of the best F1 on pairs kept out, in the middle of its plateau."""
-        p = self.probabilities(batch)
+        """Per label, the threshold of the best F1 on pairs kept out, anywhere in (0, 1).
+
+        F1 is averaged over SPAN neighbouring thresholds, so that one pair can't move the choice far;
+        of equally good thresholds the middle one is taken.
+        """
+        p, grid = self.probabilities(batch), np.linspace(0.02, 0.98, 97)
+        box = np.ones(SPAN) / SPAN
         for k in range(p.shape[1]):
-            best = []
-            for t in np.linspace(0.4, 0.6, 9):
-                hit = p[:, k] >= t
-                tp = float((hit & (y[:, k] > 0)).sum())
-                best.append((2 * tp / max(1.0, hit.sum() + y[:, k].sum()), float(t)))
-            top = max(b[0] for b in best)
-            plateau = [t for f, t in best if f >= top - 1e-9]
-            self.threshold[k] = plateau[len(plateau) // 2]
+            hit = p[:, k, None] >= grid
+            f1 = 2 * (hit & (y[:, k, None] > 0)).sum(axis=0) / np.maximum(1.0, hit.sum(axis=0) + y[:, k].sum())
+            smooth = np.convolve(np.pad(f1, SPAN // 2, mode="edge"), box, mode="valid")
+            best = np.flatnonzero(smooth >= smooth.max() - 1e-9)
+            self.threshold[k] = grid[best[len(best) // 2]]
 
 
 # ---- training data made from the data's own pairs -------------------------------------------------
@@ -483,7 +534,8 @@ FOREIGN = (
 
 
 def training_set(pairs: list[tuple[str | None, str | None]], langs: Languages, seed: int = 7):
-    """(prompt, text, label vector) rows: pairs as they are, and pairs broken on purpose."""
+    """Features and label vectors of pairs as they are and pairs broken on purpose, and for each row
+    the row of the pair as it is that it was made of."""
     rng = random.Random(seed)
     prompts = [read_prompt(p, langs) for p, _ in pairs]
     answers = [split_reasoning(t)[0] if t is not None else "" for _, t in pairs]
@@ -497,9 +549,11 @@ def training_set(pairs: list[tuple[str | None, str | None]], langs: Languages, s
     for s in FOREIGN:
         by_lang.setdefault(langs.of(lower_words(s), s) or "xx", []).append(s)
     out: list[tuple[Prompt | None, str | None, int]] = []
+    firsts = []
     for (raw, text), prompt, answer, mine in zip(pairs, prompts, answers, lang_of):
+        firsts.append(len(out))
         out.append((prompt, text, -1))
-        lang = next(iter(prompt.allowed), "en") if prompt else rng.choice(("en", "de", "fr", "es"))
+        lang = min(prompt.allowed, default="en") if prompt else rng.choice(("en", "de", "fr", "es"))
         whole = answer
         if rng.random() < 0.35 and answer and ending(answer)["form"] == "prose" and by_lang.get(mine):
             whole = " ".join([answer.strip(), *(x.strip() for x in rng.choices(by_lang[mine], k=rng.randint(1, 6)))])
@@ -510,7 +564,7 @@ def training_set(pairs: list[tuple[str | None, str | None]], langs: Languages, s
             near = lower_words(raw)[2:6]
             told = rng.choice(TELLING.get(lang, TELLING["en"])).replace("{}", " ".join(near) or "it")
             e = ending(answer)
-            more = answer.strip() if rng.random() < 0.5 and len(answer) < 400 and (e["stop"] or e["formula"] == 1) and not e["open"] else ""
+            more = answer.strip() if rng.random() < 0.5 and (e["stop"] or e["formula"] == 1) and not e["open"] else ""
             out.append((prompt, rng.choice((f"{told} {more}", f"{more} {told}")).strip(), -1))
         seen = ending(answer)
         if seen["title"] and not seen["stop"]:
@@ -527,7 +581,7 @@ def training_set(pairs: list[tuple[str | None, str | None]], langs: Languages, s
                 out.append((prompt, give_back(rng, raw), 3))
             if rng.random() < 0.35:
                 e = ending(answer)
-                reply = answer.strip() if len(answer) < 400 and (e["stop"] or e["formula"]) and not e["open"] else ""
+                reply = answer.strip() if (e["stop"] or e["formula"]) and not e["open"] else ""
                 if not reply or rng.random() < 0.4:
                     n = rng.randrange(1000)
                     reply = rng.choice(("A", "B.", "C)", "(D)", "Answer: B", f"{n}", f"Answer: {n}", f"\\boxed{{{n}}}", f"Therefore {n} remain.", "The answer is C."))
@@ -549,13 +603,12 @@ def training_set(pairs: list[tuple[str | None, str | None]], langs: Languages, s
             out.append((read_prompt(ask.replace("{}", raw[-30:]), langs), say.replace("{}", answer), -1))
         if rng.random() < 0.06:
             out.append((prompt, f"<think>\n{answer}", 1))
-    out = [x for x in out if x[2] >= -1]
     y = np.zeros((len(out), len(LABELS)), np.float32)
     for i, (_, _, k) in enumerate(out):
         if k >= 0:
             y[i, k] = 1
-    own = np.array([k == -1 for _, _, k in out], bool)
-    return read_batch([p for p, _, _ in out], [t for _, t, _ in out], langs), y, own
+    made_of = np.repeat(np.array(firsts, np.int64), np.diff([*firsts, len(out)]))
+    return read_batch([p for p, _, _ in out], [t for _, t, _ in out], langs), y, made_of
 
 
 @dataclass
@@ -568,21 +621,22 @@ class PairModel:
         """Trains on pairs of the data, taken as sound, and on pairs broken on purpose.
 
         Some of the data's own pairs are broken too: after a first round those that it gives a
-        defect leave the training set, and the final round starts anew.
+        defect leave the training set with all that was made of them, and the final round starts anew.
         """
         langs = Languages.fit([lower_words(t) for p in pairs for t in p if t])
-        batch, y, own = training_set(pairs, langs, seed)
+        batch, y, made_of = training_set(pairs, langs, seed)
         if not len(y):
             return cls(langs, Linear(len(LABELS)))
         rng = np.random.default_rng(seed)
         held = rng.random(len(y)) < 0.15
-        pick = lambda mask: (batch.take(np.flatnonzero(mask)), y[mask])
         doubtful = np.zeros(len(y), bool)
+        parts = Part.all_of(batch)
         for limit in (0.4, 0.15):
-            rough = Linear(len(LABELS)).fit(*pick(~held & ~doubtful), epochs=3)
-            doubtful = own & (rough.probabilities(batch).max(axis=1) > limit)
-        final = Linear(len(LABELS)).fit(*pick(~held & ~doubtful))
-        final.calibrate(*pick(held & ~doubtful))
+            rough = Linear(len(LABELS)).fit(parts, y, ~held & ~doubtful, epochs=3)
+            doubtful = (rough.probabilities(batch).max(axis=1) > limit)[made_of]
+        final = Linear(len(LABELS)).fit(parts, y, ~held & ~doubtful)
+        kept = held & ~doubtful
+        final.calibrate(batch.take(np.flatnonzero(kept)), y[kept])
         return cls(langs, final)
 
     def score(self, prompts: list[Prompt | None], texts: list[str | None]) -> tuple[np.ndarray, list[bool]]:
@@ -609,7 +663,7 @@ def sample_pairs(pairs: DataFrame, rows: int = SAMPLE_ROWS) -> list[tuple[str |
 
 
 def score_pairs(pairs: DataFrame, model: PairModel) -> DataFrame:
-    """(row_id, source, dataset, chars, bytes, stop, and a probability per label) of (row_id, source, dataset, prompt, text).
+    """(row_id, source, dataset, chars, bytes, max_tokens, stop, and a probability per label) of those columns, prompt and text.
 
     A null text is empty; a missing prompt leaves copy and language undecided. Whole texts are read.
     """
@@ -633,7 +687,7 @@ def score_pairs(pairs: DataFrame, model: PairModel) -> DataFrame:
                 prompts.append(known[p])
             texts = [t if isinstance(t, str) else None for t in pdf["text"]]
             scores, notes = mine.score(prompts, texts)
-            out = pdf[["row_id", "source", "dataset", "chars", "bytes"]].copy()
+            out = pdf[["row_id", "source", "dataset", "chars", "bytes", "max_tokens"]].copy()
             out["stop"] = notes
             for k, label in enumerate(LABELS):
                 out[label] = scores[:, k].astype(np.float64)
@@ -641,6 +695,6 @@ def score_pairs(pairs: DataFrame, model: PairModel) -> DataFrame:
 
     return pairs.mapInPandas(
         run,
-        "row_id long, source string, dataset string, chars long, bytes long, stop boolean, "
+        "row_id long, source string, dataset string, chars long, bytes long, max_tokens int, stop boolean, "
         + ", ".join(f"{x} double" for x in LABELS),
     )

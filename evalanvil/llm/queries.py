@@ -22,7 +22,8 @@ def _batches(spark: SparkSession, rows: int) -> None:
 
 def _lines(spark: SparkSession, d: str) -> DataFrame:
     text = F.col("completion")
-    return read_table(spark, d, "completions").select(
+    limits = read_table(spark, d, "dataset_specs").groupBy("eval_id", "dataset").agg(F.max("max_tokens").alias("max_tokens"))
+    return read_table(spark, d, "completions").join(limits, ["eval_id", "dataset"], "left").select(
         "row_id",
         model_key(F.col("model")).alias("source"),
         F.concat_ws("/", "eval_id", "dataset").alias("dataset"),
@@ -30,6 +31,7 @@ def _lines(spark: SparkSession, d: str) -> DataFrame:
         text.alias("text"),
         F.length(text).cast("long").alias("chars"),
         F.octet_length(text).cast("long").alias("bytes"),
+        "max_tokens",
     )
 
 
@@ -92,6 +94,11 @@ def p5_spikes(spark: SparkSession, d: str) -> DataFrame:
     return length_spikes(_scored(spark, d)[0].where(F.col("empty") < 0.5))
 
 
+def p5_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of p5_found with what named them: a spike of lengths (and of which kind) or the classifier."""
+    return _flagged(spark, d)[0].where("is_truncated").select("row_id", "source", "dataset", "via")
+
+
 def _judged(spark: SparkSession, d: str) -> DataFrame:
     _batches(spark, 1000)
     documents = read_table(spark, d, "documents")
@@ -141,5 +148,6 @@ QUERIES = {
     "p5_found": p5_found,
     "p5_shares": p5_shares,
     "p5_spikes": p5_spikes,
+    "p5_evidence": p5_evidence,
 }
 ORACLES: dict[str, str] = {}

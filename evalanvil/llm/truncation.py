@@ -1,65 +1,96 @@
 """Texts cut off by field limits.
 
-Per source, histograms of text lengths in characters and in bytes are tested for spikes: a length
-that many more texts have than its neighbourhood explains, and whose texts mostly lack an end. A
-value of such a length is flagged if its end is not that of a whole text; a value of any other
-length (cut in transfer, or by a count of tokens that no histogram shows) only if the classifier of
-`pairs` finds it cut with the calibrated threshold.
+Per source and column, histograms of text lengths are tested for spikes: in characters and in bytes
+(a field's width cuts all texts at the same length), and, where a limit in tokens is known, in
+characters and bytes per token allowed (a limit in tokens cuts texts of one source at about the
+same ratio, at the upper end of what occurs). What is counted are texts without an end; a length is a
+spike if it holds significantly more of them than its neighbourhood explains. A text of such a
+length without an end is flagged.
+
+A cut in transfer leaves no spike. Those texts can be flagged by a second source, the probability of
+the classifier of `pairs`; `via` tells which of the two named a row.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: A spike holds at least LEAST texts, RATIO times what the lengths within WINDOW of it hold on average.
-LEAST, RATIO, WINDOW, OPEN_SHARE = 5, 4.0, 12, 0.5
-#: At a spike the odds that a text is cut are high: this is enough of the classifier's probability there.
-AT_SPIKE = 0.08
+#: Significance of a spike (bound of a Poisson tail), and how many times what chance explains it must hold.
+ALPHA, RATIO = 1e-6, 4.0
+#: Lengths to either side that tell what chance explains at an exact length.
+NEAR = 12
+#: Bins per character (byte) and allowed token; what chance explains there are the bins BELOW the spike.
+PER_TOKEN, BELOW = 5, (5, 2)
+#: Such a spike lies at the maximum: at most BEYOND of the source's texts lie more than one bin above, and MOSTLY of its own lack an end.
+BEYOND, MOSTLY = 0.005, 0.5
+MEASURES = ("chars", "bytes", "token_chars", "token_bytes")
+
+
+def measured(chars: Column, size: Column, limit: Column) -> list[Column]:
+    """The length of a text in each of MEASURES; null where it is not known (no text, no limit)."""
+    per = lambda n: F.when(limit > 0, F.floor(n * PER_TOKEN / limit)).cast("long")
+    return [chars.cast("long"), size.cast("long"), per(chars), per(size)]
 
 
 def length_spikes(texts: DataFrame) -> DataFrame:
     """(source, measure, length, texts, open_texts, expected) of every spike.
 
-    texts: source, chars, bytes, stop (whether the text ends like a whole one). Null sources are a
-    source of their own; null lengths are left out. Counts are combined map-side, so a hot source
-    costs one row per length; the window runs over lengths, not texts.
+    texts: source, chars, bytes, max_tokens, stop (whether the text has an end). Null sources are a
+    source of their own; null lengths are left out, and null limits from the measures per token; a
+    null `stop` is no open text. Counts are combined map-side, so a hot source costs one row per
+    length; the windows run over lengths, not texts. Empty input gives an empty result.
     """
+    lengths = measured(F.col("chars"), F.col("bytes"), F.col("max_tokens"))
     each = texts.select(
         F.coalesce("source", F.lit("")).alias("source"),
         "stop",
-        F.explode(F.create_map(F.lit("chars"), F.col("chars"), F.lit("bytes"), F.col("bytes"))).alias("measure", "length"),
+        F.explode(F.create_map(*(x for name, n in zip(MEASURES, lengths) for x in (F.lit(name), n)))).alias("measure", "length"),
     ).where(F.col("length").isNotNull())
     histogram = each.groupBy("source", "measure", "length").agg(
         F.count(F.lit(1)).alias("texts"), F.count_if(~F.col("stop")).alias("open_texts")
     )
-    near = Window.partitionBy("source", "measure").orderBy("length").rangeBetween(-WINDOW, WINDOW)
+    around = Window.partitionBy("source", "measure").orderBy("length")
+    near = (F.sum("open_texts").over(around.rangeBetween(-NEAR, NEAR)) - F.col("open_texts")) / F.lit(2.0 * NEAR)
+    far, close = BELOW
+    below = F.coalesce(F.sum("open_texts").over(around.rangeBetween(-far, -close)), F.lit(0)) / F.lit(far - close + 1.0)
+    above = F.coalesce(F.sum("texts").over(around.rangeBetween(2, Window.unboundedFollowing)), F.lit(0))
+    every = F.sum("texts").over(Window.partitionBy("source", "measure"))
+    per_token = F.col("measure").startswith("token")
+    n = F.col("open_texts")
+    chance = F.greatest("expected", F.lit(0.25))
+    # a Poisson variable of mean m reaches n > m with a probability of at most exp(n - m - n ln(n / m))
+    surprise = n * F.log(n / chance) - (n - chance)
     return (
-        histogram.withColumn("expected", (F.sum("texts").over(near) - F.col("texts")) / F.lit(2.0 * WINDOW))
-        .where(
-            (F.col("texts") >= LEAST)
-            & (F.col("texts") >= RATIO * F.greatest("expected", F.lit(0.5)))
-            & (F.col("open_texts") >= OPEN_SHARE * F.col("texts"))
-        )
+        histogram.withColumns({"expected": F.when(per_token, below).otherwise(near), "above": above, "every": every})
+        .where((n > RATIO * chance) & (surprise >= -F.log(F.lit(ALPHA))))
+        .where(~per_token | ((F.col("above") <= BEYOND * F.col("every")) & (n >= MOSTLY * F.col("texts"))))
         .select("source", "measure", "length", "texts", "open_texts", "expected")
     )
 
 
+def at_spikes(texts: DataFrame, spikes: DataFrame) -> DataFrame:
+    """texts with `spike`: the first of MEASURES in which a text has the length of a spike of its source, else null.
+
+    Spikes are gathered to one row per source, so there is one join; the planner broadcasts it by its size.
+    """
+    of = [F.collect_set(F.when(F.col("measure") == m, F.col("length"))).alias(f"__{m}") for m in MEASURES]
+    sets = spikes.groupBy("source").agg(*of).withColumnRenamed("source", "__source")
+    joined = texts.join(sets, F.coalesce("source", F.lit("")) == F.col("__source"), "left")
+    lengths = measured(F.col("chars"), F.col("bytes"), F.col("max_tokens"))
+    found = F.coalesce(*(F.when(F.array_contains(f"__{m}", n), F.lit(m)) for m, n in zip(MEASURES, lengths)))
+    return joined.select(*texts.columns, found.alias("spike"))
+
+
 def flag_truncated(scored: DataFrame, threshold: float) -> DataFrame:
-    """scored rows (see pairs.score_pairs) with `at_spike` and `is_truncated`.
+    """scored rows (see pairs.score_pairs) with `via` (how a row was found cut: one of MEASURES, 'classifier', or null) and `is_truncated`.
 
-    The spikes are bounded by sources and lengths, not by texts; the planner joins them by their size.
+    At a spike the missing end decides; elsewhere the classifier's probability, by its calibrated
+    threshold. Blank answers are never cut; nor is what the classifier finds to be another defect.
     """
-    spikes = length_spikes(scored.where(F.col("empty") < 0.5)).groupBy("source", "length").agg(
-        F.max(F.col("measure") == "chars").alias("by_chars"), F.max(F.col("measure") == "bytes").alias("by_bytes")
-    )
-    chars = spikes.where("by_chars").select(F.col("source").alias("__s1"), F.col("length").alias("__l1"))
-    byte = spikes.where("by_bytes").select(F.col("source").alias("__s2"), F.col("length").alias("__l2"))
-    source = F.coalesce("source", F.lit(""))
-    joined = scored.join(chars, (source == F.col("__s1")) & (F.col("chars") == F.col("__l1")), "left").join(
-        byte, (source == F.col("__s2")) & (F.col("bytes") == F.col("__l2")), "left"
-    )
-    at_spike = F.col("__l1").isNotNull() | F.col("__l2").isNotNull()
+    placed = at_spikes(scored, length_spikes(scored.where(F.col("empty") < 0.5)))
     rest = F.greatest("empty", "refusal", "copy", "language")
-    cut = (F.col("truncated") >= threshold) | (at_spike & ~F.col("stop") & (F.col("truncated") >= AT_SPIKE))
-    return joined.select(*scored.columns, at_spike.alias("at_spike"), (cut & (F.col("truncated") >= rest * 0.6)).alias("is_truncated"))
+    by_length = F.col("spike").isNotNull() & ~F.col("stop") & (rest < F.greatest(F.lit(0.5), F.col("truncated")))
+    by_text = (F.col("truncated") >= threshold) & (F.col("truncated") >= rest * 0.6)
+    via = F.when(by_length, F.col("spike")).when(by_text, F.lit("classifier"))
+    return placed.withColumn("via", via).withColumn("is_truncated", F.col("via").isNotNull()).drop("spike")

@@ -12,6 +12,7 @@ from evalanvil.llm.answers import _BREAKS, Languages, ending, is_blank, lower_wo
     [
         ("plain", "plain", False), ("<think>a</think>b", "b", False), ("<think>a", "", True), ("x</think>b", "b", False), ("[THINK]a[/THINK]\nb", "\nb", False),
         ("analysisHe waits.assistantfinalYes.", "Yes.", False), ("analysisHe waits", "analysisHe waits", True), ("analysis of data.", "analysis of data.", False), ("a<b and c", "a<b and c", False), ("hi<|end|>", "hi", False),
+        ("one[/THINK]two</think>three", "three", False), ("one</think>two[/THINK]three", "two[/THINK]three", False), ("one</think>two</think>three", "two</think>three", False),
     ],
 )
 def test_split(text, answer, unfinished):

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import os
 import random
+import subprocess
+import sys
 
 import numpy as np
 import pytest
 
 from evalanvil.llm import pairs as P
+from evalanvil.llm.answers import ending, is_blank, split_reasoning
+from evalanvil.llm.pairs import refusing
 from evalanvil.llm.queries import with_prompts
-from evalanvil.llm.truncation import flag_truncated, length_spikes
+from evalanvil.llm.truncation import at_spikes, flag_truncated, length_spikes
 
 SUBJECTS = ("the harbour", "an old mill", "the north road", "a small library", "the winter market", "a ferry", "the quarry", "the garden wall", "a copper bell", "the long canal")
 VERBS = ("was repaired by the farmers", "cannot hold more boats", "is closed in early spring", "stands near the river", "belongs to nobody", "needs a new roof", "was painted twice", "feeds the valley")
@@ -72,9 +77,9 @@ def test_traps(model):
 
 
 def test_spark(spark, model):
-    rows = [(i, "src", "e/d", p, t, len(t), len(t.encode())) for i, (p, t) in enumerate(world(60, 4))]
-    rows += [(100, None, None, None, None, None, None), (101, "src", "e/d", "", "x" * 50_000, 50_000, 50_000)]
-    schema = "row_id long, source string, dataset string, prompt string, text string, chars long, bytes long"
+    rows = [(i, "src", "e/d", p, t, len(t), len(t.encode()), 64) for i, (p, t) in enumerate(world(60, 4))]
+    rows += [(100, None, None, None, None, None, None, None), (101, "src", "e/d", "", "x" * 50_000, 50_000, 50_000, 0)]
+    schema = "row_id long, source string, dataset string, prompt string, text string, chars long, bytes long, max_tokens int"
     df = spark.createDataFrame(rows, schema)
     scored = P.score_pairs(df.repartition(3), model)
     got = {r["row_id"]: r for r in scored.collect()}
@@ -84,10 +89,31 @@ def test_spark(spark, model):
     assert P.sample_pairs(df, 10) == P.sample_pairs(df.repartition(5), 10) and len(P.sample_pairs(df, 10)) == 10
 
 
+SPIKES = "source string, chars long, bytes long, max_tokens int, stop boolean"
+
+
 def test_spikes(spark):
-    rows = [("s", 100 + i % 50, 100 + i % 50, True) for i in range(500)] + [("s", 256, 300, False)] * 40 + [("s", 90, 90, True)] * 60 + [(None, None, None, False)]
-    found = length_spikes(spark.createDataFrame(rows, "source string, chars long, bytes long, stop boolean")).collect()
-    assert {(r["measure"], r["length"]) for r in found} == {("chars", 256), ("bytes", 300)}
+    """A field's width in characters and bytes; natural crowds with an end, and null lengths, are none."""
+    rows = [("s", 100 + i % 50, 100 + i % 50, None, i % 7 > 0) for i in range(500)] + [("s", 256, 300, None, False)] * 40 + [("s", 90, 90, None, True)] * 60
+    rows += [(None, None, None, 7, False), ("few", 256, 256, None, False), ("s", 700, 700, None, None)]
+    found = length_spikes(spark.createDataFrame(rows, SPIKES)).collect()
+    assert {(r["source"], r["measure"], r["length"], r["open_texts"]) for r in found} == {("s", "chars", 256, 40), ("s", "bytes", 300, 40)}
+    assert length_spikes(spark.createDataFrame([], SPIKES)).count() == 0
+
+
+def test_spikes_at_a_token_limit(spark):
+    """Cut at about the same ratio of characters to tokens, whatever the limit; only at the upper end."""
+    rng = random.Random(5)
+    rows = [("m", n, n, limit, rng.random() > 0.02) for limit in (100, 400) for n in (rng.randint(5, 3 * limit) for _ in range(900))]
+    rows += [("m", n, n, limit, False) for limit in (100, 400) for n in (int(limit * rng.uniform(4.25, 4.35)) for _ in range(30))]
+    found = {(r["measure"], r["length"]) for r in length_spikes(spark.createDataFrame(rows, SPIKES)).collect()}
+    assert found == {("token_chars", 21), ("token_bytes", 21)}
+
+
+def test_a_source_without_spikes_keeps_its_rows(spark):
+    texts = spark.createDataFrame([("a", 256, 256, 0, False)] * 20 + [("b", 256, 256, 0, False), (None, None, None, None, None)], SPIKES)
+    placed = at_spikes(texts, length_spikes(texts))
+    assert placed.count() == 22 and {(r["source"], r["spike"]) for r in placed.collect()} == {("a", "chars"), ("b", None), (None, None)}
 
 
 def test_prompts(spark):
@@ -100,3 +126,33 @@ def test_prompts(spark):
 def test_determinism():
     a, b = P.PairModel.fit(world(150, 3)), P.PairModel.fit(world(150, 3))
     assert np.array_equal(a.linear.w, b.linear.w) and P.PairModel.fit([]).langs is not None
+
+
+_FIT = """
+import sys, hashlib
+sys.path[:0] = {path}
+from test_pairs import world
+from evalanvil.llm.pairs import PairModel
+m = PairModel.fit(world(200, 3))
+print(hashlib.sha256(m.linear.w.tobytes() + m.linear.threshold.tobytes() + repr(sorted(m.langs.votes.items())).encode()).hexdigest())
+"""
+
+
+def test_processes_with_other_hash_seeds_agree():
+    """Sets of strings iterate differently under another seed; no result may follow them."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    code = _FIT.format(path=[root, os.path.join(root, "tests", "llm")])
+    runs = [subprocess.run([sys.executable, "-c", code], env=os.environ | {"PYTHONHASHSEED": s}, capture_output=True, text=True, check=True) for s in "123"]
+    assert len({r.stdout for r in runs}) == 1 and runs[0].stdout.strip()
+
+
+def test_long_answers_follow_the_rules_of_short_ones(model):
+    """Blank marks, empty code blocks, late markers and refusals after a long preamble, on both sides of any length."""
+    assert is_blank("." * 300) and is_blank("." * 5000) and is_blank("```\n```") and is_blank("```" + "\n" * 5000 + "```")
+    for lead in ("", "\n" * 500):
+        assert split_reasoning(lead + "analysisHe waits") == (lead + "analysisHe waits", True)
+    near, far = ending("So it is.\nAnswer: C"), ending("So it is. " * 500 + "\nAnswer: C")
+    assert near["formula"] == far["formula"] == 1 and ending("x" * 300 + " and the")["last"][-2:] == ["and", "the"]
+    assert refusing("The mill is old. " * 300 + "I'm sorry, but I cannot go on.")[2] == 2
+    listed = "Steps for the old mill:\n" + "a, b, c\n" * 3
+    assert ending(listed)["form"] == ending("Steps " + "for the very old mill " * 20 + ":\n" + "a, b, c\n" * 3)["form"]
