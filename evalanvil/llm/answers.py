@@ -155,7 +155,7 @@ class Languages:
         self._by_bucket: np.ndarray | None = None
 
     def batch_scores(self, words: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """scores() of many texts at once, given as hashed words (see word_bucket)."""
+        """scores() of many texts at once, given as hashed words (see word_bucket); the last column is the number of words that voted."""
         if self._by_bucket is None:
             table = np.zeros((1 << BUCKET_BITS, len(LANGS) + 1), np.float32)
             for word, v in self.votes.items():
@@ -165,7 +165,8 @@ class Languages:
         if len(words):
             some = sizes > 0
             out[some] = np.add.reduceat(self._by_bucket[words], (np.cumsum(sizes) - sizes)[some], axis=0)
-        return out[:, :-1] / (out[:, -1:] + 1)
+        out[:, :-1] /= out[:, -1:] + 1
+        return out
 
     @classmethod
     def fit(cls, texts: list[list[str]], least: int = 3) -> "Languages":
@@ -177,11 +178,12 @@ class Languages:
             if len(words) >= 5 and s[order[0]] > 0.12 and s[order[0]] > 1.8 * s[order[1]]:
                 counts[order[0]].update(set(words))
         totals = [sum(c.values()) + 1 for c in counts]
+        held_back = max(5_000, sum(totals) // 100)  # a few texts in a mixture must not give a seldom language the words of another
         learned = {}
         for word in sorted(set().union(*counts)):
             n = [c[word] for c in counts]
             if sum(n) >= least and not word[0].isdigit() and len(word) > 1:
-                rate = [x / t if t > 50 else 0.0 for x, t in zip(n, totals)]
+                rate = [x / (t + held_back) if t > 50 else 0.0 for x, t in zip(n, totals)]
                 total = sum(rate)
                 if total > 0:
                     learned[word] = tuple(r / total for r in rate)
@@ -227,6 +229,10 @@ def _ends_well(s: str) -> bool:
     if s[-1] in ")(DPp":
         s = s[: m.start()] if (m := _FACE.search(s, max(0, len(s) - 3))) else s
     t = s.rstrip(CLOSERS)
+    if s[-1] in ")]" and t and t[-1] not in TERMINAL:  # a remark in brackets after a sentence
+        at = s.rfind("[" if s[-1] == "]" else "(")
+        before = s[:at].rstrip(CLOSERS) if at > 0 else ""
+        return bool(before) and before[-1] in TERMINAL
     return bool(t) and (t[-1] in TERMINAL or ord(t[-1]) > 0x2600 and not ("぀" <= t[-1] <= "鿿" or t[-1] == "�"))
 
 
@@ -249,6 +255,7 @@ def ending(answer: str) -> dict:
     left = ""
     body = s
     fenced = s.count("```")
+    closed = s[-1] == "`" and (fenced % 2 == 0 and s.endswith("```") if fenced else s[s.rfind("\n") + 1 :].count("`") % 2 == 0)
     if fenced % 2:
         left = "fence"
     if fenced:
@@ -287,12 +294,17 @@ def ending(answer: str) -> dict:
                 left = left or "csv"
         elif _BULLET.match(final):
             form = "list" if sum(bool(_BULLET.match(x)) for x in lines) * 2 > len(lines) else "item"
+            before = [x for x in lines[:-1] if _BULLET.match(x)]
+            if form == "list" and before and 2 * sum(_ends_well(x.rstrip()) for x in before) < len(before):
+                form = "bare list"  # its items have no ends
             if not _BULLET.sub("", final, count=1).strip() or re.fullmatch(r"\W*\d*\W*", final):
                 left = left or "item"
         else:
             if re.fullmatch(r"\s*(?:[-*+•–#]|\(?\d{1,3}[.)]?)\s*", final) and len(lines) > 1:
                 left = left or "item"
             form = "prose"
+            if len(lines) > 2 and not any(_ends_well(x.rstrip()) for x in lines[:-1]) and max(x.count(" ") for x in lines) < 6:
+                form = "lines"  # one short thing a line
     words = WORD.findall(" ".join(s.rsplit(None, 4)[-4:]))[-3:]
     last_line = s[s.rfind("\n") + 1 :]
     title = False
@@ -311,7 +323,7 @@ def ending(answer: str) -> dict:
     return {
         "form": form,
         "open": left,
-        "stop": not left if form in ("json", "xml") else _ends_well(s),
+        "stop": not left if form in ("json", "xml") else closed or _ends_well(s),
         "last": words,
         "title": title,
         "broken": bool(_BROKEN.search(s)) and not s.endswith(("\\)", "\\]")),

@@ -38,36 +38,41 @@ from evalanvil.llm.answers import (
 from evalanvil.llm.sampling import hash_share
 
 LABELS = ("empty", "truncated", "refusal", "copy", "language")
+#: Whether the words of an answer speak for a label: what is a copy or the wrong language only the prompt can tell.
+BY_WORDS = np.array([1, 1, 1, 0, 0], np.float32)
 #: Bound of the training sample, in pairs of the data; the rest of the training set is made from them.
 SAMPLE_ROWS = 8000
 BITS = BUCKET_BITS
 MASK = (1 << BITS) - 1
-#: Neighbouring thresholds, a hundredth apart, over which calibration averages.
-SPAN = 21
+#: Weight of the data's own pairs in the first rounds, which are to find the broken ones among them: a defect that
+#: many pairs share must not pass for sound by its number.
+OWN_SHARE = 0.25
+#: What F1 is known to on the pairs that calibration has.
+NOISE = 0.005
 
 #: Ways to refuse, as openings, statements and endings that combine; training data for the refused class.
 REFUSALS = {
     "en": (
         ("", "", "Sorry, ", "I'm sorry, but ", "Unfortunately, ", "I apologise, but ", "I apologize, but ", "With regret, ", "Thank you for asking, however ", "I appreciate the question, but ", "As an assistant, ", "As an AI, ", "After some thought, ", "Thanks, but ", "I understand, but "),
-        ("I can't help with that", "I cannot help with this request", "I am not able to answer this", "I am unable to answer", "I won't be able to complete this task", "I must decline to respond to this request", "I have to decline", "I refuse to answer", "I will not do that", "I choose not to engage with this prompt", "I do not feel comfortable producing this", "I'd rather not provide an answer here", "I have to pass on this one", "my guidelines do not let me respond", "my policy does not allow this", "this request goes against the rules I work under", "that topic is off limits for me", "this is not something I can assist with", "my answer has to be no", "no answer will be provided by me", "you will have to look for this elsewhere", "this is where I have to stop", "that is something I have to leave unanswered", "I can not comply with this", "not able to comply", "request declined", "I decline", "I cannot fulfil that request", "I won't write this", "I'm afraid I can't do that", "I am not allowed to discuss this"),
+        ("I can't help with that", "I cannot help with this request", "I am not able to answer this", "I am unable to answer", "I won't be able to complete this task", "I must decline to respond to this request", "I have to decline", "I refuse to answer", "I will not do that", "I choose not to engage with this prompt", "I do not feel comfortable producing this", "I'd rather not provide an answer here", "I have to pass on this one", "my guidelines do not let me respond", "my policy does not allow this", "this request goes against the rules I work under", "that topic is off limits for me", "this is not something I can assist with", "my answer has to be no", "no answer will be provided by me", "you will have to look for this elsewhere", "this is where I have to stop", "that is something I have to leave unanswered", "I can not comply with this", "not able to comply", "request declined", "I decline", "I cannot fulfil that request", "I won't write this", "I'm afraid I can't do that", "I am not allowed to discuss this", "I don't want to answer this", "I would rather we talked about something else", "I have chosen not to answer", "I shouldn't respond to that", "there is nothing I can say about this", "I'll skip this one"),
         ("", "", "", " at this time", ", as it could be misused", " because it falls outside what I am allowed to discuss", " for safety reasons"),
         ("", "", "", " I hope you understand.", " Please ask me something else.", " If you have a different question, I would be glad to look at it.", " You may want to consult a qualified expert instead.", " I would be happy to talk about another subject.", " Requests like this need more context than I have, and a wrong answer might cause harm.", " My role is limited, and this goes beyond it."),
     ),
     "de": (
         ("", "", "Es tut mir leid, aber ", "Entschuldigung, aber ", "Leider ", "Vielen Dank, aber "),
-        ("dabei kann ich nicht helfen", "ich kann diese Frage nicht beantworten", "ich darf diese Frage nicht beantworten", "ich muss diese Bitte ablehnen", "meine Antwort ist nein", "dazu möchte ich nichts schreiben", "diese Aufgabe kann ich nicht übernehmen", "darüber darf ich nicht sprechen", "ich lehne das ab", "ich weigere mich zu antworten"),
+        ("dabei kann ich nicht helfen", "ich kann diese Frage nicht beantworten", "ich darf diese Frage nicht beantworten", "ich muss diese Bitte ablehnen", "meine Antwort ist nein", "dazu möchte ich nichts schreiben", "diese Aufgabe kann ich nicht übernehmen", "darüber darf ich nicht sprechen", "ich lehne das ab", "ich weigere mich zu antworten", "ich kann dazu nichts sagen", "darauf gehe ich nicht ein", "hierzu gebe ich keine Auskunft", "das ist mehr, als ich tun darf"),
         ("", "", ", weil meine Vorgaben das nicht zulassen", ", weil meine Richtlinien das verbieten"),
         ("", "", " Bitte stellen Sie eine andere Frage.", " Ich hoffe auf Ihr Verständnis."),
     ),
     "fr": (
         ("", "", "Je suis désolé, mais ", "Désolé, ", "Pardon, ", "Malheureusement, ", "Merci, mais "),
-        ("je ne peux pas aider avec cela", "je ne peux pas répondre à cette question", "je ne suis pas en mesure de répondre", "je dois refuser cette demande", "ma réponse est non", "je préfère ne rien écrire à ce sujet", "cette tâche dépasse ce que je peux faire", "je refuse de répondre", "je n'ai pas le droit d'en parler"),
+        ("je ne peux pas aider avec cela", "je ne peux pas répondre à cette question", "je ne suis pas en mesure de répondre", "je dois refuser cette demande", "ma réponse est non", "je préfère ne rien écrire à ce sujet", "cette tâche dépasse ce que je peux faire", "je refuse de répondre", "je n'ai pas le droit d'en parler", "je ne souhaite pas répondre", "je préfère m'abstenir", "cette demande est contraire à mes règles", "il ne m'est pas possible de vous aider"),
         ("", "", ", car mes consignes ne le permettent pas", ", car mes règles l'interdisent"),
         ("", "", " Merci de poser une autre question.", " J'espère que vous comprenez."),
     ),
     "es": (
         ("", "", "Lo siento, pero ", "Perdón, ", "Por desgracia, ", "Lamentablemente, ", "Gracias, pero "),
-        ("no puedo ayudar con eso", "no puedo responder a esta pregunta", "no estoy en condiciones de responder", "debo rechazar esta petición", "mi respuesta es no", "prefiero no escribir sobre esto", "esta tarea queda fuera de lo que puedo hacer", "me niego a responder", "no se me permite hablar de esto"),
+        ("no puedo ayudar con eso", "no puedo responder a esta pregunta", "no estoy en condiciones de responder", "debo rechazar esta petición", "mi respuesta es no", "prefiero no escribir sobre esto", "esta tarea queda fuera de lo que puedo hacer", "me niego a responder", "no se me permite hablar de esto", "no voy a responder", "prefiero no contestar", "no puedo atender esta solicitud", "esa petición va contra mis normas"),
         ("", "", ", porque mis normas no lo permiten", ", porque mis reglas lo prohíben"),
         ("", "", " Por favor, haga otra pregunta.", " Espero que lo entienda."),
     ),
@@ -78,7 +83,7 @@ SPEAKER = frozenset(
 )
 DECLINING = frozenset(
     "can't cannot unable won't decline declined declines refuse refuses refused unanswered elsewhere comply limits allowed sorry apologise apologize guidelines policy rules assist "
-    "ablehnen lehne weigere nicht darf vorgaben richtlinien leid refuser refuse peux désolé consignes rechazar niego puedo siento normas rehúso lamento pass stop comfortable engage".split()
+    "ablehnen lehne weigere nicht darf vorgaben richtlinien leid refuser refuse peux désolé consignes rechazar niego puedo siento normas rehúso lamento pass stop comfortable engage don't shouldn't rather impossible impossibile imposible abstenir prefiero".split()
 )
 #: Words of a prompt that asks for a refusal, which is then an answer.
 ASKED = frozenset(
@@ -215,7 +220,7 @@ def _given(full: int | None, other: int | None, fresh: int | None) -> bool:
 
 def _measure_buckets(key: tuple) -> tuple[int, ...]:
     """Buckets of one combination of binned measures."""
-    short, form, stop, title, formula, left, broken, mark, me, no, hits, tenths, where, asked, share, full, other, told, fresh, script, step = key
+    short, form, stop, title, formula, left, broken, mark, me, no, hits, tenths, where, asked, share, full, other, told, fresh, script, step, known = key
     tokens = [f"short:{short}", f"me:{min(me, 3)}:{min(no, 2)}:{min(short, 6)}", f"me:{min(me, 2)}", f"no:{min(no, 3)}:{min(short, 6)}"]
     if hits:
         tokens += [f"said:{min(hits, 3)}:{_bin(tenths, (2, 3, 5, 7, 10))}", f"said':{where}:{min(short, 6)}", f"said:{where}"]
@@ -242,6 +247,8 @@ def _measure_buckets(key: tuple) -> tuple[int, ...]:
     else:
         if script:
             tokens += [f"script:{step > 4}", f"script'{step > 4}"]
+        if known is not None:
+            tokens += [f"known:{known}:{min(4, short)}", f"known:{known}:{step}"]
         tokens += [f"lang:{step}", f"lang'{step}", f"lang2:{step}:{min(4, short)}", f"langcopy:{step > 5}:{back}"]
     return tuple(map(bucket, tokens))
 
@@ -254,7 +261,7 @@ def _end_buckets(form: str, back: bool, last: list[str]) -> list[int]:
         tokens += [f"last:{form}:{last[-1]}:{back:d}", f"tail:{last[-1][-3:]}:{min(len(last[-1]), 5)}:{back:d}"]
     if len(last) > 1:
         tokens.append(f"last2:{form}:{last[-2]} {last[-1]}:{back:d}")
-    if len(last) > 2 and form in ("list", "item"):
+    if len(last) > 2 and form in ("list", "bare list", "item"):
         tokens += [f"last3:{' '.join(last)}", f"item2:{last[-2]} {last[-1]}"]
     return [bucket(t) for t in tokens]
 
@@ -264,7 +271,7 @@ STEPS = (-0.3, -0.1, 0.0, 0.1, 0.2, 0.3, 0.45, 0.6, 0.8)
 
 def read_batch(prompts: list[Prompt | None], texts: list[str | None], langs: Languages) -> Batch:
     """Features of pairs. A missing prompt leaves out what compares with it; a null text is blank."""
-    empty = bucket("blank:1")
+    empty, number = bucket("blank:1"), bucket("0")
     never = bucket("unfinished:1")
     get = _cache.get
     words, word_sizes, rows, notes = [], [], [], []
@@ -285,6 +292,7 @@ def read_batch(prompts: list[Prompt | None], texts: list[str | None], langs: Lan
         mine = [bucket("0") if w[0] < ":" and w[0].isdigit() else get(w) or bucket(w) for w in shown]
         words += mine
         word_sizes.append(len(mine))
+        spoken = len(mine) - mine.count(number)  # words that a language can be told by
         e = ending(answer)
         n = len(shown)
         short = n if n < 4 else 3 + _bin(n, (4, 8, 16, 32, 64, 128))
@@ -303,14 +311,14 @@ def read_batch(prompts: list[Prompt | None], texts: list[str | None], langs: Lan
                 full = _bin(copied, (0.5, 0.65, 0.8, 0.9, 0.99))
                 other = _bin(rest / max(1, n), (0.04, 0.1, 0.18, 0.3, 0.5))
                 fresh = _bin(sum(w not in prompt.words for w in shown) / max(1, n), (0.02, 0.1, 0.2, 0.4))
-        judged = prompt is not None and bool(prompt.allowed) and n >= 2 and e["form"] not in ("json", "xml", "csv", "yaml")
+        judged = prompt is not None and bool(prompt.allowed) and spoken >= 2 and e["form"] not in ("json", "xml", "csv", "yaml")
         script, part = script_of(answer) if judged else ("", 0.0)
         back = _given(full, other, fresh)
         rows.append(
             (
                 (short, e["form"], e["stop"], e["title"], e["formula"], e["open"], e["broken"], e["mark"], me, no, *said, prompt is not None and prompt.asks_no, share, full, other, told, fresh, bool(script)),
                 [] if e["stop"] else _end_buckets(e["form"], back, e["last"]),
-                (prompt.allowed, script, part) if judged else None,
+                (prompt.allowed, script, part, spoken) if judged else None,
             )
         )
         done = e["stop"] or e["title"] or e["formula"] == 1
@@ -324,17 +332,21 @@ def read_batch(prompts: list[Prompt | None], texts: list[str | None], langs: Lan
             found = row
         else:
             key, end, judged = row
-            step = None
+            step = known = None
             if judged is not None:
-                allowed, script, part = judged
+                allowed, script, part, spoken = judged
                 if script:
                     margin = part if script not in allowed else -part
                 else:
                     s = score[i]
                     inside = max((s[k] for k, x in enumerate(LANGS) if x in allowed), default=0.0)
                     margin = max(s[k] for k, x in enumerate(LANGS) if x not in allowed) - inside
+                    # how many of all words speak for a language that may be: few in a language nobody taught;
+                    # the share of a few words says nothing
+                    if spoken >= 8:
+                        known = _bin(inside * (s[-1] + 1) / spoken, (0.05, 0.1, 0.2, 0.3, 0.5))
                 step = _bin(margin, STEPS)
-            key = (*key, step)
+            key = (*key, step, known)
             found = _measures.get(key)
             if found is None:
                 if len(_measures) > 100_000:
@@ -363,7 +375,7 @@ class Part:
     rows: np.ndarray
     places: np.ndarray  # distinct buckets
     place: np.ndarray  # of each feature, by row
-    value: np.ndarray
+    value: np.ndarray  # of each feature and label
     starts: np.ndarray
     row_by_place: np.ndarray
     value_by_place: np.ndarray
@@ -375,7 +387,8 @@ class Part:
         order, out = np.random.default_rng(seed).permutation(len(batch.measure_sizes)), []
         for lo in range(0, len(order), size):
             rows = order[lo : lo + size]
-            at, value, row = Linear.flat(batch.take(rows))
+            at, value, row, word = Linear.flat(batch.take(rows))
+            value = value[:, None] * np.where(word[:, None], BY_WORDS, np.float32(1))
             by_row = np.argsort(row, kind="stable")
             at, value, row = at[by_row], value[by_row], row[by_row]
             places, place = np.unique(at, return_inverse=True)
@@ -386,7 +399,10 @@ class Part:
 
 
 class Linear:
-    """One weight per bucket and label; words and pairs of words are averaged, measures count whole."""
+    """One weight per bucket and label; words and pairs of words are averaged, measures count whole.
+
+    Words count for the labels of BY_WORDS only.
+    """
 
     def __init__(self, labels: int):
         self.w = np.zeros((1 << BITS, labels), np.float32)
@@ -394,8 +410,8 @@ class Linear:
         self.threshold = np.full(labels, 0.5, np.float32)
 
     @staticmethod
-    def flat(batch: Batch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(buckets, their values, their rows) of all features."""
+    def flat(batch: Batch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(buckets, their values, their rows, whether they are words) of all features."""
         row = np.repeat(np.arange(len(batch.word_sizes)), batch.word_sizes)
         scale = (8.0 / np.maximum(2 * batch.word_sizes - 1, 8)).astype(np.float32)
         a, b = batch.words[:-1], batch.words[1:]
@@ -407,6 +423,7 @@ class Linear:
             np.concatenate((batch.words, pairs, batch.measures)),
             np.concatenate((scale[row], scale[pair_rows], np.ones(len(batch.measures), np.float32))),
             np.concatenate((row, pair_rows, measure_rows)),
+            np.arange(len(row) + len(pair_rows) + len(measure_rows)) < len(row) + len(pair_rows),
         )
 
     def margins(self, batch: Batch) -> np.ndarray:
@@ -419,25 +436,25 @@ class Linear:
             paired[row[:-1] != row[1:]] = 0
             both[:-1] += paired
             scale = (8.0 / np.maximum(2 * batch.word_sizes - 1, 8)).astype(np.float32)
-            out += _sums(both, batch.word_sizes) * scale[:, None]
+            out += _sums(both, batch.word_sizes) * scale[:, None] * BY_WORDS
         return out + self.bias
 
     def probabilities(self, batch: Batch) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.margins(batch), -30, 30)))
 
     def fit(self, parts: list["Part"], y: np.ndarray, use: np.ndarray, epochs: int = 10, rate: float = 0.5, decay: float = 1e-6, seed: int = 1) -> "Linear":
-        """Adagrad on the logistic loss of every label, over the rows that `use` names of prepared parts."""
+        """Adagrad on the logistic loss of every label, over the rows of prepared parts, each with its weight in `use`."""
         rng = np.random.default_rng(seed)
         g2 = np.full(self.w.shape, 1e-2, np.float32)
         b2 = np.full(self.bias.shape, 1e-2, np.float32)
         for _ in range(epochs):
             for k in rng.permutation(len(parts)):
                 part = parts[k]
-                n = max(1, int(use[part.rows].sum()))
+                n = max(1.0, float(use[part.rows].sum()))
                 sub = self.w[part.places]
-                m = np.add.reduceat(sub[part.place] * part.value[:, None], part.starts, axis=0) + self.bias
+                m = np.add.reduceat(sub[part.place] * part.value, part.starts, axis=0) + self.bias
                 d = ((1 / (1 + np.exp(-np.clip(m, -30, 30))) - y[part.rows]) * use[part.rows, None]).astype(np.float32)
-                g = np.add.reduceat(d[part.row_by_place] * part.value_by_place[:, None], part.place_starts, axis=0)
+                g = np.add.reduceat(d[part.row_by_place] * part.value_by_place, part.place_starts, axis=0)
                 g = g / n**0.5 + decay * sub
                 seen = g2[part.places] + g * g
                 g2[part.places] = seen
@@ -450,16 +467,14 @@ class Linear:
     def calibrate(self, batch: Batch, y: np.ndarray) -> None:
         """Per label, the threshold of the best F1 on pairs kept out, anywhere in (0, 1).
 
-        F1 is averaged over SPAN neighbouring thresholds, so that one pair can't move the choice far;
-        of equally good thresholds the middle one is taken.
+        F1 of so many pairs is only known to about NOISE; of the thresholds that are as good as the
+        best up to that, the middle one is taken.
         """
-        p, grid = self.probabilities(batch), np.linspace(0.02, 0.98, 97)
-        box = np.ones(SPAN) / SPAN
+        p, grid = self.probabilities(batch), np.linspace(0.01, 0.99, 99)
         for k in range(p.shape[1]):
             hit = p[:, k, None] >= grid
             f1 = 2 * (hit & (y[:, k, None] > 0)).sum(axis=0) / np.maximum(1.0, hit.sum(axis=0) + y[:, k].sum())
-            smooth = np.convolve(np.pad(f1, SPAN // 2, mode="edge"), box, mode="valid")
-            best = np.flatnonzero(smooth >= smooth.max() - 1e-9)
+            best = np.flatnonzero(f1 >= f1.max() - NOISE)
             self.threshold[k] = grid[best[len(best) // 2]]
 
 
@@ -491,6 +506,30 @@ def cut(rng: random.Random, answer: str) -> str | None:
     return None
 
 
+def laid_out(rng: random.Random, answer: str) -> tuple[str, str] | None:
+    """An answer's words as a list, lines, keys with values or code, which end without punctuation: whole, and cut."""
+    words = [w.strip(".,;:!?\"'") for w in answer.split()]
+    words = [w for w in words if w]
+    if len(words) < 12:
+        return None
+    items = [" ".join(words[i : i + rng.randint(1, 4)]) for i in (rng.randrange(len(words) - 4) for _ in range(rng.randint(3, 7)))]
+    how = rng.randrange(6)
+    if how < 3:
+        mark = ("- ", "* ", "")[how]
+        text = "\n".join(mark + x for x in items)
+    elif how == 3:
+        text = "\n".join(f"{i + 1}. {x}" for i, x in enumerate(items))
+    elif how == 4:
+        keys = [f"{rng.choice(words).lower()}: {x}" for x in items]
+        text = f"{rng.choice(words).lower()}:\n  - " + "\n    ".join(keys) if rng.random() < 0.5 else "\n".join(keys)
+    else:
+        text = f"```{rng.choice(('', 'python', 'sh'))}\n" + "\n".join(f"{x.replace(' ', '_').lower()}({rng.randint(1, 9)})" for x in items) + "\n```"
+    inside = text[: text.rfind("\n")] if how == 5 else text
+    last = inside.rfind("\n") + 1
+    at = rng.randint(last + 1, max(last + 2, len(inside) - 2))
+    return text, inside[:at].rstrip() if rng.random() < 0.7 else inside[:last] + items[-1].split()[0] + rng.choice((" and", " of the", " with", ","))
+
+
 def give_back(rng: random.Random, prompt: str) -> str:
     """A prompt given back, nearly or fully."""
     s = prompt
@@ -530,6 +569,11 @@ FOREIGN = (
     "Per questo la gente aspetta ancora. Dopo molti anni era chiaro che il paese non bastava. Ci sono molti motivi per cui la strada è importante.",
     "Há muitas razões pelas quais o porto é importante. Quando chove, as pessoas ficam em casa e não trabalham.",
     "Er zijn veel redenen waarom de haven belangrijk is. Als het regent, blijven de mensen thuis en werken ze niet.",
+    "Port jest ważny dla całego miasta. Kiedy pada deszcz, ludzie zostają w domu i nie pracują.",
+    "Havnen er vigtig for hele byen. Når det regner, bliver folk hjemme og arbejder ikke.",
+    "Liman bütün şehir için önemlidir. Yağmur yağdığında insanlar evde kalır ve çalışmaz.",
+    "Satama on tärkeä koko kaupungille. Kun sataa, ihmiset jäävät kotiin eivätkä tee työtä.",
+    "A kikötő az egész városnak fontos. Ha esik az eső, az emberek otthon maradnak és nem dolgoznak.",
 )
 
 
@@ -547,7 +591,7 @@ def training_set(pairs: list[tuple[str | None, str | None]], langs: Languages, s
         if lang:
             by_lang.setdefault(lang, []).append(a)
     for s in FOREIGN:
-        by_lang.setdefault(langs.of(lower_words(s), s) or "xx", []).append(s)
+        by_lang.setdefault(langs.of(lower_words(s), s) or "other", []).append(s)
     out: list[tuple[Prompt | None, str | None, int]] = []
     firsts = []
     for (raw, text), prompt, answer, mine in zip(pairs, prompts, answers, lang_of):
@@ -566,10 +610,12 @@ def training_set(pairs: list[tuple[str | None, str | None]], langs: Languages, s
             e = ending(answer)
             more = answer.strip() if rng.random() < 0.5 and (e["stop"] or e["formula"] == 1) and not e["open"] else ""
             out.append((prompt, rng.choice((f"{told} {more}", f"{more} {told}")).strip(), -1))
+        if rng.random() < 0.1 and (shown := laid_out(rng, answer)):
+            out += [(None, shown[0], -1), (None, shown[1], 1)]
         seen = ending(answer)
         if seen["title"] and not seen["stop"]:
             out += [(prompt, text, -1)] * 2
-        if seen["form"] in ("list", "item", "yaml", "csv"):  # rare forms count more
+        if seen["form"] in ("list", "bare list", "lines", "item", "yaml", "csv"):  # rare forms count more
             out += [(prompt, text, -1)] + [(prompt, x, 1) for x in [cut(rng, answer)] if x]
         if rng.random() < 0.45:
             no = refuse(rng, lang if rng.random() < 0.6 else rng.choice(("en", "de", "fr", "es")))
@@ -590,7 +636,8 @@ def training_set(pairs: list[tuple[str | None, str | None]], langs: Languages, s
             if others and rng.random() < 0.4:
                 swapped = rng.choice(by_lang[rng.choice(others)])
                 if rng.random() < 0.4:
-                    swapped = rng.choice(OPENINGS) + swapped
+                    opening = rng.choice(OPENINGS)
+                    swapped = opening + swapped if swapped.count(" ") > 2 * opening.count(" ") else swapped  # a phrase, not half of it
                 if rng.random() < 0.3:
                     swapped += rng.choice(("\nAnswer: A", "\nAnswer: C", " \\boxed{41}", "\n\n**Answer: B**", "\nAnswer: 12"))
                 e = ending(swapped)
@@ -629,13 +676,14 @@ class PairModel:
             return cls(langs, Linear(len(LABELS)))
         rng = np.random.default_rng(seed)
         held = rng.random(len(y)) < 0.15
-        doubtful = np.zeros(len(y), bool)
+        doubtful, own = np.zeros(len(y), bool), made_of == np.arange(len(y))
         parts = Part.all_of(batch)
         for limit in (0.4, 0.15):
-            rough = Linear(len(LABELS)).fit(parts, y, ~held & ~doubtful, epochs=3)
-            doubtful = (rough.probabilities(batch).max(axis=1) > limit)[made_of]
-        final = Linear(len(LABELS)).fit(parts, y, ~held & ~doubtful)
-        kept = held & ~doubtful
+            rough = Linear(len(LABELS)).fit(parts, y, np.where(own, OWN_SHARE, 1.0) * (~held & ~doubtful), epochs=3)
+            worst = rough.probabilities(batch).max(axis=1)
+            doubtful = (worst > limit)[made_of]
+        final = Linear(len(LABELS)).fit(parts, y, 1.0 * (~held & ~doubtful))
+        kept = held & ~(worst > 0.5)[made_of]  # what is merely doubtful counts when thresholds are sought
         final.calibrate(batch.take(np.flatnonzero(kept)), y[kept])
         return cls(langs, final)
 

@@ -14,12 +14,6 @@ from evalanvil.llm.truncation import flag_truncated, length_spikes
 from evalanvil.plans.session import cut, read_table
 
 
-def _batches(spark: SparkSession, rows: int) -> None:
-    """Arrow batches of so many rows, and of 64 MB where Spark bounds bytes too: texts may be very long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20))
-
-
 def _lines(spark: SparkSession, d: str) -> DataFrame:
     text = F.col("completion")
     limits = read_table(spark, d, "dataset_specs").groupBy("eval_id", "dataset").agg(F.max("max_tokens").alias("max_tokens"))
@@ -52,11 +46,14 @@ def with_prompts(lines: DataFrame, samples: DataFrame) -> DataFrame:
     return lines.join(prompts, "sid", "left").drop("sid")
 
 
+def _model(spark: SparkSession, d: str) -> PairModel:
+    """The classifier, trained on a bounded sample of the tables' pairs."""
+    return PairModel.fit(sample_pairs(with_prompts(sampled(_lines(spark, d)), read_table(spark, d, "samples"))))
+
+
 def _scored(spark: SparkSession, d: str) -> tuple[DataFrame, PairModel]:
-    _batches(spark, 4000)
-    lines, samples = _lines(spark, d), read_table(spark, d, "samples")
-    model = PairModel.fit(sample_pairs(with_prompts(sampled(lines), samples)))
-    return cut(score_pairs(with_prompts(lines, samples), model)), model
+    model = _model(spark, d)
+    return cut(score_pairs(with_prompts(_lines(spark, d), read_table(spark, d, "samples")), model)), model
 
 
 def _flagged(spark: SparkSession, d: str) -> tuple[DataFrame, PairModel]:
@@ -70,6 +67,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     limit = dict(zip(LABELS, map(float, model.linear.threshold)))
     ratio: dict[str, Column] = {x: F.col(x) / F.lit(limit[x]) for x in LABELS}
     ratio["truncated"] = F.when(F.col("is_truncated"), F.greatest(ratio["truncated"], F.lit(1.0))).otherwise(F.lit(0.0))
+    ratio["language"] = F.when(ratio["refusal"] >= 1, F.lit(0.0)).otherwise(ratio["language"])  # no answer at all
     best = F.greatest(*(F.struct(ratio[x].alias("r"), F.lit(x).alias("x")) for x in LABELS))
     return flagged.select("row_id", best.alias("best")).where(F.col("best.r") >= 1).select("row_id", F.col("best.x").alias("defect"))
 
@@ -100,7 +98,6 @@ def p5_evidence(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _judged(spark: SparkSession, d: str) -> DataFrame:
-    _batches(spark, 1000)
     documents = read_table(spark, d, "documents")
     return judge(documents, QualityModel.fit(sample_texts(documents), familiar=familiar_of(documents)))
 
@@ -117,7 +114,6 @@ def p8_stats(spark: SparkSession, d: str) -> DataFrame:
 
 def p6_pack(spark: SparkSession, d: str) -> DataFrame:
     """Container, place and piece of every document, for each capacity."""
-    _batches(spark, 2000)
     return pack(read_table(spark, d, "documents"), read_table(spark, d, "pack_limits"))
 
 
@@ -128,7 +124,6 @@ def p6_fill(spark: SparkSession, d: str) -> DataFrame:
 
 def p7_draw(spark: SparkSession, d: str) -> DataFrame:
     """The draw: documents in training order."""
-    _batches(spark, 2000)
     return draw(read_table(spark, d, "documents"), read_table(spark, d, "mix_targets"))
 
 

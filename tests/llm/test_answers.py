@@ -28,7 +28,7 @@ def test_blank(text, blank):
     ("text", "whole"),
     [
         ("It rains.", True), ("It rains and the", False), ("Answer: C", True), ("Therefore I choose B", True), ("\\boxed{12}", True), ("42", True), ("B)", True), ("The Old Mill In Spring", True), ("Done. ✨", True),
-        ("Fine. :)", True), ('[{"a": 1}]', True), ('[{"a": 1}, {"b"', False), ("```json\n{}", False), ("```json\n{}\n```", True), ("<a><b>x</b></a>", True), ("<a><b>x", False), ("name,n\na,1\nb,", False), ("He said \"no.\"", True),
+        ("Fine. :)", True), ('[{"a": 1}]', True), ('[{"a": 1}, {"b"', False), ("```json\n{}", False), ("```json\n{}\n```", True), ("<a><b>x</b></a>", True), ("<a><b>x", False), ("name,n\na,1\nb,", False), ("It rains. (So they say)", True), ("It rains (so they say)", False), ("```\nrun(1)\n```", True), ("See `run --all`", True), ("See `run", False), ("It rains. [3]", True), ("He said \"no.\"", True),
     ],
 )
 def test_ending(text, whole):

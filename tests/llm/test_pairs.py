@@ -156,3 +156,16 @@ def test_long_answers_follow_the_rules_of_short_ones(model):
     assert refusing("The mill is old. " * 300 + "I'm sorry, but I cannot go on.")[2] == 2
     listed = "Steps for the old mill:\n" + "a, b, c\n" * 3
     assert ending(listed)["form"] == ending("Steps " + "for the very old mill " * 20 + ":\n" + "a, b, c\n" * 3)["form"]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="needs the test tables to train on")
+def test_pairs_of_another_hand(spark):
+    """Trained as the queries train it, on hand-written pairs of other subjects: at least 0.9 in every class."""
+    from independent_pairs import PAIRS
+
+    from evalanvil.llm.queries import _model
+
+    model = _model(spark, "/root/testdata/sf0.01")
+    for kind, rows in PAIRS.items():
+        got = label(model, list(rows))
+        assert np.mean([g == kind for g in got]) >= 0.9, (kind, [(g, r[1]) for g, r in zip(got, rows) if g != kind])
