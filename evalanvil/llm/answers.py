@@ -90,13 +90,13 @@ def is_blank(answer: str) -> bool:
 
 #: Common words by language. Texts are told apart by these and by what is learned from texts that they settle.
 COMMON = {
-    "en": "the of and is are was were be to in that this it for with as at by on from not which they have has had will can so an or if then there their its you we he she what when who how than about into only over",
-    "de": "der die das und ist sind war nicht ein eine einen einem den dem des mit für auf sich es sie dass wir von zu im am aus bei nach wie wenn auch noch nur oder aber sie ihn ihr wird werden hat haben man kein",
-    "fr": "le la les des et est sont une pour que dans sur pas il elle ce qui avec du au aux en ne se un mais ou où donc plus par leur cette ces ont être était c'est d'abord l'eau quand nous vous ils",
-    "es": "el los las y es son una para que en por con no se del lo al su sus un pero como más ha han está este esta cuando todavía hay muy ya entre sobre sin también fue ser",
-    "it": "il gli e è sono una per che non si della del dei delle nel nella lo con da un ma come più ha hanno questo questa quando ancora ci di anche molti era alla al tra fra chi",
-    "pt": "o os as e é são uma para que não em por com se do da dos das no na um mas como mais foi ao ainda quando há muito já entre sobre sem também ser isso",
-    "nl": "de het een en is zijn van voor niet dat met op te aan in er ook maar om als dan nog bij naar deze die wordt hebben heeft was wel geen over uit",
+    "en": "the of and is are was were be to in that this it for with as at by on from not which they have has had will can so an or if then there their its you we he she what when who how than about into only over does did but would could should all any some more most other after before because while where these those his her my your our",
+    "de": "der die das und ist sind war nicht ein eine einen einem den dem des mit für auf sich es sie dass wir von zu im am aus bei nach wie wenn auch noch nur oder aber sie ihn ihr wird werden hat haben man kein vom zum zur durch gegen ohne unter zwischen weil damit dann dort alle alles mehr muss kann können wurde worden diese dieser dieses ihre seine",
+    "fr": "le la les des et est sont une pour que dans sur pas il elle ce qui avec du au aux en ne se un mais ou où donc plus par leur cette ces ont être était c'est d'abord l'eau quand nous vous ils même sans sous entre très aussi si bien tout tous toute toutes leurs sa ses cet peut fait d'une d'un qu'il qu'elle qu'un après",
+    "es": "el los las y es son una para que en por con no se del lo al su sus un pero como más ha han está este esta cuando todavía hay muy ya entre sobre sin también fue ser tiene tienen puede pueden donde desde hasta porque cada todo toda todos todas otro otra nos ese esa eso después",
+    "it": "il gli e è sono una per che non si della del dei delle nel nella lo con da un ma come più ha hanno questo questa quando ancora ci di anche molti era alla al tra fra chi dal dalla dai nei sul sulla degli ai cui dove quale tutto tutti tutte ogni perché poi senza può possono loro suo sua",
+    "pt": "o os as e é são uma para que não em por com se do da dos das no na um mas como mais foi ao ainda quando há muito já entre sobre sem também ser isso à às aos pela pelo ele ela eles seu sua seus suas tem têm pode podem onde desde até porque cada tudo todos todas outro outra lhe fica nem depois",
+    "nl": "de het een en is zijn van voor niet dat met op te aan in er ook maar om als dan nog bij naar deze die wordt hebben heeft was wel geen over uit ik hij zij wij dit daar wat wie hoe alle veel meer moet kan kunnen worden werd omdat zonder tussen",
 }
 _COMMON_SETS = {k: frozenset(v.split()) for k, v in COMMON.items()}
 

@@ -691,6 +691,9 @@ class PairModel:
         """(a probability per label, whether the text ends like a whole one); blank and unfinished are certain."""
         batch = read_batch(prompts, texts, self.langs)
         p = self.linear.probabilities(batch)
+        told = batch.measures == bucket("lang:none")  # nothing to tell a language against
+        p[np.repeat(np.arange(len(p)), batch.measure_sizes)[told], LABELS.index("language")] = 0
+        p[[x is None for x in prompts], LABELS.index("copy")] = 0
         for i, (blank, unfinished, _) in enumerate(batch.notes):
             if blank:
                 p[i] = (1, 0, 0, 0, 0)
