@@ -16,6 +16,7 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -29,12 +30,14 @@ from evalanvil.llm.sampling import hash_share
 KINDS = ("prose", "list", "table", "junk")
 #: Bound of the training sample, in documents.
 SAMPLE_DOCS = 2500
+#: Every second hand-checked text calibrates; the others are for tests only. None is trained on.
+CALIBRATION = HOLDOUT[::2]
 _COMMON_ANY = frozenset().union(*_COMMON_SETS.values())
 
 _BULLET = re.compile(r"\s*(?:[-*+•–—▪◦·]|\(?\d{1,3}[.)]|\(?[a-zA-Z][.)]|#\d+|\[[ xX✓]?\]|[☐☑✓→])\s+\S")
 _KEY = re.compile(r"\s*[\w .'/-]{1,40}:\s+\S")
-_TERMINAL = re.compile(r"[.!?。！？…][\"'”’»)\]*_`]*\s*\Z")
-_SENTENCE = re.compile(r"[.!?。！？…]+[\"'”’»)\]]*(?:\s+|\Z)")
+_STOPS, _AFTER_STOP = ".!?。！？…", "\"'”’»)]*_` \t\r\n\x0b\x0c"
+_SENTENCE = re.compile(r"[.!?。！？…](?<![.!?。！？…]{2})[.!?。！？…]*+[\"'”’»)\]]*+(?:\s+|\Z)")  # linear: begins at the first of several stops only
 _CELL = re.compile(r"\s{2,}")
 _RULE = re.compile(r"[\s|+:=_-]+\Z")
 
@@ -74,14 +77,33 @@ def corpus_counts(texts: Iterable[str | None], letters: np.ndarray | None = None
     """Letter pairs, and documents by word pair, of whole texts; added to the given counts if there are any."""
     letters = np.zeros(64 * 64, np.int64) if letters is None else letters
     pairs = np.zeros(1 << Familiar.BITS, np.int64) if pairs is None else pairs
-    for t in texts:
-        if isinstance(t, str) and t:
-            folded = _fold(t)
-            letters += np.bincount(_letter_pairs(folded), minlength=64 * 64)
-            pairs[_word_pairs(lower_words(t))] += 1  # once a document, however often the pair occurs in it
+    for some in _chunks([t for t in texts if isinstance(t, str) and t]):
+        folded, starts = _fold_all(some)
+        letters += np.bincount(_letter_pairs(folded), _inside(starts, len(folded)), minlength=64 * 64).astype(np.int64)
+        words = [lower_words(t) for t in some]
+        found, at = _word_pairs(words)
+        for a, b in zip(at, at[1:]):
+            pairs[found[a:b]] += 1  # once a document, however often the pair occurs in it
     return letters, pairs
 
 
+#: Characters that are turned into arrays at a time; a longer text makes a chunk of its own.
+CHUNK = 400_000
+
+
+def _chunks(texts: list[str]) -> Iterator[list[str]]:
+    """Texts in runs of about CHUNK characters, so that what numpy holds stays small."""
+    run, n = [], 0
+    for t in texts:
+        if run and n + len(t) > CHUNK:
+            yield run
+            run, n = [], 0
+        run.append(t)
+        n += len(t)
+    if run:
+        yield run
+
+
 _FOLD = np.full(256, 63, np.uint8)
 for _i, _c in enumerate("abcdefghijklmnopqrstuvwxyz"):
     _FOLD[ord(_c)] = _FOLD[ord(_c.upper())] = _i
@@ -93,117 +115,165 @@ for _i in range(128, 256):
     _FOLD[_i] = 44 + _i % 16
 
 
-def _fold(text: str) -> np.ndarray:
-    return _FOLD[np.frombuffer(text.encode("utf-8", "replace"), np.uint8)]
+def _fold_all(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The folded bytes of texts in a row, and where each begins (the end of the last one, too)."""
+    parts = [t.encode("utf-8", "replace") for t in texts]
+    return _FOLD[np.frombuffer(b"".join(parts), np.uint8)], np.cumsum([0, *map(len, parts)])
 
 
 def _letter_pairs(folded: np.ndarray) -> np.ndarray:
     return folded[:-1].astype(np.intp) * 64 + folded[1:]
 
 
-def _word_pairs(words: list[str]) -> np.ndarray:
-    if len(words) < 2:
-        return np.zeros(0, np.int64)
-    get = _hashes.get
-    h = np.array([get(w) or _hash(w) for w in words], np.int64)
-    return (h[:-1] * 1_000_003 + h[1:] * 7919) & ((1 << Familiar.BITS) - 1)
+def _inside(starts: np.ndarray, n: int) -> np.ndarray:
+    """1 for every pair of neighbours that lies within one text, 0 where one text meets the next."""
+    out = np.ones(max(0, n - 1))
+    at = starts[1:-1] - 1
+    out[at[(at >= 0) & (at < n - 1)]] = 0
+    return out
+
+
+def _word_pairs(words: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed pairs of neighbouring words of texts in a row, and where each text's begin."""
+    if len(_hashes) > 300_000:
+        _hashes.clear()
+    h = np.fromiter(map(_hashes.__getitem__, chain.from_iterable(words)), np.int64)
+    ends = np.cumsum([len(w) for w in words])
+    pairs = (h[:-1] * 1_000_003 + h[1:] * 7919) & ((1 << Familiar.BITS) - 1)
+    meets = np.zeros(max(0, len(h) - 1), bool)
+    at = ends[:-1] - 1
+    meets[at[(at >= 0) & (at < len(meets))]] = True
+    sizes = np.array([max(0, len(w) - 1) for w in words])
+    return pairs[~meets], np.concatenate(([0], np.cumsum(sizes)))
 
 
-_hashes: dict[str, int] = {}
+class _Hashes(dict):
+    def __missing__(self, w: str) -> int:
+        h = self[w] = word_bucket("0" if w[:1].isdigit() else w)
+        return h
 
 
-def _hash(w: str) -> int:
-    h = _hashes.get(w)
-    if h is None:
-        if len(_hashes) > 300_000:
-            _hashes.clear()
-        h = _hashes[w] = word_bucket("0" if w[:1].isdigit() else w)
-    return h
+_hashes = _Hashes()
 
 
 def _separators(line: str) -> tuple[str, int]:
     """The likeliest cell separator of a line and how many cells it makes."""
     best, n = "", 1
-    for s in ("|", "\t", ";", ","):
-        c = line.count(s)
-        if c >= 1 and (s != "," or ", " not in line) and (s != ";" or "; " not in line) and c + 1 > n:
-            best, n = s, c + 1
-    if n < 3 and "  " in line.strip():
+    for s in _SEPARATORS:
+        if s in line and not (s in ";," and s + " " in line):
+            c = line.count(s) + 1
+            if c > n:
+                best, n = s, c
+    if n < 3 and "  " in line:
         c = len(_CELL.split(line.strip()))
         if c > n:
             best, n = " ", c
     return best, n
 
 
+_SEPARATORS = ("|", "\t", ";", ",")
+
+
 def document_stats(text: str | None, familiar: Familiar) -> list[float]:
     """STATS of one text; zeros for a null or empty one."""
-    if not text or not text.strip():
-        return [0.0] * len(STATS)
-    n = len(text)
-    words = lower_words(text)
-    k = max(1, len(words))
-    lines = [x for x in text.split("\n") if x.strip()]
-    total = sum(map(len, lines)) or 1
-    raw = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
+    return batch_stats([text], familiar)[0].tolist()
+
+
+def batch_stats(texts: list[str | None], familiar: Familiar) -> np.ndarray:
+    """STATS of texts, a row each; zeros for a null or empty one."""
+    out = np.zeros((len(texts), len(STATS)))
+    at = [i for i, t in enumerate(texts) if t and t.strip()]
+    rows = [_of_lines(some, familiar) for some in _chunks([texts[i] for i in at])]
+    if rows:
+        out[at] = np.concatenate(rows)
+    return out
+
+
+def _characters(texts: list[str]) -> tuple[np.ndarray, ...]:
+    """Per text: characters by kind (a row of 8), capitals inside words, mixed words and numbers."""
+    n = len(texts)
+    raw = np.frombuffer("\n".join(texts).encode("utf-32-le", "replace"), np.uint32)  # no pattern goes on across the line break
     flags = _FLAGS_OF[raw]
     kind = flags & 7
-    of = np.bincount(kind, minlength=7)
-    letters, symbols = int(of[1] + of[2] + of[6]), int(of[5])
-    # lines
-    bullet = table = key = short = wrapped = plain = ended = 0
-    cells = [_separators(x) for x in lines]
-    widest = max(map(len, lines))
-    for i, x in enumerate(lines):
-        size = len(x)
-        end = bool(_TERMINAL.search(x[-8:]))
-        ended += end
-        sep, c = cells[i]
-        near = [cells[j] for j in (i - 1, i + 1) if 0 <= j < len(lines)]
-        if c >= 2 and any(s == sep and (m == c or sep in "| " and m >= 2) for s, m in near) or x[:1] in "|+" and _RULE.match(x):
-            table += size
-            continue
-        if _BULLET.match(x):
-            bullet += size
-        elif _KEY.match(x) and size < 120 and not end:
-            key += size
-        elif not end:
-            following = lines[i + 1].lstrip() if i + 1 < len(lines) else ""
-            if following and size > 0.6 * min(widest, 100) and size > 18 and (following[0].islower() or following[0].isalnum()) and widest < 130 and not _BULLET.match(following):
-                wrapped += size
-            elif size < 60:
-                plain += size
-        if size < 60 and not end:
-            short += size
-    # sentences
-    pieces = [s for s in _SENTENCE.split(text.replace("\n", " ")) if s.strip()]
-    sizes = [s.count(" ") + 1 for s in pieces]
-    good = [s for s, m in zip(pieces, sizes) if 4 <= m <= 60]
-    if pieces and not _TERMINAL.search(text[-8:]) and good and pieces[-1] is good[-1]:
-        good = good[:-1]
-    in_sentences = sum(map(len, good)) / n
-    average = sum(sizes) / max(1, len(sizes))
-    spread = max(0.0, sum(m * m for m in sizes) / max(1, len(sizes)) - average * average) ** 0.5
-    counts = Counter(words)
-    common = [w for w in words if w in _COMMON_ANY]
-    tokens = text.split()
-    mixed = _mixed(flags) / max(1, len(tokens))
-    numbers = _numbers(flags, kind) / k
-    inside = int(((kind[:-1] == 1) & (kind[1:] == 2)).sum()) / max(1, len(tokens))
-    folded = _fold(text)
-    surprise = float(familiar.letters.ravel().take(_letter_pairs(folded)).mean()) if len(folded) > 1 else 0.0
-    pairs = _word_pairs(words)
-    known = float(familiar.pairs[pairs].mean()) if len(pairs) else 0.0
-    typical = total / len(lines)
-    line_spread = max(0.0, sum(len(x) ** 2 for x in lines) / len(lines) - typical * typical) ** 0.5 / typical
-    return [
-        float(n), float(len(words)), sum(map(len, words)) / k, symbols / n, int(of[3]) / n,
-        int(of[2]) / max(1, letters), float(len(lines)), total / len(lines),
-        line_spread, ended / len(lines), bullet / total, table / total, key / total,
-        short / total, wrapped / total, in_sentences, average, spread / max(1.0, average),
-        len(set(pieces)) / max(1, len(pieces)), len(set(lines)) / len(lines), len(counts) / k ** 0.7,
-        counts.most_common(1)[0][1] / k if counts else 0.0, len(common) / k, float(len(set(common))), mixed, surprise,
-        known, numbers, plain / total, inside, float(max(map(len, tokens), default=0)), int(of[4]) / n,
-    ]
+    starts = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    sizes = np.diff(starts)
+    sizes[-1] -= 1
+    of = np.bincount(np.repeat(np.arange(n) * 8, sizes) + kind, minlength=8 * n).reshape(n, 8)
+    text_of = lambda places: np.bincount(np.searchsorted(starts, places, side="right") - 1, minlength=n)
+    inside = text_of(np.flatnonzero((kind[:-1] == 1) & (kind[1:] == 2)))
+    return of, inside, text_of(_mixed(flags)), text_of(_numbers(flags, kind))
+
+
+def _ends(line: str) -> bool:
+    """Whether a line ends like a sentence, with or without quotes or brackets after it."""
+    t = line.rstrip(_AFTER_STOP)
+    return bool(t) and t[-1] in _STOPS
+
+
+def _of_lines(texts: list[str], familiar: Familiar) -> np.ndarray:
+    """STATS of texts that are not blank."""
+    of, insides, mixed, numbers = _characters(texts)
+    folded, starts = _fold_all(texts)
+    within = _inside(starts, len(folded))
+    known_letters = np.append(familiar.letters.ravel().take(_letter_pairs(folded)) * within, [0.0, 0.0])
+    letter_pairs = np.maximum(np.diff(starts) - 1, 0)
+    surprise = np.add.reduceat(known_letters, starts[:-1]) / np.maximum(letter_pairs, 1)
+    words_of = [lower_words(t) for t in texts]
+    pairs, begins = _word_pairs(words_of)
+    known = np.concatenate(([0], np.cumsum(familiar.pairs[pairs])))
+    known_share = (known[begins[1:]] - known[begins[:-1]]) / np.maximum(np.diff(begins), 1)
+    rows = []
+    for i, (text, words) in enumerate(zip(texts, words_of)):
+        n, k = len(text), max(1, len(words))
+        lines = [x for x in text.split("\n") if x.strip()]
+        sizes = [*map(len, lines)]
+        total, widest = sum(sizes) or 1, max(sizes)
+        letters, symbols = int(of[i, 1] + of[i, 2] + of[i, 6]), int(of[i, 5])
+        bullet = table = key = short = wrapped = plain = ended = 0
+        cells = [_separators(x) for x in lines]
+        for j, x in enumerate(lines):
+            size = sizes[j]
+            end = _ends(x)
+            ended += end
+            sep, c = cells[j]
+            if c >= 2 or x[0] in "|+":
+                near = [cells[m] for m in (j - 1, j + 1) if 0 <= m < len(lines)]
+                if c >= 2 and any(s == sep and (m == c or sep in "| " and m >= 2) for s, m in near) or x[0] in "|+" and _RULE.match(x):
+                    table += size
+                    continue
+            if _BULLET.match(x):
+                bullet += size
+            elif not end and size < 120 and _KEY.match(x):
+                key += size
+            elif not end:
+                following = lines[j + 1].lstrip() if j + 1 < len(lines) else ""
+                if following and size > 0.6 * min(widest, 100) and size > 18 and (following[0].islower() or following[0].isalnum()) and widest < 130 and not _BULLET.match(following):
+                    wrapped += size
+                elif size < 60:
+                    plain += size
+            if size < 60 and not end:
+                short += size
+        pieces = [s for s in _SENTENCE.split(text.replace("\n", " ")) if s.strip()]
+        counts = [s.count(" ") + 1 for s in pieces]
+        in_sentences = sum(len(s) for s, m in zip(pieces, counts) if 4 <= m <= 60)
+        if pieces and 4 <= counts[-1] <= 60 and not _ends(text):
+            in_sentences -= len(pieces[-1])
+        average = sum(counts) / max(1, len(counts))
+        spread = max(0.0, sum(m * m for m in counts) / max(1, len(counts)) - average * average) ** 0.5
+        distinct = Counter(words)
+        common = distinct.keys() & _COMMON_ANY
+        tokens = text.split()
+        t = max(1, len(tokens))
+        typical = total / len(lines)
+        line_spread = max(0.0, sum(x * x for x in sizes) / len(lines) - typical * typical) ** 0.5 / typical
+        rows.append((
+            n, len(words), len("".join(words)) / k, symbols / n, int(of[i, 3]) / n, int(of[i, 2]) / max(1, letters), len(lines), typical,
+            line_spread, ended / len(lines), bullet / total, table / total, key / total, short / total, wrapped / total, in_sentences / n,
+            average, spread / max(1.0, average), len(set(pieces)) / max(1, len(pieces)), len(set(lines)) / len(lines), len(distinct) / k**0.7,
+            max(distinct.values(), default=0) / k, sum(map(distinct.__getitem__, common)) / k, len(common), int(mixed[i]) / t, surprise[i],
+            known_share[i], int(numbers[i]) / k, plain / total, int(insides[i]) / t, max(map(len, tokens), default=0), int(of[i, 4]) / n,
+        ))
+    return np.array(rows, np.float64)
 
 
 #: Flags beside the kind: part of a word; a symbol that mixes words; what a number may go on with.
@@ -242,30 +312,30 @@ _WORD_CHAR = re.compile(r"\w")
 _FLAGS_OF = _flags()
 
 
-def _mixed(flags: np.ndarray) -> int:
-    """Matches of [word character][symbols][word character], none of which overlap."""
+def _mixed(flags: np.ndarray) -> np.ndarray:
+    """Places of matches of [word character][symbols][word character], none of which overlap."""
     on = np.flatnonzero(flags & _MIXES)
     if not len(on):
-        return 0
+        return on
     gap = np.flatnonzero(np.diff(on) > 1)
     before, after = np.concatenate((on[:1], on[gap + 1])) - 1, np.concatenate((on[gap], on[-1:])) + 1
     word = np.append(flags & _IN_WORD, 0)  # the last is before the first and after the last character
     at = np.flatnonzero((word[before] > 0) & (word[after] > 0))
     if len(at) < 2:
-        return len(at)
+        return after[at] - 1
     begins = np.append(True, before[at[1:]] != after[at[:-1]])  # else it shares a character with the match before
     place = np.arange(len(at))
-    return int(((place - np.maximum.accumulate(np.where(begins, place, 0))) % 2 == 0).sum())
+    return after[at[(place - np.maximum.accumulate(np.where(begins, place, 0))) % 2 == 0]] - 1
 
 
-def _numbers(flags: np.ndarray, kind: np.ndarray) -> int:
-    """Numbers that begin where a word may, with the word characters, points and commas that follow."""
+def _numbers(flags: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    """Places of numbers that begin where a word may, with the word characters, points and commas that follow."""
     first = np.flatnonzero(kind == 3)
     first = first[(first == 0) | (flags[first - 1] & _IN_WORD == 0)]
     if len(first) < 2:
-        return len(first)
+        return first
     ends = np.searchsorted(np.flatnonzero(flags & _GOES_ON == 0), first)
-    return 1 + int((ends[1:] != ends[:-1]).sum())
+    return first[np.append(True, ends[1:] != ends[:-1])]
 
 
 class Trees:
@@ -292,10 +362,11 @@ class Trees:
             p = np.exp(margins - margins.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
             step = []
-            rows = rng.random(n) < 0.7
+            rows = np.flatnonzero(rng.random(n) < 0.7)
+            drawn = b[rows]
             for c in range(k):
-                g, h = (p[:, c] - onehot[:, c]), np.maximum(p[:, c] * (1 - p[:, c]), 1e-6)
-                tree = self._grow(b, g * rows, h * rows, rng.random(m) < 0.8)
+                g, h = (p[rows, c] - onehot[rows, c]), np.maximum(p[rows, c] * (1 - p[rows, c]), 1e-6)
+                tree = self._grow(drawn, g, h, rng.random(m) < 0.8)
                 step.append(tree)
                 margins[:, c] += self.rate * self._leaf(tree, b)
             self.trees.append(step)
@@ -303,28 +374,27 @@ class Trees:
 
     def _grow(self, b, g, h, use) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(feature, cut, leaf values) of a complete tree; a node that isn't split sends all to the left."""
-        inner = (1 << self.DEPTH) - 1
-        feature, cut = np.zeros(inner, np.int64), np.full(inner, self.BINS + 1, np.int64)
-        node = np.zeros(len(b), np.int64)
+        inner, bins = (1 << self.DEPTH) - 1, self.BINS + 1
+        feature, cut = np.zeros(inner, np.int64), np.full(inner, bins, np.int64)
+        node, rows = np.zeros(len(b), np.int64), np.arange(len(b))
+        used = np.flatnonzero(use)
+        place = (b[:, used] + np.arange(len(used)) * bins).ravel()
+        gs_of, hs_of = np.repeat(g, len(used)), np.repeat(h, len(used))
         for depth in range(self.DEPTH):
             first, width = (1 << depth) - 1, 1 << depth
-            at = node - first
-            best = np.full(width, 1e-3)
-            for j in np.flatnonzero(use):
-                slot = at * (self.BINS + 1) + b[:, j]
-                gs = np.bincount(slot, g, width * (self.BINS + 1)).reshape(width, -1)
-                hs = np.bincount(slot, h, width * (self.BINS + 1)).reshape(width, -1)
-                gl, hl = gs.cumsum(axis=1)[:, :-1], hs.cumsum(axis=1)[:, :-1]
-                gt, ht = gs.sum(axis=1, keepdims=True), hs.sum(axis=1, keepdims=True)
-                gain = gl**2 / (hl + 1) + (gt - gl) ** 2 / (ht - hl + 1) - gt**2 / (ht + 1)
-                gain[(hl < 1) | (ht - hl < 1)] = 0
-                top = gain.argmax(axis=1)
-                value = gain[np.arange(width), top]
-                better = value > best
-                best[better] = value[better]
-                feature[first : first + width][better] = j
-                cut[first : first + width][better] = top[better]
-            node = 2 * node + 1 + (b[np.arange(len(b)), feature[node]] > cut[node])
+            slot = place + np.repeat((node - first) * (len(used) * bins), len(used))
+            gs = np.bincount(slot, gs_of, width * len(used) * bins).reshape(width, len(used), bins)
+            hs = np.bincount(slot, hs_of, width * len(used) * bins).reshape(width, len(used), bins)
+            gl, hl = gs.cumsum(axis=2)[:, :, :-1], hs.cumsum(axis=2)[:, :, :-1]
+            gt, ht = gs.sum(axis=2, keepdims=True), hs.sum(axis=2, keepdims=True)
+            gain = gl**2 / (hl + 1) + (gt - gl) ** 2 / (ht - hl + 1) - gt**2 / (ht + 1)
+            gain[(hl < 1) | (ht - hl < 1)] = 0
+            flat = gain.reshape(width, -1)
+            top = flat.argmax(axis=1)
+            better = flat[np.arange(width), top] > 1e-3
+            feature[first : first + width][better] = used[top[better] // (bins - 1)]
+            cut[first : first + width][better] = top[better] % (bins - 1)
+            node = 2 * node + 1 + (b[rows, feature[node]] > cut[node])
         leaf = node - inner
         gs, hs = np.bincount(leaf, g, inner + 1), np.bincount(leaf, h, inner + 1)
         return feature, cut, -gs / (hs + 1)
@@ -351,12 +421,18 @@ class Trees:
         return p / p.sum(axis=1, keepdims=True)
 
     def calibrate(self, x: np.ndarray, y: np.ndarray) -> None:
-        """The temperature of the best log-likelihood on hand-checked texts."""
+        """The temperature of the best log-likelihood on hand-checked texts.
+
+        n texts can't show that fewer than one in n + 2 is wrong, so that much of each label is
+        spread over the kinds; the best temperature is then finite and lies inside the grid.
+        """
         m = self.margins(x)
+        doubt = 1 / (len(y) + 2)
+        target = np.eye(len(KINDS))[y] * (1 - doubt) + doubt / len(KINDS)
         best = (np.inf, 1.0)
-        for t in np.linspace(0.5, 6, 56):
-            z = m / t
-            loss = float((np.log(np.exp(z - z.max(axis=1, keepdims=True)).sum(axis=1)) - (z - z.max(axis=1, keepdims=True))[np.arange(len(y)), y]).mean())
+        for t in np.geomspace(0.05, 20, 121):
+            z = m / t - (m / t).max(axis=1, keepdims=True)
+            loss = float((np.log(np.exp(z).sum(axis=1)) - (z * target).sum(axis=1)).mean())
             best = min(best, (loss, float(t)))
         self.temperature = best[1]
 
@@ -504,6 +580,23 @@ def vary_prose(rng: random.Random, text: str, sentences: list[str]) -> str:
     return f"{text}\n\n`{rng.choice(letters_of(sentences))}_{rng.randint(1, 9)} --n={rng.randint(1, 99)}`"
 
 
+#: Prose that training always has, so that a corpus without any still gives a model.
+BASE_PROSE = (
+    "The boat left before sunrise, and by noon the island was only a thin line behind us. Nobody spoke much. We had food for three days and a map that was older than the captain.",
+    "When you mix flour and water, two proteins in the flour join and form a net. That net is what makes dough stretch. If you knead it, the strands line up and the dough becomes smooth.",
+    "My grandmother never wrote her recipes down. She measured with her hands and judged an oven by the sound it made, and when we asked how long something had to bake, she said that we would smell it.",
+    "Most people think that deserts are hot. Some are, but the largest of them lies in the south and is covered by ice. What makes a desert is the lack of rain, not the heat.",
+    "The committee met again on Tuesday. It could not agree on a date, because half of its members were away in June and the others in July, so the decision was put off until autumn.",
+    "Der Laden an der Ecke hat seit gestern geschlossen. Die Besitzerin ist in den Süden gezogen, weil ihr das Wetter hier nicht bekam, und einen Nachfolger hat sie nicht gefunden.",
+    "Als wir ankamen, war das Tor schon zu. Wir gingen einmal um die Mauer herum und fanden auf der anderen Seite eine kleine Tür, die nicht abgeschlossen war.",
+    "Wer einen Garten anlegt, muss vor allem warten können. Im ersten Jahr sieht man wenig, im zweiten etwas mehr, und erst im dritten stehen die Stauden so dicht, dass kein Unkraut mehr durchkommt.",
+    "Le musée ouvre à dix heures, mais il vaut mieux arriver plus tôt. La queue est longue dès le matin, et la salle des cartes, qui est la plus belle, ferme à midi.",
+    "Quand il pleuvait, nous restions dans la grange et mon oncle racontait des histoires de la guerre. Il en changeait la fin à chaque fois, si bien que personne n'a jamais su laquelle était vraie.",
+    "El tren sale del pueblo a las seis y llega a la costa cuando todavía es de noche. Los pescadores ya están en el muelle, y quien quiera comprar algo bueno tiene que darse prisa.",
+    "Mi padre decía que una casa se conoce por la cocina. La nuestra era pequeña y siempre estaba llena de gente, aunque casi nadie tenía la costumbre de avisar antes de venir.",
+)
+
+
 @dataclass
 class QualityModel:
     familiar: Familiar
@@ -513,23 +606,14 @@ class QualityModel:
     def fit(cls, texts: list[str], seed: int = 5, familiar: Familiar | None = None) -> "QualityModel":
         """Trees trained on a sample; familiar: of the corpus that it is from, else of the sample itself."""
         rng = random.Random(seed)
-        texts = [t for t in texts if t and t.strip()]
+        texts = [*BASE_PROSE, *(t for t in texts if t and t.strip())]
         blind = Familiar(np.zeros((64, 64), np.float32), np.zeros(1 << Familiar.BITS, bool), np.zeros(0))
-        prose = [t for t in texts if clear_prose(document_stats(t, blind))]
-        prose += [t for t, k in HOLDOUT if k == "prose"] if len(prose) < 20 else []
+        prose = [t for t, x in zip(texts, batch_stats(texts, blind)) if clear_prose(x.tolist())]
         familiar = familiar or Familiar.of(*corpus_counts(texts))
-        x, y = [], []
+        made: list[tuple[str, int]] = []
 
         def add(text: str, kind: int) -> None:
-            x.append(document_stats(text, familiar))
-            y.append(kind)
-            if rng.random() < 0.4:  # the same text as if it came from elsewhere
-                moved = list(x[-1])
-                moved[_AT["known_pair_share"]] = 0.1 * rng.random()
-                moved[_AT["letter_surprise"]] += rng.uniform(0.0, 1.2)
-                moved[_AT["type_token"]] *= rng.uniform(0.9, 1.5)
-                x.append(moved)
-                y.append(kind)
+            made.append((text, kind))
 
         bank = [s.strip() for t in rng.sample(prose, min(len(prose), 400)) for s in re.split(r"(?<=[.!?])\s+", t.replace("\n", " ")) if 3 < s.count(" ") < 40]
         for t in prose:
@@ -543,10 +627,15 @@ class QualityModel:
             add(make_junk(rng, pool), 3)
             if rng.random() < 0.3:
                 add(make_junk(rng, pool), 3)
-        trees = Trees().fit(np.array(x), np.array(y))
-        trees.calibrate(
-            np.array([document_stats(t, familiar) for t, _ in HOLDOUT]), np.array([KINDS.index(k) for _, k in HOLDOUT])
-        )
+        x, y = batch_stats([t for t, _ in made], familiar), np.array([k for _, k in made])
+        again = np.random.default_rng(seed)
+        drawn = np.flatnonzero(again.random(len(x)) < 0.4)
+        moved = x[drawn]  # the same texts as if they came from elsewhere
+        moved[:, _AT["known_pair_share"]] = 0.1 * again.random(len(moved))
+        moved[:, _AT["letter_surprise"]] += again.uniform(0.0, 1.2, len(moved))
+        moved[:, _AT["type_token"]] *= again.uniform(0.9, 1.5, len(moved))
+        trees = Trees().fit(np.concatenate((x, moved)), np.concatenate((y, y[drawn])))
+        trees.calibrate(batch_stats([t for t, _ in CALIBRATION], familiar), np.array([KINDS.index(k) for _, k in CALIBRATION]))
         return cls(familiar, trees)
 
 
@@ -604,7 +693,7 @@ def judge(documents: DataFrame, model: QualityModel, id_col: str = "doc_id", tex
         m = shared.value
         for pdf in batches:
             texts = [t if isinstance(t, str) else None for t in pdf["text"]]
-            x = np.array([document_stats(t, m.familiar) for t in texts]).reshape(len(texts), len(STATS))
+            x = batch_stats(texts, m.familiar)
             p = m.trees.probabilities(x) if len(x) else np.zeros((0, len(KINDS)))
             p[x[:, 0] == 0] = (0, 0, 0, 1)
             out = pd.DataFrame({"doc_id": pdf["doc_id"]} | {name: x[:, j] for j, name in enumerate(STATS)})

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import os
 import random
 import re
 
@@ -34,8 +35,50 @@ def test_held_out(model):
 
 
 def test_hand_checked(model):
-    right = [a == k for a, (_, k) in zip(judged(model, [t for t, _ in HOLDOUT]), HOLDOUT)]
-    assert np.mean(right) > 0.75 and 0.5 <= model.trees.temperature <= 6  # trained on 300 texts of one kind of prose
+    """On the half of the hand-checked texts that does not calibrate; the temperature lies inside its grid."""
+    unseen = HOLDOUT[1::2]
+    right = [a == k for a, (_, k) in zip(judged(model, [t for t, _ in unseen]), unseen)]
+    assert np.mean(right) >= 0.9 and 0.06 < model.trees.temperature < 19
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="needs the test tables to train on")
+def test_texts_of_another_hand(spark):
+    """Trained as the queries train it, on hand-written texts of other subjects: at least 0.9 of every kind."""
+    from independent_texts import TEXTS
+
+    from evalanvil.plans.session import read_table
+
+    documents = read_table(spark, "/root/testdata/sf0.01", "documents")
+    model = Q.QualityModel.fit(Q.sample_texts(documents), familiar=Q.familiar_of(documents))
+    got = judged(model, [t for t, _ in TEXTS])
+    assert len(TEXTS) >= 150
+    for kind in Q.KINDS:
+        found = [(a, t) for a, (t, k) in zip(got, TEXTS) if k == kind and t.strip()]
+        assert np.mean([a == kind for a, _ in found]) >= 0.9, [t for a, t in found if a != kind]
+
+
+def test_a_corpus_without_prose_still_gives_a_model():
+    few = Q.QualityModel.fit(["1;2;3\n4;5;6\n7;8;9"] * 5)
+    assert judged(few, ["| a | b |\n|---|---|\n" + "| 1 | 2 |\n" * 9, prose(random.Random(1))]) == ["table", "prose"]
+
+
+def test_ends_are_found_whatever_follows():
+    """A line's end is judged behind any number of quotes, brackets and blanks."""
+    blind = Q.Familiar(np.zeros((64, 64), np.float32), np.zeros(1 << Q.Familiar.BITS, bool), np.zeros(0))
+    for tail in ("", '"', ")" * 40, " " * 400):
+        assert Q.document_stats(f"The mill is old.{tail}\nIt stands{tail}", blind)[Q.STATS.index("line_end_share")] == 0.5
+    assert Q.document_stats("." * 200_000 + "x", blind)[0] == 200_001  # in linear time
+
+
+def test_batches_and_chunks_change_nothing(monkeypatch):
+    rng = random.Random(8)
+    texts = [prose(rng), "", None, "a", "x" * 5000, Q.make_table(rng, ["one two three four."] * 4), "\n\n", "é🙂 #a#b 7", prose(rng)] * 3
+    fam = Q.Familiar.of(*Q.corpus_counts(texts))
+    one = np.array([Q.document_stats(t, fam) for t in texts])
+    assert np.allclose(Q.batch_stats(texts, fam), one) and Q.batch_stats([], fam).shape == (0, len(Q.STATS))
+    counts = Q.corpus_counts(texts)
+    monkeypatch.setattr(Q, "CHUNK", 50)
+    assert np.allclose(Q.batch_stats(texts, fam), one) and all((a == b).all() for a, b in zip(counts, Q.corpus_counts(texts)))
 
 
 def test_stats_by_hand():
@@ -84,12 +127,13 @@ def test_corpus_counts_cover_all_documents(spark):
     texts = [prose(random.Random(i)) for i in range(60)] + ["x" * 25_000 + " the zebra quietly hummed"] * 2 + ["a b", "a b a b", "", None]
     letters, pairs = np.zeros((64, 64), np.int64), np.zeros(1 << Q.Familiar.BITS, np.int64)
     for t in filter(None, texts):
-        np.add.at(letters, (Q._fold(t)[:-1], Q._fold(t)[1:]), 1)
-        np.add.at(pairs, np.unique(Q._word_pairs(Q.lower_words(t))), 1)
+        folded = Q._fold_all([t])[0]
+        np.add.at(letters, (folded[:-1], folded[1:]), 1)
+        np.add.at(pairs, np.unique(Q._word_pairs([Q.lower_words(t)])[0]), 1)
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
     got, want = Q.familiar_of(df.repartition(7)), Q.Familiar.of(letters.ravel(), pairs)
     assert (got.letters == want.letters).all() and (got.pairs == want.pairs).all()
-    assert got.pairs[Q._word_pairs(["quietly", "hummed"])].all()  # at the end of long texts that are no clear prose
+    assert got.pairs[Q._word_pairs([["quietly", "hummed"]])[0]].all()  # at the end of long texts that are no clear prose
     assert Q.familiar_of(df.limit(0)).pairs.sum() == 0
     assert Q.Familiar.of(letters.ravel(), pairs + 1000).pairs.mean() < 0.01  # chance alone makes no pair known
 
