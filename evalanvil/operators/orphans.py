@@ -1,42 +1,58 @@
-"""References to records that do not exist, by key-range bitmaps.
+"""References to records that do not exist, by compressed key-range bitmaps.
 
-Keys become integers (a dictionary kept in the shared folder), every key range of 32,768 codes
-gets one bitmap of referenced keys per month and bitmaps of the keys that begin and end in a
-month. Within a range the parents that are in service for a whole month are a running OR of the
-beginnings AND-NOT the ends; `referenced AND-NOT in service` leaves the orphans and the keys whose
-state changes inside the month. Only the decoded survivors meet the rows again, and their exact
-kind is settled by timestamps.
+Keys become integers (a dictionary kept in the shared folder): a hash names the key's range, its
+rank there the place, so ranges are filled evenly however the rows are laid out. Every range of
+32,768 codes gets one compressed bitmap (sorted array, runs or dense, whichever is smallest) of
+referenced keys per month, and bitmaps of the keys that begin and end in a month; they are stored by
+range and month. Within a range the parents that are in service for a whole month are a running OR
+of the beginnings AND-NOT the ends; `referenced AND-NOT in service` leaves the orphans and the keys
+whose state changes inside the month. Only the decoded survivors meet the rows again, and their
+exact kind is settled by timestamps.
 
 Scale: the bitmap stage sees each key once a month, however many rows name it (map-side
 pre-aggregation), a range holds at most 4 KB a month, the survivors join the rows by
 (key, month), where the row side may be skewed and is split by AQE's skew join. Nothing is
-collected or broadcast by hand. Bitmaps travel compressed (shuffle and Parquet codecs).
+collected or broadcast by hand.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalanvil.functions.keys import month_index, present
+from evalanvil.operators.containers import BITS, WIDTH, compress, dense, positions_of
 from evalanvil.plans.session import stored
 
-RANGE_BITS = 15  # bitmap_construct_agg holds 32,768 bits
+#: Keys that a range is to hold on average; the rest of its places takes what the hash gives it beyond that.
+FILLED = 24_576
+#: Places set apart for a range in the codes: a range that is too full spills into the bitmaps after its own.
+RANGE_STRIDE = 20
 KINDS = ("missing", "deleted", "late")
 
 
+def _compressed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Lists of places as compressed bitmaps."""
+    for pdf in batches:
+        made = [compress(x) for x in pdf["places"]]
+        out = pdf.drop(columns="places")
+        out["form"], out["bits"] = [f for f, _ in made], [b for _, b in made]
+        yield out
+
+
 def _survivors(pdf: pd.DataFrame) -> pd.DataFrame:
     """referenced AND-NOT in service, for one key range."""
     of: dict[str, dict[int, np.ndarray]] = {"ref": {}, "begin": {}, "end": {}}
-    for side, month, bits in zip(pdf["side"], pdf["month"], pdf["bits"]):
-        of[side][int(month)] = np.frombuffer(bits, dtype=np.uint8)
-    width = 2**RANGE_BITS // 8
-    ever = np.zeros(width, np.uint8)
+    for side, month, form, bits in zip(pdf["side"], pdf["month"], pdf["form"], pdf["bits"]):
+        of[side][int(month)] = dense(form, bits)
+    ever = np.zeros(WIDTH // 8, np.uint8)
     for bits in of["begin"].values():
         ever = ever | bits
-    begun, ended = np.zeros(width, np.uint8), np.zeros(width, np.uint8)
+    begun, ended = np.zeros(WIDTH // 8, np.uint8), np.zeros(WIDTH // 8, np.uint8)
     begins, ends = sorted(of["begin"]), sorted(of["end"])
     codes, months = [], []
     i = j = 0
@@ -51,10 +67,10 @@ def _survivors(pdf: pd.DataFrame) -> pd.DataFrame:
                 ended = ended | of["end"][ends[j]]
                 j += 1
             left = of["ref"][month] & ~(begun & ~ended)
-        at = np.flatnonzero(np.unpackbits(left, bitorder="little"))
+        at = positions_of(left)
         codes.append(at)
         months.append(np.full(len(at), month))
-    start = int(pdf["key_range"].iloc[0]) << RANGE_BITS
+    start = int(pdf["key_range"].iloc[0]) << BITS
     return pd.DataFrame(
         {
             "code": (np.concatenate(codes) if codes else np.zeros(0, np.int64)).astype(np.int64) + start,
@@ -63,6 +79,13 @@ def _survivors(pdf: pd.DataFrame) -> pd.DataFrame:
     )
 
 
+def _ranges(refs: DataFrame, parents: DataFrame, ks: list[str]) -> int:
+    """How many key ranges there are to be: about one per FILLED distinct keys."""
+    h = F.approx_count_distinct(F.xxhash64(*ks))
+    n = sum(df.agg(h).first()[0] for df in (refs, parents))
+    return max(1, -(-n // FILLED))
+
+
 def find_orphans(
     refs: DataFrame,
     parents: DataFrame,
@@ -103,10 +126,12 @@ def find_orphans(
         .select(*ks, "month", nothing.cast("struct<begins:timestamp,ends:timestamp>").alias("life"))
         .unionByName(p.select(*ks, F.lit(None).cast("int").alias("month"), life.alias("life")).distinct())
     )
+    keyed = sides.groupBy(*ks).agg(F.collect_set("month").alias("months"), F.collect_set("life").alias("lives"))
+    home = F.pmod(F.xxhash64(*ks), F.lit(_ranges(r, p, ks)))
+    place = F.row_number().over(Window.partitionBy("home").orderBy(*ks)) - 1
     dictionary = stored(
-        sides.groupBy(*ks)
-        .agg(F.collect_set("month").alias("months"), F.collect_set("life").alias("lives"))
-        .withColumn("code", _dense_code())
+        keyed.withColumn("home", home)
+        .select(*ks, "months", "lives", (F.shiftleft("home", RANGE_STRIDE) + place).alias("code"))
     )
     # A key is in service for a whole month after the month it begins and before the month it ends;
     # a key with several lives counts from its first beginning to its first end and meets the exact check.
@@ -123,9 +148,9 @@ def find_orphans(
             .where(F.col("month") < 2**31 - 1)
         )
     )
-    bitmaps = bits.groupBy(F.shiftright("code", RANGE_BITS).alias("key_range"), "side", "month").agg(
-        F.bitmap_construct_agg(F.col("code").bitwiseAND(F.lit(2**RANGE_BITS - 1))).alias("bits")
-    )
+    places = F.collect_list(F.col("code").bitwiseAND(F.lit(WIDTH - 1)).cast("int")).alias("places")  # at most WIDTH of them
+    listed = bits.groupBy(F.shiftright("code", BITS).alias("key_range"), "side", "month").agg(places)
+    bitmaps = stored(listed.mapInPandas(_compressed, "key_range long, side string, month int, form string, bits binary"))
     left = bitmaps.groupBy("key_range").applyInPandas(_survivors, "code long, month int")
     suspects = left.join(dictionary.select("code", "lives", *ks), "code").drop("code")
     t = F.col("ref_time")
@@ -149,12 +174,6 @@ def month_index_or(ts: Column, other: int) -> Column:
     return F.when(ts.isNull(), F.lit(other)).otherwise(month_index(ts))
 
 
-def _dense_code() -> Column:
-    """A code that is dense within each task: ranges of 32,768 codes hold keys of one task only."""
-    # monotonically_increasing_id puts the task in the upper bits and counts within it.
-    return F.monotonically_increasing_id()
-
-
 def first_kind(orphans: DataFrame) -> DataFrame:
     """One row per ref_id, with the first of KINDS that any of its references has."""
     rank = F.min(F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")))

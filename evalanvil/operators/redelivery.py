@@ -28,6 +28,8 @@ POSITIONS = 64
 HASHES = 4
 KEYS_PER_BLOCK = 6  # of a bucket: 64 positions / 6 keys = 10.7 bits a key
 BUCKET_SECONDS = 7 * 86_400
+#: Buckets for which the tasks of one shuffle are enough without splitting any.
+BUCKETS_AT_ONCE = 16
 
 
 def _positions(keys: list[str]) -> list[Column]:
@@ -55,7 +57,10 @@ def keepers(messages: DataFrame, keys: list[str], row_id: str, time: str, second
     bucket width nor on how row ids and times are ordered.
     """
     ks = [f"k{i}" for i in range(len(keys))]
-    store = stored(bucket_firsts(messages, keys, row_id, time, seconds), "bucket")
+    firsts = bucket_firsts(messages, keys, row_id, time, seconds)
+    # few files a bucket, whatever the number of tasks; a bucket with a third of all rows is spread over the salts
+    salts = max(1, int(messages.sparkSession.conf.get("spark.sql.shuffle.partitions")) // BUCKETS_AT_ONCE)
+    store = stored(firsts.repartition(F.col("bucket"), F.pmod(F.xxhash64(*ks), F.lit(salts))), "bucket")
     by_bucket = store.groupBy("bucket").count()  # one row a time bucket
     top = by_bucket.agg(F.max("count").alias("n"), F.min("bucket").alias("first")).first()
     if top["n"] is None:

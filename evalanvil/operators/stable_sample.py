@@ -105,14 +105,12 @@ def advance(registry: DataFrame | None, samples: DataFrame, id_col: str, time: s
     return new if registry is None else registry.select("id", "epoch", "rate").unionByName(new)
 
 
-def advanced(path: str | None, samples: DataFrame, id_col: str, time: str, rate: Callable[[Column], Column]) -> DataFrame:
-    """The registry kept as Parquet at `path`, advanced by samples and written back; without a path, that of a first run.
+def advanced(path: str, samples: DataFrame, id_col: str, time: str, rate: Callable[[Column], Column]) -> DataFrame:
+    """The registry kept as Parquet at `path`, advanced by samples and written back: (id, epoch, rate).
 
-    Only new rows are appended, so a row once written is never written again. One job at a time may
-    advance a registry.
+    Only new rows are appended, so a row once written is never written again; a late row with an
+    earlier time doesn't change a rate. Should two jobs append the same id, the earlier epoch counts.
     """
-    if path is None:
-        return advance(None, samples, id_col, time, rate)
     spark = samples.sparkSession
     schema = "id string, epoch bigint, rate double"
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -121,7 +119,14 @@ def advanced(path: str | None, samples: DataFrame, id_col: str, time: str, rate:
     old = spark.read.schema(schema).parquet(path) if ready else None
     new = advance(None, samples if old is None else _unknown(samples, id_col, old), id_col, time, rate)
     new.select("id", F.col("epoch").cast("long").alias("epoch"), "rate").write.mode("append").parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    kept = spark.read.schema(schema).parquet(path).groupBy("id").agg(F.min(F.struct("epoch", "rate")).alias("first"))
+    return kept.select("id", "first.epoch", "first.rate")
+
+
+def present_in(registry: DataFrame, samples: DataFrame, id_col: str) -> DataFrame:
+    """The registry's rows whose id the samples hold (a registry outlives what is taken out of the table)."""
+    ids = samples.select(norm_id(F.col(id_col)).alias("id")).where(F.col("id").isNotNull()).distinct()
+    return registry.join(ids, "id", "left_semi")
 
 
 def _unknown(samples: DataFrame, id_col: str, registry: DataFrame) -> DataFrame:

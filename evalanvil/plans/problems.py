@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,8 +11,8 @@ from evalanvil.functions.keys import model_key, month_label, norm_id
 from evalanvil.operators.orphans import find_orphans, first_kind
 from evalanvil.operators.recount import expected_ids, recount
 from evalanvil.operators.redelivery import keepers, surplus
-from evalanvil.operators.stable_sample import advanced, chosen, threefry_sql
-from evalanvil.plans.session import read_table
+from evalanvil.operators.stable_sample import advanced, chosen, present_in, threefry_sql
+from evalanvil.plans.session import read_table, shared_dir
 
 MESSAGE = ["eval_id", "dataset", "model", "id"]
 #: Share of new prompts taken, and how much of it each later year keeps: the rate of an epoch is fixed by its year alone.
@@ -105,12 +107,15 @@ def sample_rate(epoch: Column) -> Column:
     return F.lit(SAMPLE_RATE) * F.pow(F.lit(SAMPLE_DECAY), years)
 
 
-#: Setting with the path of the registry of first-seen months; without it a query is a first run.
+#: Setting with the path of the registry of first-seen months; without it, one per table lies in the shared folder.
 REGISTRY = "spark.evalanvil.sampleRegistry"
 
 
 def _registry(spark: SparkSession, d: str) -> DataFrame:
-    return advanced(spark.conf.get(REGISTRY, None), read_table(spark, d, "samples"), "id", "added_at", sample_rate)
+    samples = read_table(spark, d, "samples")
+    own = f"{shared_dir(spark)}/sample-registry-{hashlib.sha256(d.encode()).hexdigest()[:16]}"
+    registry = advanced(spark.conf.get(REGISTRY, None) or own, samples, "id", "added_at", sample_rate)
+    return present_in(registry, samples, "id")
 
 
 def p3_sample(spark: SparkSession, d: str) -> DataFrame:

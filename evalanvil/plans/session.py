@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -83,20 +86,43 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-#: Tables written by `stored` in this process.
+#: Tables written by `stored` in this process and not yet deleted.
 _stored: list[str] = []
 
 
-def drop_stored(spark: SparkSession) -> int:
-    """Deletes the tables that `stored` wrote, once no DataFrame that reads them is needed any more."""
+def drop_stored(spark: SparkSession, keep: int = 0) -> int:
+    """Deletes the tables that `stored` wrote (but the first `keep`), once no DataFrame that reads them is needed any more."""
     path_of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     n = 0
-    while _stored:
+    while len(_stored) > keep:
         path = path_of(_stored.pop())
         n += bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True))
     return n
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end what was stored inside it: `with scratch(spark): query(spark, d).write.parquet(...)`."""
+    before = len(_stored)
+    try:
+        yield
+    finally:
+        drop_stored(spark, before)
+
+
+def _drop_at_exit() -> None:
+    """What is still there when the driver ends, if its session is still alive."""
+    spark = SparkSession.getActiveSession() if _stored else None
+    if spark is not None:
+        try:
+            drop_stored(spark)
+        except Exception:  # noqa: BLE001 - the JVM may be gone already; nothing else can be done about it here
+            pass
+
+
+atexit.register(_drop_at_exit)
+
+
 def stored(df: DataFrame, *partition_by: str) -> DataFrame:
     """df written to the shared folder (partitioned) and read again, for storage that later steps prune."""
     path = os.path.join(shared_dir(df.sparkSession), f"t-{uuid.uuid4().hex}")

@@ -47,20 +47,30 @@ def test_shared_and_odd_ids(spark):
 
 
 def test_queries_keep_the_registry(spark, tmp_path):
+    """Grow, run again, purge, and a late row with an earlier time: what was chosen stays chosen at its frozen rate."""
     from evalanvil.plans import problems
 
-    early, late = datetime(2025, 3, 1, tzinfo=timezone.utc), datetime(2029, 3, 1, tzinfo=timezone.utc)
-    for name, at, n in (("first", early, 300), ("again", late, 400)):  # all rows purged and added again four years later
-        spark.createDataFrame([(f"{i:012x}", at) for i in range(n)], "id string, added_at timestamp").write.parquet(f"{tmp_path}/{name}/samples.parquet")
-    rows = lambda q, name: {tuple(r) for r in q(spark, f"{tmp_path}/{name}").collect()}
-    without = rows(problems.p3_sample, "first"), rows(problems.p3_sample, "again")
-    assert not without[0] <= without[1]
+    when = lambda year: datetime(year, 3, 1, tzinfo=timezone.utc)
+    ids = lambda a, b: [f"{i:012x}" for i in range(a, b)]
+
+    def put(rows):
+        spark.createDataFrame(rows, "id string, added_at timestamp").write.mode("overwrite").parquet(f"{tmp_path}/t/samples.parquet")
+
+    rows = lambda q: {tuple(r) for r in q(spark, f"{tmp_path}/t").collect()}
+    put([(i, when(2027)) for i in ids(0, 300)])
+    first = rows(problems.p3_sample)
+    assert first and rows(problems.p3_sample) == first and {r[1] for r in first} == {2027 * 12 + 2}
+    put([(i, when(2025)) for i in ids(0, 100)] + [(i, when(2029)) for i in ids(0, 400)])
+    again = rows(problems.p3_sample)
+    assert first <= again and {r[1] for r in again - first} == {2029 * 12 + 2}
+    shares = rows(problems.p3_shares)
+    assert {(r[0], r[2]) for r in shares} == {(2027 * 12 + 2, 300), (2029 * 12 + 2, 100)} and sum(r[3] for r in shares) == len(again)
+    put([(i, when(2029)) for i in ids(200, 400)])
+    assert rows(problems.p3_sample) == {r for r in again if int(r[0], 16) >= 200}
     spark.conf.set(problems.REGISTRY, f"{tmp_path}/registry")
     try:
-        first, again = rows(problems.p3_sample, "first"), rows(problems.p3_sample, "again")
-        assert first == without[0] and first <= again and {r[1] for r in again - first} == {2029 * 12 + 2}
-        shares = rows(problems.p3_shares, "again")
-        assert {(r[0], r[2]) for r in shares} == {(2025 * 12 + 2, 300), (2029 * 12 + 2, 100)} and sum(r[3] for r in shares) == len(again)
-        assert spark.read.parquet(f"{tmp_path}/registry").count() == 400
+        put([(i, when(2025)) for i in ids(0, 50)])
+        rows(problems.p3_sample)
+        assert spark.read.parquet(f"{tmp_path}/registry").count() == 50
     finally:
         spark.conf.unset(problems.REGISTRY)
