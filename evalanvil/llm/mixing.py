@@ -1,9 +1,10 @@
 """Mixing sources to target weights, by a curriculum that varies over the run.
 
-Every source has a schedule of weights over the run whose mean is its target share. Integrating the
-schedule gives the tokens it should have delivered by any moment; inverting that at a document's
-cumulative tokens (in a fixed random order, repeated as often as needed) gives the document's
-position in training order. Documents are then range-sorted by position.
+Every source has a schedule: relative weights at moments of the run, linear in between, scaled so
+that their mean is the target share. Integrating it gives the tokens the source should have
+delivered by any moment; inverting that at a document's cumulative tokens (in a fixed random order,
+repeated as often as needed) gives the document's moment, and what all sources have delivered by
+then its position in training order. Documents are then range-sorted by position.
 
 The total is the largest at which no source is used more often than it may be. Only one row per
 target (a fixed, small table) reaches the driver. Cumulative tokens are summed in ranges of the hash
@@ -14,9 +15,11 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from evalanvil.llm.packing import last_at_or_below
 from evalanvil.llm.tokens import token_counts
 from evalanvil.plans.session import cut
 
@@ -28,18 +31,46 @@ SUMMED_PER_TASK = 50_000
 SCHEMA = "position double, doc_id long, source string, copy int, tokens long"
 
 
-def schedules(shares: dict[str, float]) -> dict[str, float]:
-    """The slope of each source's weight w(t) = share * (1 + slope * (2t - 1)); the weights add up to 1 at any t.
+#: A schedule: (moment in 0..1, relative weight), linear in between and level before the first and after the last.
+Schedule = list[tuple[float, float]]
+
+
+def schedules(shares: dict[str, float]) -> dict[str, Schedule]:
+    """The schedules used unless others are given: w(t) = 1 + slope * (2t - 1); the shares add up to 1 at any t.
 
     Large sources come early, small ones late, so what is repeated is spread over the end of the run.
     """
     names = sorted(shares, key=lambda s: (-shares[s], s))
     if len(names) < 2:
-        return dict.fromkeys(names, 0.0)
+        return {s: [(0.0, 1.0)] for s in names}
     rank = {s: i / (len(names) - 1) for i, s in enumerate(names)}
     mean = sum(shares[s] * rank[s] for s in names) / sum(shares.values())
     spread = max(abs(rank[s] - mean) for s in names) or 1.0
-    return {s: TILT * (rank[s] - mean) / spread for s in names}
+    slope = {s: TILT * (rank[s] - mean) / spread for s in names}
+    return {s: [(0.0, 1 - a), (1.0, 1 + a)] for s, a in slope.items()}
+
+
+def integrated(plan: dict[str, Schedule], shares: dict[str, float]) -> tuple[list[float], dict[str, tuple[list[float], list[float]]]]:
+    """(moments, per source: weights at them with a mean of 1, and their integral up to them); '' stands for all sources by share.
+
+    Moments are those of all schedules. A source without a schedule is level. Weights below 0,
+    moments outside 0..1 and a schedule without any weight raise.
+    """
+    for s, points in plan.items():
+        if not points or any(not 0 <= t <= 1 or w < 0 for t, w in points):
+            raise ValueError(f"the schedule of {s!r} needs moments in 0..1 and weights of at least 0")
+    moments = sorted({0.0, 1.0, *(float(t) for points in plan.values() for t, _ in points)})
+    out = {}
+    for s in shares:
+        points = sorted(plan.get(s, [(0.0, 1.0)]))
+        w = np.interp(moments, [t for t, _ in points], [x for _, x in points])
+        total = float(np.concatenate(([0.0], np.cumsum((w[1:] + w[:-1]) / 2 * np.diff(moments))))[-1])
+        if total <= 0:
+            raise ValueError(f"the schedule of {s!r} has no weight")
+        w = w / total
+        out[s] = (w.tolist(), np.concatenate(([0.0], np.cumsum((w[1:] + w[:-1]) / 2 * np.diff(moments)))).tolist())
+    out[""] = tuple(np.sum([shares[s] * np.array(out[s][k]) for s in shares], axis=0).tolist() for k in (0, 1))
+    return moments, out
 
 
 def budget(tokens: dict[str, int], targets: dict[str, tuple[float, int]]) -> tuple[float, dict[str, float]]:
@@ -53,9 +84,14 @@ def budget(tokens: dict[str, int], targets: dict[str, tuple[float, int]]) -> tup
     return min((targets[s][1] * tokens[s] / p for s, p in shares.items()), default=0.0), shares
 
 
-def draw(documents: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 0, tokenizer: str | None = None) -> DataFrame:
+def draw(
+    documents: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 0, tokenizer: str | None = None,
+    curriculum: dict[str, Schedule] | None = None,
+) -> DataFrame:
     """(position, doc_id, source, copy, tokens) in training order.
 
+    `curriculum` gives each source's schedule; without it, `schedules` does.
+
     `copy` counts a document's uses from 1 and never exceeds the source's max_repeats. A document is
     used if at least half of it lies before its source's demand. Documents with a null or unlisted
     source, or without tokens, take no part; targets with nulls are left out.
@@ -72,10 +108,13 @@ def draw(documents: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_
     total, shares = budget({s: t for s, (t, _) in held.items()}, wanted)
     if not shares:
         return spark.createDataFrame([], SCHEMA)
-    slopes = schedules(shares)
+    moments, weights = integrated(schedules(shares) if curriculum is None else curriculum, shares)
     plan = spark.createDataFrame(
-        [(s, p * total, held[s][0], min(wanted[s][1], math.ceil(p * total / held[s][0] - 1e-9)), slopes[s]) for s, p in sorted(shares.items())],
-        "source string, demand double, held long, rounds int, slope double",
+        [
+            (s, p * total, held[s][0], min(wanted[s][1], math.ceil(p * total / held[s][0] - 1e-9)), *weights[s])
+            for s, p in sorted(shares.items())
+        ],
+        "source string, demand double, held long, rounds int, weight array<double>, due array<double>",
     )
     bits = max(0, math.ceil(math.log2(max(1, max(n for _, n in held.values()) / SUMMED_PER_TASK))))
     h = F.xxhash64(F.lit(seed), "doc_id")
@@ -93,12 +132,21 @@ def draw(documents: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_
     drawn = summed.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("rounds")))).withColumn(
         "middle", (F.col("copy") - 1) * F.col("held") + F.col("start") + F.col("tokens") / 2.0
     )
-    f, a = F.col("middle") / F.col("demand"), F.col("slope")
-    bent = (F.sqrt((1 - a) * (1 - a) + 4 * a * f) - (1 - a)) / (2 * a)
-    moment = F.when(F.abs(a) < 1e-9, f).otherwise(bent)
+    at = last_at_or_below(F.col("due"), F.least(F.col("middle") / F.col("demand"), F.lit(1.0)), len(moments))
+    # no document lies beyond the last moment: what is found there belongs to the stretch before it
+    located = drawn.where(F.col("middle") <= F.col("demand")).withColumn("__k", F.least(at, F.lit(len(moments) - 2)))
+    k = F.col("__k")
+    of = lambda values, i: F.array(*map(F.lit, values))[i]
+    long = of(moments, k + 1) - of(moments, k)
+    left = F.col("middle") / F.col("demand") - F.col("due")[k]
+    w, bend = F.col("weight")[k], (F.col("weight")[k + 1] - F.col("weight")[k]) / long
+    # w * x + bend * x * x / 2 = left, solved for x without a division by a bend of 0
+    into = F.when(left <= 0, F.lit(0.0)).otherwise(2 * left / (w + F.sqrt(F.greatest(w * w + 2 * bend * left, F.lit(0.0)))))
+    all_weight, all_due = weights[""]
+    all_bend = (of(all_weight, k + 1) - of(all_weight, k)) / long
+    delivered = of(all_due, k) + of(all_weight, k) * into + all_bend * into * into / 2
     return (
-        drawn.where(F.col("middle") <= F.col("demand"))
-        .select((moment * F.lit(total)).alias("position"), "doc_id", "source", F.col("copy").cast("int").alias("copy"), "tokens")
+        located.select((delivered * F.lit(total)).alias("position"), "doc_id", "source", F.col("copy").cast("int").alias("copy"), "tokens")
         .orderBy("position", "source", "doc_id", "copy")
     )
 

@@ -8,16 +8,17 @@ multiset of remaining lengths that comes closest to the room left; its counts ar
 the pattern is repeated as often as the histogram allows. Each repetition uses up a length, so the
 number of patterns depends on the capacity and not on the documents.
 
-Documents then take the slots of their length by rank. Ranks are counted in buckets of a hash, so a
-length that a third of all documents have is ranked by many tasks.
+Documents then take the slots of their length by rank: the slots of a length are one row with a
+sorted array, in which a binary search finds the slot, so a document meets one row however many
+slots its length has. Ranks are counted in buckets of a hash, so a length that a third of all
+documents have is ranked by many tasks.
 """
 
 from __future__ import annotations
 
 import math
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalanvil.llm.tokens import token_counts
@@ -111,6 +112,19 @@ def ranked(items: DataFrame, keys: list[str], order: list[str], n_rows: int) ->
     return inside.join(offsets, [*keys, "__b"]).withColumn("rank", F.col("__r") + F.col("__o")).drop("__h", "__b", "__r", "__o")
 
 
+def last_at_or_below(sorted_values: Column, x: Column, longest: int) -> Column:
+    """The index of the last value of a sorted array that is at or below x (the first is): a binary search as a fold."""
+    steps = max(1, math.ceil(math.log2(max(2, longest))) + 1)
+
+    def halve(s: Column, _: Column) -> Column:
+        middle = F.floor((s["a"] + s["b"]) / 2).cast("int")
+        low = sorted_values[middle] <= x
+        return F.struct(F.when(low, middle).otherwise(s["a"]).alias("a"), F.when(low, s["b"]).otherwise(middle).alias("b"))
+
+    start = F.struct(F.lit(0).alias("a"), F.size(sorted_values).alias("b"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, halve, lambda s: s["a"])
+
+
 def pack(documents: DataFrame, limits: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None) -> DataFrame:
     """(limit_name, capacity, doc_id, piece, container, place, start, tokens): where every piece of a document lies.
 
@@ -140,22 +154,29 @@ def pack(documents: DataFrame, limits: DataFrame, id_col: str = "doc_id", text_c
     rows = []
     for name, size in sorted(wanted):
         rows += slots(name, plan_containers({r["tokens"]: r["count"] for r in counted if r["limit_name"] == name}, size))
+    by_length: dict[tuple[str, int], list[tuple]] = {}
+    for name, size, lo, _, *where in rows:  # ranks lo and above, in the order in which they were given out
+        by_length.setdefault((name, size), []).append((lo, *where))
+    columns = ("lo", "base", "per", "first_place", "first_start")
     table = spark.createDataFrame(
-        pd.DataFrame(rows, columns=["limit_name", "tokens", "lo", "hi", "base", "per", "first_place", "first_start"]).astype({"limit_name": str}),
-        "limit_name string, tokens long, lo long, hi long, base long, per long, first_place int, first_start long",
+        [(*key, *(list(c) for c in zip(*found))) for key, found in by_length.items()],
+        "limit_name string, tokens long, " + ", ".join(f"`{c}` array<long>" for c in columns),
     )
     n_rows = sum(r["count"] for r in counted)
     placed = ranked(pieces.where("tokens > 0"), ["limit_name", "tokens"], ["doc_id", "piece"], n_rows).join(table, ["limit_name", "tokens"])
-    at = F.col("rank") - F.col("lo")
-    turn = at % F.col("per")
-    full = placed.where((F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi"))).select(
+    slot = last_at_or_below(F.col("lo"), F.col("rank"), max(map(len, by_length.values()), default=1))
+    found = placed.withColumn("__slot", slot)
+    of = lambda c: F.col(c)[F.col("__slot")]
+    at = F.col("rank") - of("lo")
+    turn = at % of("per")
+    full = found.select(
         "limit_name",
         "capacity",
         "doc_id",
         "piece",
-        (F.col("base") + F.floor(at / F.col("per"))).cast("long").alias("container"),
-        (F.col("first_place") + turn).cast("int").alias("place"),
-        (F.col("first_start") + turn * F.col("tokens")).alias("start"),
+        (of("base") + F.floor(at / of("per"))).cast("long").alias("container"),
+        (of("first_place") + turn).cast("int").alias("place"),
+        (of("first_start") + turn * F.col("tokens")).alias("start"),
         "tokens",
     )
     zero = F.lit(0)

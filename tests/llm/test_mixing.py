@@ -5,7 +5,7 @@ import random
 import pytest
 
 from evalanvil.llm import mixing
-from evalanvil.llm.mixing import budget, draw, draw_shares, schedules
+from evalanvil.llm.mixing import budget, draw, draw_shares, integrated, schedules
 
 DOCS = "doc_id long, text string, source string, tokens long, copy int"
 TARGETS = "source string, target_share double, max_repeats int"
@@ -13,10 +13,33 @@ TARGETS = "source string, target_share double, max_repeats int"
 
 def test_schedules():
     shares = {"a": 0.5, "b": 0.3, "c": 0.15, "d": 0.05}
-    slopes = schedules(shares)
-    for t in (0.0, 0.3, 1.0):
-        assert abs(sum(p * (1 + slopes[s] * (2 * t - 1)) for s, p in shares.items()) - 1) < 1e-12
-    assert slopes["a"] < 0 < slopes["d"] and max(map(abs, slopes.values())) <= mixing.TILT + 1e-12 and schedules({"a": 1.0}) == {"a": 0.0}
+    given = schedules(shares)
+    moments, found = integrated(given, shares)
+    assert moments == [0.0, 1.0] and found[""][0] == pytest.approx([1.0, 1.0]) and found[""][1] == pytest.approx([0.0, 1.0])
+    assert given["a"][0][1] > 1 > given["d"][0][1] and max(abs(w - 1) for points in given.values() for _, w in points) <= mixing.TILT + 1e-12
+    assert schedules({"a": 1.0}) == {"a": [(0.0, 1.0)]}
+    for odd in ({"a": []}, {"a": [(0.2, -1.0)]}, {"a": [(1.5, 1.0)]}, {"a": [(0.0, 0.0), (1.0, 0.0)]}):
+        with pytest.raises(ValueError):
+            integrated(odd, shares)
+
+
+def test_a_given_curriculum(spark):
+    """One source only in the second half, one only in the first quarter, one level; shares stay as they are."""
+    curriculum = {"mid": [(0.5, 0.0), (0.5001, 1.0), (1.0, 1.0)], "small": [(0.0, 1.0), (0.25, 0.0)]}
+    targets = spark.createDataFrame([("big", 0.5, 1), ("mid", 0.4, 3), ("small", 0.1, 4)], TARGETS)
+    rows = draw(documents(spark), targets, curriculum=curriculum).collect()
+    total = sum(r["tokens"] for r in rows)
+    done, seen = 0, {"mid": [], "small": [], "big": []}
+    for r in rows:
+        assert abs(r["position"] - done) < 0.03 * total  # a position is what was delivered before
+        done += r["tokens"]
+        seen[r["source"]].append(r["position"] / total)
+    share = {s: sum(r["tokens"] for r in rows if r["source"] == s) / total for s in seen}
+    assert all(abs(share[s] - p) < 0.01 for s, p in (("big", 0.5), ("mid", 0.4), ("small", 0.1)))
+    # by the middle of the run 0.25 of big and 0.1 of small are due; by a quarter of it 0.125 and 0.1
+    assert min(seen["mid"]) > 0.33 and max(seen["small"]) < 0.25
+    level = [p for p in seen["big"]]
+    assert 0 < min(level) < 0.02 and max(level) > 0.97
 
 
 def test_budget():

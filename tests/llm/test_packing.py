@@ -7,7 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from evalanvil.llm.packing import best_fill, containers, pack, plan_containers
+from evalanvil.llm.packing import best_fill, containers, last_at_or_below, pack, plan_containers
 from evalanvil.llm.tokens import encoding, token_counts
 
 DOCS = "doc_id long, text string, container int, tokens string"
@@ -118,3 +118,14 @@ def test_tokens(spark):
 def test_tiny_capacity(spark, capacity):
     out = pack(spark.createDataFrame([(1, "one two three", 0, "")], DOCS), spark.createDataFrame([("a", capacity)], LIMITS))
     check(out.collect(), {1: 3}, {"a": capacity})
+
+
+def test_one_row_for_each_length(spark):
+    """A document meets one row of slots, however many its length has; the search finds every slot's first and last rank."""
+    values = [0, 1, 5, 6, 40, 41, 42, 300]
+    df = spark.createDataFrame([(values[:n], x, n) for n in range(1, len(values) + 1) for x in range(0, 310, 1 if n == 8 else 37)], "v array<long>, x long, n int")
+    for r in df.select("v", "x", last_at_or_below(df["v"], df["x"], 8).alias("i")).collect():
+        assert r["i"] == max(i for i, v in enumerate(r["v"]) if v <= r["x"])
+    docs = spark.createDataFrame([(i, "word " * (1 + i % 7), 0, "") for i in range(900)], DOCS)
+    plan = pack(docs, spark.createDataFrame([("a", 16)], LIMITS))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") <= 2
