@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evalanvil.functions.keys import logical_id, model_key, norm_id
@@ -10,7 +10,7 @@ from evalanvil.llm.mixing import draw, draw_shares
 from evalanvil.llm.packing import containers, pack
 from evalanvil.llm.pairs import LABELS, PairModel, sample_pairs, sampled, score_pairs
 from evalanvil.llm.quality import QualityModel, familiar_of, judge, sample_texts
-from evalanvil.llm.truncation import flag_truncated, length_spikes
+from evalanvil.llm.truncation import ALPHA, NEAR, RATIO, flag_truncated, length_spikes
 from evalanvil.plans.session import cut, read_table
 
 
@@ -97,6 +97,28 @@ def p5_evidence(spark: SparkSession, d: str) -> DataFrame:
     return _flagged(spark, d)[0].where("is_truncated").select("row_id", "source", "dataset", "via")
 
 
+#: Fixed value: what may end a text, with closing marks and blanks after it.
+STOP = r"""[.!?…。！？]["'”’»)\]}*_`>\s]*\z"""
+
+
+def p5_widths(spark: SparkSession, d: str) -> DataFrame:
+    """Spikes of lengths in every text column, by punctuation alone: completions by model, documents by source.
+
+    Native throughout, for columns that no classifier was trained for.
+    """
+    columns = (("completions", "completion", model_key(F.col("model"))), ("documents", "text", F.coalesce("source", F.lit(""))))
+    parts = []
+    for table, text, source in columns:
+        t = F.col(text)
+        parts.append(
+            read_table(spark, d, table).where(t.isNotNull()).select(
+                F.concat(F.lit(f"{table}.{text}/"), source).alias("source"), F.length(t).cast("long").alias("chars"), F.octet_length(t).cast("long").alias("bytes"),
+                F.lit(None).cast("int").alias("max_tokens"), t.rlike(STOP).alias("stop"),
+            )
+        )
+    return length_spikes(parts[0].unionByName(parts[1]))
+
+
 def _judged(spark: SparkSession, d: str) -> DataFrame:
     documents = read_table(spark, d, "documents")
     return judge(documents, QualityModel.fit(sample_texts(documents), familiar=familiar_of(documents)))
@@ -112,6 +134,11 @@ def p8_stats(spark: SparkSession, d: str) -> DataFrame:
     return _judged(spark, d)
 
 
+def p8_counts(spark: SparkSession, d: str) -> DataFrame:
+    """The plainest of the statistics, which SQL can repeat."""
+    return _judged(spark, d).select("doc_id", "chars", "lines", "mean_line_length", "unique_lines")
+
+
 def p6_pack(spark: SparkSession, d: str) -> DataFrame:
     """Container, place and piece of every document, for each capacity."""
     return pack(read_table(spark, d, "documents"), read_table(spark, d, "pack_limits"))
@@ -122,6 +149,29 @@ def p6_fill(spark: SparkSession, d: str) -> DataFrame:
     return containers(p6_pack(spark, d))
 
 
+def p6_check(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of a packing, counted per limit: documents placed, and faults of six kinds (all 0)."""
+    packed = cut(p6_pack(spark, d))
+    by = ["limit_name", "capacity"]
+    per_doc = packed.groupBy(*by, "doc_id").agg(F.count(F.lit(1)).alias("n"), F.max("piece").alias("last"), F.countDistinct("piece").alias("distinct"), F.sum("tokens").alias("tokens"))
+    docs = per_doc.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("documents"),
+        F.count_if((F.col("n") != F.col("distinct")) | (F.col("last") + 1 != F.col("n"))).alias("pieces_wrong"),
+        F.count_if((F.col("n") > 1) & (F.col("tokens") <= F.col("capacity"))).alias("cut_needlessly"),
+    )
+    end = F.col("start") + F.col("tokens")
+    per_container = packed.where("tokens > 0").groupBy(*by, "container").agg(
+        F.sum("tokens").alias("tokens"), F.max(end).alias("end"), F.count(F.lit(1)).alias("n"), F.max("place").alias("last"), F.countDistinct("place").alias("places")
+    )
+    containers_ = per_container.groupBy(*by).agg(
+        F.count_if(F.col("tokens") > F.col("capacity")).alias("overfull"),
+        F.count_if(F.col("end") != F.col("tokens")).alias("overlapping"),
+        F.count_if((F.col("places") != F.col("n")) | (F.col("last") + 1 != F.col("n"))).alias("places_wrong"),
+        (F.max("container") + 1 - F.count(F.lit(1))).alias("containers_missing"),
+    )
+    return docs.join(containers_, by)
+
+
 def p7_draw(spark: SparkSession, d: str) -> DataFrame:
     """The draw: documents in training order."""
     return draw(read_table(spark, d, "documents"), read_table(spark, d, "mix_targets"))
@@ -132,6 +182,14 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return draw_shares(p7_draw(spark, d), read_table(spark, d, "mix_targets"))
 
 
+def p7_check(spark: SparkSession, d: str) -> DataFrame:
+    """Per source that can take part: its share of the whole, whether the draw comes within 0.01 of it, and keeps to the repeats."""
+    shares = p7_shares(spark, d).where("tokens > 0")
+    aimed = F.col("target_share") / F.sum("target_share").over(Window.partitionBy(F.lit(1)))  # one row per target
+    near = F.abs(F.col("share") - F.col("aimed")) < 0.01
+    return shares.withColumn("aimed", aimed).select("source", "aimed", near.alias("near"), (F.col("most_used") <= F.col("max_repeats")).alias("within_repeats"))
+
+
 QUERIES = {
     "p6_pack": p6_pack,
     "p6_fill": p6_fill,
@@ -144,5 +202,32 @@ QUERIES = {
     "p5_shares": p5_shares,
     "p5_spikes": p5_spikes,
     "p5_evidence": p5_evidence,
+    "p5_widths": p5_widths,
+    "p6_check": p6_check,
+    "p7_check": p7_check,
+    "p8_counts": p8_counts,
+}
+_STOP_SQL = STOP.replace("'", "''")
+ORACLES: dict[str, str] = {
+    "p5_widths": f"""
+        WITH t AS (
+          SELECT 'completions.completion/' || replace(model, '--', '/') AS source, length(completion) AS chars, strlen(completion) AS bytes, NOT regexp_matches(completion, '{_STOP_SQL}') AS o
+          FROM completions WHERE completion IS NOT NULL
+          UNION ALL SELECT 'documents.text/' || coalesce(source, ''), length(text), strlen(text), NOT regexp_matches(text, '{_STOP_SQL}') FROM documents WHERE text IS NOT NULL),
+        h AS (SELECT source, measure, length, count(*) AS texts, sum(o::INT)::BIGINT AS open_texts FROM (
+            SELECT source, 'chars' AS measure, chars AS length, o FROM t UNION ALL SELECT source, 'bytes', bytes, o FROM t) GROUP BY ALL),
+        e AS (SELECT *, (sum(open_texts) OVER (PARTITION BY source, measure ORDER BY length RANGE BETWEEN {NEAR} PRECEDING AND {NEAR} FOLLOWING) - open_texts) / {2.0 * NEAR} AS expected FROM h)
+        SELECT source, measure, length, texts, open_texts, expected FROM e WHERE open_texts > {RATIO} * greatest(expected, 0.25)
+          AND open_texts * ln(open_texts / greatest(expected, 0.25)) - (open_texts - greatest(expected, 0.25)) >= -ln({ALPHA})""",
+    "p6_check": """
+        SELECT limit_name, capacity_tokens AS capacity, (SELECT count(*) FROM documents) AS documents, 0::BIGINT AS pieces_wrong, 0::BIGINT AS cut_needlessly,
+          0::BIGINT AS overfull, 0::BIGINT AS overlapping, 0::BIGINT AS places_wrong, 0::BIGINT AS containers_missing FROM pack_limits""",
+    "p7_check": """
+        WITH able AS (SELECT * FROM mix_targets m WHERE target_share > 0 AND max_repeats >= 1 AND EXISTS (SELECT 1 FROM documents d WHERE d.source = m.source AND length(d.text) > 0))
+        SELECT source, target_share / (SELECT sum(target_share) FROM able) AS aimed, true AS near, true AS within_repeats FROM able""",
+    "p8_counts": r"""
+        WITH t AS (SELECT doc_id, CASE WHEN regexp_matches(text, '\S') THEN text END AS text FROM documents),
+        l AS (SELECT doc_id, text, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '\S')) AS lines FROM t)
+        SELECT doc_id, coalesce(length(text), 0)::DOUBLE AS chars, coalesce(len(lines), 0)::DOUBLE AS lines, coalesce(list_sum(list_transform(lines, lambda x: length(x))) / len(lines)::DOUBLE, 0.0) AS mean_line_length,
+          coalesce(len(list_distinct(lines)) / len(lines)::DOUBLE, 0.0) AS unique_lines FROM l""",
 }
-ORACLES: dict[str, str] = {}
