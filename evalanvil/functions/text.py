@@ -15,9 +15,9 @@ from evalanvil.functions.keys import py_strip
 # The markers of reasoning and of the final channel.
 _PAIRS = r"(?is)<think>.*?</think>|\[THINK\].*?\[/THINK\]"
 _MARKED = r"(?i)think|assistantfinal|<\|"  # what any text with markers has
+_FIRST_CLOSERS = (r"(?is)\A.*?</think>", r"(?is)\A.*?\[/THINK\]")  # the second kind counts only where the first doesn't occur
 _UP_TO_LAST_CLOSER = r"(?is)\A.*(?:</think>|\[/THINK\])"
 _STEPS = (
-    (r"(?is)\A.*?(?:</think>|\[/THINK\])", ""),
     (r"(?is)(?:<think>|\[THINK\]).*\z", ""),
     (r"(?s)\A.*?(?:<\|start\|>)?assistant(?:<\|channel\|>)?final(?:<\|message\|>)?", ""),
     (r"(?U)<\|(?:end|return)\|>\s*\z", ""),
@@ -46,10 +46,15 @@ def strip_reasoning(c: Column) -> Column:
     Pairs are sought up to the last closer only, so many openers without one cost no repeated scans.
     """
 
+    def after_closer(text: Column) -> Column:
+        first, second = (F.regexp_replace(text, F.lit(p), F.lit("")) for p in _FIRST_CLOSERS)
+        return F.when(text.rlike("(?i)</think>"), first).otherwise(second)
+
     def read(text: Column) -> Column:
         head = F.regexp_extract(text, _UP_TO_LAST_CLOSER, 0)
         tail = F.substring(text, F.length(head) + 1, F.length(text))
         out = F.when(head == "", text).otherwise(F.concat(F.regexp_replace(head, F.lit(_PAIRS), F.lit("")), tail))
+        out = _once(out, after_closer)
         for pattern, to in _STEPS:
             out = F.regexp_replace(out, F.lit(pattern), F.lit(to))
         return py_strip(F.when(text.rlike(_MARKED), out).otherwise(text))
@@ -119,11 +124,12 @@ def normalize_numeric(c: Column) -> Column:
     bare = py_strip(F.replace(c, F.lit(","), F.lit("")))
     lead = F.regexp_extract(bare, r"(?U)\A-?\d+", 0)
     value = F.when(bare.rlike(r"(?i)\A[+-]?(?:\d+\.?\d*|\.\d+)(?:e[+-]?\d+)?\z"), bare.try_cast("double"))
-    finite = value.isNotNull() & ~F.isnan(value) & (F.abs(value) < 1e15)
-    whole = finite & (value == F.floor(value))
+    finite = value.isNotNull() & ~F.isnan(value) & (F.abs(value) < F.lit(float("inf")))
+    whole = finite & (value == F.rint(value))
+    digits = F.when(F.abs(value) < 2.0**63, value.cast("long").cast("string")).otherwise(F.format_string("%.0f", value))
     text = F.regexp_replace(F.regexp_replace(value.cast("string"), r"0+\z", ""), r"\.\z", "")
     return F.when(F.length(c) == 0, None).otherwise(
-        F.when(F.length(lead) > 0, lead).when(whole, value.cast("long").cast("string")).when(finite, text)
+        F.when(F.length(lead) > 0, lead).when(whole, digits).when(finite, text)
     )
 
 

@@ -1,10 +1,11 @@
-"""Grading mathematical answers: text normalisation, then exact or randomised equality of expressions.
-
-Two normal forms are compared first (LaTeX spelling, then plain expression); what still differs is
-compared element by element. Expressions are never evaluated by the interpreter: a small
-recursive-descent parser yields a tree that is evaluated in exact fractions, or, with roots, pi or
-letters, at several random points. Differs from a computer algebra system where identities hold only
-under assumptions, and for functions other than square roots.
+"""Grading mathematical answers: an answer is read into trees, and trees are compared.
+
+One lexer reads LaTeX and plain text alike. What it yields is split into elements (of a tuple, an
+interval, or a list with commas, "or", "and"), and each element is parsed into a tree of numbers,
+letters and operations; what is no expression stays text. Elements are equal if they read the same,
+or if their trees have the same value: in exact fractions, or, with roots, pi or letters, at several
+random complex points. Expressions are never evaluated by the interpreter. Differs from a computer
+algebra system for functions other than square roots.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ from __future__ import annotations
 import math
 import random
 import re
+from dataclasses import dataclass
+from decimal import Decimal
 from fractions import Fraction
 
 import pandas as pd
@@ -23,354 +26,342 @@ from pyspark.sql.types import BooleanType
 from evalanvil.functions.keys import py_strip
 from evalanvil.functions.text import math_extract, normalize_numeric
 
-# What normalisation removes or rewrites.
-_LATEX_DROPS = ("\n", "\\!", "\\left", "\\right", "^{\\circ}", "^\\circ", "\\$", "\\%")
-_UNITS = ("degree", "cm", "centimeter", "meter", "mile", "second", "minute", "hour", "day", "week", "month", "year", "foot", "feet", "inch", "yard")
-_POWERS = {"million": "*10^6", "billion": "*10^9", "trillion": "*10^12"}
-_SYMBOLS = {
-    "\\pi": "pi", "\\infty": "inf", "\\cup": "U", "\\cdot": "*", "\\times": "*", "\\div": "/", "\\le": "≤", "\\leq": "≤", "\\ge": "≥", "\\geq": "≥",
-    "\\neq": "≠", "\\pm": "±", "\\quad": " ", "\\qquad": " ", "\\,": " ", "\\;": " ", "\\:": " ", "\\ ": " ", "√": "sqrt", "π": "pi", "∞": "inf", "∪": "U", "·": "*", "×": "*",
+# Words of scale, and units, which don't count (nor do their plurals and powers).
+SCALES = {"million": 6, "billion": 9, "trillion": 12}
+UNITS = ("degree", "cm", "centimeter", "meter", "mile", "second", "minute", "hour", "day", "week", "month", "year", "foot", "feet", "inch", "yard")
+#: What a sign or command stands for; other commands stand for nothing.
+MEANING = {
+    "\\pi": "pi", "π": "pi", "\\infty": "inf", "∞": "inf", "\\cup": "U", "∪": "U", "\\cdot": "*", "·": "*", "\\times": "*", "×": "*", "\\div": "/", "÷": "/", "√": "sqrt", "\\sqrt": "sqrt",
+    "\\frac": "frac", "\\dfrac": "frac", "\\tfrac": "frac", "\\le": "≤", "\\leq": "≤", "\\ge": "≥", "\\geq": "≥", "\\neq": "≠", "\\pm": "±", "\\{": "(", "\\}": ")", "−": "-",
 }
-_BRACKETS = "()[]"
-_RISKY = re.compile(r"\^\{|\^\(|\^\d+\^|\^\d\d")
-TOLERANCE = 1e-7
-
-
-def _unwrapped(s: str) -> str:
-    m = re.fullmatch(r"\\text\{(.+?)\}", s)
-    return m.group(1) if m else s
-
-
-def _brace_fractions(s: str) -> str:
-    """`\\frac12` as `\\frac{1}{2}`; a fraction without room for two parts leaves all as it is."""
-    out, i = [], 0
-    while True:
-        j = s.find("\\frac", i)
-        if j < 0:
-            return "".join([*out, s[i:]])
-        out.append(s[i : j + 5])
-        i = j + 5
-        nxt = s.find("\\frac", i)
-        part = s[i : nxt if nxt >= 0 else len(s)]
-        if not part:
-            raise ValueError("a fraction without parts")
-        if part[0] == "{":
-            continue
-        if len(part) < 2:
-            return s
-        out.append("{" + part[0] + "}" + (part[1] if part[1] == "{" else "{" + part[1] + "}"))
-        i += 2
+PROSE = ("\\text", "\\mathrm", "\\mathbf", "\\mbox", "\\textbf")
+NAMES = ("pi", "inf", "sqrt", "frac")
+#: Exact values of more binary digits are not worked out; such answers are compared as they are written.
+LARGEST = 100_000
 
+_LEX = re.compile(r"(?P<number>\d{1,3}(?:,\d{3})+(?!\d)(?:\.\d+)?|\d+(?:\.\d*)?|\.\d+)|(?P<command>\\(?:[A-Za-z]+|.))|(?P<word>[^\W\d_]+)|(?P<gap>\s+)|(?P<sign>.)", re.S)
+_UNIT = re.compile(rf"(?:{'|'.join(UNITS)})(?:es|s)?", re.I)
 
-def latex_form(answer: str) -> str:
-    """The normal form in LaTeX spelling; text that can't be normalised stays as it is, stripped."""
-    s = _unwrapped(answer.strip()).strip()
-    kept = s
-    try:
-        s = s.replace("\n", "").replace("\\!", "").replace("\\\\", "\\")
-        s = s.replace("tfrac", "frac").replace("dfrac", "frac")
-        for drop in _LATEX_DROPS[2:7]:
-            s = s.replace(drop, "")
-        before, *rest = s.split("\\text{ ")  # a unit at the right
-        if len(rest) > 1:
-            raise ValueError("two units")
-        s = before.replace("\\%", "").replace(" .", " 0.").replace("{.", "{0.")
-        if not s:
-            return s
-        if s[0] == ".":
-            s = "0" + s
-        sides = s.split("=")
-        if len(sides) == 2 and len(sides[0]) <= 2:
-            s = sides[1]
-        if s.endswith("\\sqrt"):
-            raise ValueError("a root of nothing")
-        s = re.sub(r"\\sqrt([^{])", r"\\sqrt{\1}", s).replace(" ", "")
-        s = _brace_fractions(s)
-        if s == "0.5":
-            return "\\frac{1}{2}"
-        m = re.fullmatch(r"(0|-?[1-9]\d*)/(0|-?[1-9]\d*)", s)
-        return f"\\frac{{{m.group(1)}}}{{{m.group(2)}}}" if m else s
-    except ValueError:
-        return kept
-
-
-def _group(s: str, at: int) -> tuple[str, int]:
-    """A braced group or a single character from `at`, and where it ends."""
-    if at < len(s) and s[at] == "{":
-        depth = 0
-        for j in range(at, len(s)):
-            depth += (s[j] == "{") - (s[j] == "}")
-            if not depth:
-                return s[at + 1 : j], j + 1
-        raise ValueError("an open brace")
-    if at >= len(s):
-        raise ValueError("nothing to read")
-    return s[at], at + 1
-
-
-def latex_to_text(s: str) -> str:
-    """LaTeX as a plain expression: fractions as a/b, roots as sqrt(a), known symbols, other commands dropped."""
-    s = re.sub(r"\\[td]?frac\b|\\[td]?frac(?=\d)", r" \\frac", s)
-    out, i = [], 0
-    while i < len(s):
-        if s.startswith("\\frac", i):
-            a, i = _group(s, i + 5)
-            b, i = _group(s, i)
-            out.append(f"{latex_to_text(a)}/{latex_to_text(b)}")
-        elif s.startswith("\\sqrt", i):
-            a, i = _group(s, i + 5)
-            out.append(f"sqrt({latex_to_text(a)})")
-        elif s[i] == "\\":
-            m = re.match(r"\\(?:[A-Za-z]+|.)", s[i:])
-            if not m:
-                break
-            name = m.group(0)
-            i += len(name)
-            if name in ("\\text", "\\mathrm", "\\mathbf", "\\mbox"):
-                a, i = _group(s, i)
-                out.append(a)
-            else:
-                out.append(_SYMBOLS.get(name, name[1:] if not name[1:].isalpha() else ""))
-        else:
-            out.append(_SYMBOLS.get(s[i], s[i]))
-            i += 1
-    return "".join(out).strip()
 
+class NoExpression(ValueError):
+    """Text that is no expression."""
 
-def _number(s: str) -> float | None:
-    try:
-        return float(s)
-    except ValueError:
-        return None
-
-
-def _is_whole(x: float | None) -> bool:
-    return x is not None and math.isfinite(x) and abs(x - round(x)) <= TOLERANCE
-
-
-def without_thousands(s: str) -> str:
-    """Text without commas between thousands; other commas separate elements."""
-    while True:
-        after = re.sub(r"(\d),(\d\d\d)(?!\d)", r"\1\2", s)
-        if after == s:
-            return s
-        s = after
-
-
-def plain_form(answer: str) -> str:
-    """The normal form as a plain expression: no units, signs of currency or per cent, spaces or braces; lower case."""
-    s = _unwrapped(answer)
-    s = s.replace("\\%", "").replace("\\$", "").replace("$", "").replace("%", "")
-    s = s.replace(" or ", " , ").replace(" and ", " , ")
-    for word, power in _POWERS.items():
-        s = s.replace(word, power)
-    for unit in _UNITS:
-        s = re.sub(unit + r"(?:es)?s? *(?:\^[0-9]+)?", "", s)
-    s = re.sub(r"\^ *\\circ", "", s)
-    if s.startswith("{") and s.endswith("}"):
-        s = s[1:-1]
-    s = re.sub(r",\\! *", "", s)
-    if _is_whole(_number(s)):
-        s = str(round(float(s)))
-    if "\\" in s:
-        try:
-            s = latex_to_text(s)
-        except (ValueError, RecursionError):
-            pass
-    s = re.sub(r"- *", "-", s)
-    s = re.sub(r"([0-9]) +([0-9])", r"\1+\2", s)  # 7 3/4 is 7 + 3/4
-    s = s.translate(str.maketrans("", "", " {}")).lower()
-    bare = without_thousands(s)
-    if _is_whole(_number(bare)):
-        value = _number(s.replace(",", ""))
-        s = str(int(value)) if value is not None else s
-    return s
-
-
-def elements(s: str) -> list[str]:
-    """The elements of a tuple or interval; anything else is its only element."""
-    s = without_thousands(s)
-    if not s:
-        return []
-    if len(s) > 2 and s[0] in _BRACKETS and s[-1] in _BRACKETS and not any(b in s[1:-1] for b in _BRACKETS):
-        return [e.strip() for e in s[1:-1].split(",")]
-    return [s]
 
+@dataclass(frozen=True)
+class Token:
+    kind: str  # number, name (of NAMES), letter, sign
+    text: str
+    gap: bool = False  # whether white space stood before it
 
-class _Parser:
-    """expr := term (± term)*; term := power (* / power | juxtaposed)*; power := unary (^ power)?"""
 
-    TOKEN = re.compile(r"\d+\.?\d*|\.\d+|sqrt|pi|[a-z]|[-+*/^()]")
+def tokens_of(answer: str) -> list[Token]:
+    """An answer as tokens, without what doesn't count: signs of currency and per cent, spacing, degrees, units."""
+    out: list[Token] = []
+    found = [(m.lastgroup, m.group()) for m in _LEX.finditer(answer)]
+    i, gap = 0, False
+    while i < len(found):
+        kind, text = found[i]
+        i += 1
+        if kind == "gap":
+            gap = True
+            continue
+        if text in PROSE and i < len(found) and found[i][1] == "{":
+            inside, i = _braced(found, i)
+            if not out:  # later text is a unit or a remark
+                out += tokens_of(inside)
+            continue
+        text = MEANING.get(text, "" if kind == "command" else text)
+        if text in ("", "$", "%"):
+            continue
+        if kind == "number":
+            out.append(Token("number", text.replace(",", ""), gap))
+        elif text in NAMES:
+            out.append(Token("name", text, gap))
+        elif kind == "word" and out and text.lower() in SCALES and out[-1].kind == "number":
+            out[-1] = Token("number", f"{Decimal(out[-1].text).scaleb(SCALES[text.lower()]):f}", out[-1].gap)
+        elif kind == "word" and out and _UNIT.fullmatch(text):
+            power = re.match(r"\s*\^\s*(?:\d|\{\s*\d\s*\})", "".join(x for _, x in found[i : i + 8]))
+            i += 0 if power is None else len([*_LEX.finditer(power.group())])
+        elif kind == "word":
+            out += _spelled(text, gap, out)
+        else:
+            out.append(Token("sign", text, gap))
+        gap = False
+    return _without_degrees(out)
+
+
+def _braced(found: list[tuple[str, str]], i: int) -> tuple[str, int]:
+    """The text of a braced group that opens at i, and what comes after it."""
+    depth, parts = 0, []
+    for j in range(i, len(found)):
+        depth += (found[j][1] == "{") - (found[j][1] == "}")
+        if not depth:
+            return "".join(parts[1:]), j + 1
+        parts.append(found[j][1])
+    return "".join(parts[1:]), len(found)
+
+
+def _spelled(word: str, gap: bool, before: list[Token]) -> list[Token]:
+    """A word as tokens: a separator, a name or its letters."""
+    low = word.lower()
+    if low in ("or", "and") and before:
+        return [Token("sign", ",", gap)]
+    if low in NAMES:
+        return [Token("name", low, gap)]
+    return [Token("letter", c, gap and i == 0) for i, c in enumerate(low)]
+
+
+def _without_degrees(tokens: list[Token]) -> list[Token]:
+    """Tokens without a `^` that has lost what stood after it (a circle of degrees)."""
+    out: list[Token] = []
+    i = 0
+    while i < len(tokens):
+        rest = [t.text for t in tokens[i + 1 : i + 3]]
+        if tokens[i].text == "^" and (not rest or rest == ["{", "}"] or rest[0] in (",", ")", "]")):
+            i += 3 if rest == ["{", "}"] else 1
+            continue
+        out.append(tokens[i])
+        i += 1
+    return out
 
-    def __init__(self, text: str):
-        text = text.replace("**", "^")
-        self.tokens = self.TOKEN.findall(text)
-        if "".join(self.tokens) != text.replace(" ", "") or len(self.tokens) > 200:
-            raise ValueError("not an expression")
-        self.i = 0
 
-    def peek(self) -> str:
-        return self.tokens[self.i] if self.i < len(self.tokens) else ""
+class _Parser:
+    """Trees: a Fraction, a letter or 'pi' or 'inf', ('neg', a), ('sqrt', a), and ('+', a, b) likewise with - * / and ^."""
 
-    def take(self) -> str:
-        t = self.peek()
+    def __init__(self, tokens: list[Token]):
+        self.tokens, self.i = tokens, 0
+
+    def text(self, ahead: int = 0) -> str:
+        return self.tokens[self.i + ahead].text if self.i + ahead < len(self.tokens) else ""
+
+    def take(self, wanted: str | None = None) -> Token:
+        if self.i >= len(self.tokens) or wanted is not None and self.text() != wanted:
+            raise NoExpression
         self.i += 1
-        return t
+        return self.tokens[self.i - 1]
 
-    def parse(self):
-        tree = self.expr()
-        if self.peek():
-            raise ValueError("something is left over")
+    def whole(self):
+        tree = self.sum()
+        if self.i < len(self.tokens):
+            raise NoExpression
         return tree
 
-    def expr(self):
-        left = self.term()
-        while self.peek() in ("+", "-"):
-            left = (self.take(), left, self.term())
-        return left
+    def sum(self):
+        tree = self.product()
+        while self.text() in ("+", "-"):
+            tree = (self.take().text, tree, self.product())
+        return tree
 
-    def term(self):
-        left = self.unary()
+    def product(self):
+        tree = self.signed()
         while True:
-            t = self.peek()
+            t = self.text()
             if t in ("*", "/"):
-                left = (self.take(), left, self.unary())
-            elif t and (t == "(" or t.isalnum() or t[0] == "."):
-                left = ("*", left, self.power())
+                tree = (self.take().text, tree, self.signed())
+            elif t and (t in ("(", "{") or self.tokens[self.i].kind in ("number", "name", "letter")):
+                mixed = isinstance(tree, Fraction) and tree.denominator == 1 and self._fraction_follows()
+                right = self.signed() if not mixed else self._fraction()
+                tree = ("+" if mixed else "*", tree, right)
             else:
-                return left
-
-    def unary(self):
-        if self.peek() == "-":
-            self.take()
-            return ("neg", self.unary())
-        if self.peek() == "+":
-            self.take()
-            return self.unary()
-        return self.power()
-
-    def power(self):
-        base = self.atom()
-        if self.peek() == "^":
-            self.take()
-            return ("^", base, self.unary())
-        return base
+                return tree
+
+    def _fraction_follows(self) -> bool:
+        """Whether two numbers follow, one over the other: then a whole number before them is added."""
+        if self.text() == "frac":
+            return True
+        kinds = [t.kind for t in self.tokens[self.i : self.i + 3]]
+        return kinds == ["number", "sign", "number"] and self.text(1) == "/"
+
+    def _fraction(self):
+        if self.text() == "frac":
+            return self.atom()
+        a = self.atom()
+        self.take("/")
+        return ("/", a, self.atom())
+
+    def signed(self):
+        if self.text() in ("+", "-"):
+            sign = self.take().text
+            tree = self.signed()
+            return ("neg", tree) if sign == "-" else tree
+        tree = self.atom()
+        if self.text() == "^" or self.text() == self.text(1) == "*":
+            self.i += 1 if self.text() == "^" else 2
+            return ("^", tree, self.signed())
+        return tree
 
     def atom(self):
         t = self.take()
-        if t == "(":
-            inner = self.expr()
-            if self.take() != ")":
-                raise ValueError("an open bracket")
-            return inner
-        if t == "sqrt":
-            if self.peek() == "(":
-                return ("sqrt", self.atom())
-            return ("sqrt", self.power())
-        if t and (t[0].isdigit() or t[0] == "."):
-            return Fraction(t if t[-1] != "." else t[:-1])
-        if t == "pi" or len(t) == 1 and t.isalpha():
-            return t
-        raise ValueError("not an expression")
-
-
-def _value(tree, at: dict[str, complex], exact: bool):
+        if t.text in ("(", "{"):
+            tree = self.sum()
+            self.take(")" if t.text == "(" else "}")
+            return tree
+        if t.text == "sqrt":
+            return ("sqrt", self.part())
+        if t.text == "frac":
+            return ("/", self.part(), self.part())
+        if t.kind == "number":
+            return Fraction(t.text.rstrip(".") if t.text != "." else "0")
+        if t.kind == "letter" or t.text in ("pi", "inf"):
+            return t.text
+        raise NoExpression
+
+    def part(self):
+        """What a root or fraction takes: a group, or one digit or sign as in \\frac12."""
+        t = self.tokens[self.i] if self.i < len(self.tokens) else None
+        if t is not None and t.kind == "number" and len(t.text) > 1 and t.text.isdigit() and not t.gap:
+            self.tokens = [*self.tokens[: self.i], Token("number", t.text[0]), Token("number", t.text[1:]), *self.tokens[self.i + 1 :]]
+        return self.atom()
+
+
+def shown(tree) -> str:
+    """A tree as text, the same for all spellings that give the tree."""
     if isinstance(tree, Fraction):
-        return tree if exact else complex(tree)
+        return str(tree)
     if isinstance(tree, str):
-        return complex(math.pi) if tree == "pi" else at[tree]
+        return tree
     op, *args = tree
-    v = [_value(a, at, exact) for a in args]
-    if op == "neg":
-        return -v[0]
-    if op == "sqrt":
-        return complex(v[0]) ** 0.5
-    if op == "+":
-        return v[0] + v[1]
-    if op == "-":
-        return v[0] - v[1]
-    if op == "*":
-        return v[0] * v[1]
-    if op == "/":
-        return v[0] / v[1]
-    if exact:
-        if v[1].denominator != 1 or abs(v[1]) > 64:
-            raise ValueError("not an exact power")
-        return v[0] ** int(v[1])
-    if abs(v[1]) > 64:
-        raise ValueError("a large power")
-    return v[0] ** v[1]
-
-
-def _names(tree) -> set[str]:
-    if isinstance(tree, str):
-        return {tree}
-    if isinstance(tree, tuple):
-        return set().union(*(_names(a) for a in tree[1:])) | ({"sqrt"} if tree[0] == "sqrt" else set())
-    return set()
+    if op in ("neg", "sqrt"):
+        return f"{op}({shown(args[0])})"
+    return f"({shown(args[0])}){op}({shown(args[1])})"
+
+
+@dataclass(frozen=True)
+class Element:
+    text: str
+    tree: object = None
+
+
+@dataclass(frozen=True)
+class Answer:
+    """What an answer says: its elements, and the brackets around them if there are several."""
+
+    brackets: tuple[str, str]
+    elements: tuple[Element, ...]
+
+
+def read_answer(answer: str) -> Answer:
+    """An answer as elements; a name of up to two letters before an equals sign is left out."""
+    tokens = tokens_of(answer)
+    equals = [i for i, t in enumerate(tokens) if t.text == "="]
+    if len(equals) == 1 and 0 < equals[0] <= 2 and equals[0] + 1 < len(tokens):
+        tokens = tokens[equals[0] + 1 :]
+    brackets, inside = ("", ""), tokens
+    if len(tokens) > 2 and tokens[0].text in ("(", "[") and tokens[-1].text in (")", "]") and _splits(tokens[1:-1])[1:]:
+        brackets, inside = (tokens[0].text, tokens[-1].text), tokens[1:-1]
+    return Answer(brackets, tuple(_element(part) for part in _splits(inside)))
+
+
+def _splits(tokens: list[Token]) -> list[list[Token]]:
+    """Tokens between commas that are in no bracket; brackets that don't match make one part."""
+    parts, depth = [[]], 0
+    for t in tokens:
+        depth += (t.text in ("(", "[", "{")) - (t.text in (")", "]", "}"))
+        if depth < 0:
+            return [tokens]
+        if t.text == "," and not depth:
+            parts.append([])
+        else:
+            parts[-1].append(t)
+    return parts if not depth else [tokens]
 
 
-def evaluable(s: str) -> bool:
-    """Whether an expression has at most two distinct letters and no risky power."""
-    return len({c for c in s.replace("sqrt", "").replace("frac", "") if c.isalpha()}) <= 2 and not _RISKY.search(s)
+def _element(tokens: list[Token]) -> Element:
+    plain = "".join(t.text.lower() for t in tokens if t.text not in ("{", "}"))
+    if not tokens:
+        return Element("")
+    try:
+        tree = _Parser(tokens).whole()
+        return Element(shown(tree), tree)
+    except (NoExpression, RecursionError):
+        return Element(plain)
 
 
-def same_value(a: str, b: str) -> bool:
-    """Whether two expressions are equal: exactly for rationals, else at random points."""
-    if not evaluable(f"({a})-({b})"):
+def _letters(tree) -> set[str]:
+    """Letters, 'pi', 'inf' and 'sqrt' of a tree; '?' if a power is one that is not worked out."""
+    if isinstance(tree, Fraction):
+        return set()
+    if isinstance(tree, str):
+        return {tree}
+    op, *args = tree
+    own = {"sqrt"} if op == "sqrt" else set()
+    if op == "^" and not (isinstance(args[1], str) or isinstance(args[1], Fraction) and args[1] in range(10)):
+        own = {"?"}
+    return own.union(*map(_letters, args))
+
+
+def _value(tree, at: dict[str, complex] | None):
+    """The value of a tree, exact without `at`."""
+    if isinstance(tree, Fraction):
+        return tree if at is None else complex(tree)
+    if isinstance(tree, str):
+        return at[tree]
+    op, *args = tree
+    v = [_value(a, at) for a in args]
+    if op == "neg":
+        return -v[0]
+    if op == "sqrt":
+        return v[0] ** 0.5
+    if op == "^":
+        if at is None and v[0].numerator.bit_length() * int(v[1]) + v[0].denominator.bit_length() * int(v[1]) > LARGEST:
+            raise OverflowError
+        return v[0] ** (int(v[1]) if at is None else v[1])
+    return {"+": lambda a, b: a + b, "-": lambda a, b: a - b, "*": lambda a, b: a * b, "/": lambda a, b: a / b}[op](*v)
+
+
+def same_value(a, b) -> bool:
+    """Whether two trees have the same value: exactly, or at random complex points (of both signs, so that a root of a square is not its base)."""
+    names = _letters(a) | _letters(b)
+    letters = sorted(n for n in names if len(n) == 1 and n != "?")
+    if "?" in names or "inf" in names or len(letters) > 2:
         return False
     try:
-        ta, tb = _Parser(a).parse(), _Parser(b).parse()
-        names = _names(ta) | _names(tb)
         if not names:
-            try:
-                return _value(ta, {}, True) == _value(tb, {}, True)
-            except ValueError:
-                pass
-        letters = sorted(n for n in names if len(n) == 1)
+            return _value(a, None) == _value(b, None)
         rng = random.Random(11)
-        for _ in range(6):
-            at = {n: complex(rng.uniform(0.3, 2.7)) for n in letters}
-            x, y = complex(_value(ta, at, False)), complex(_value(tb, at, False))
-            if abs(x - y) > 1e-9 * max(1.0, abs(x), abs(y)):
+        for _ in range(8):
+            at = {n: complex(rng.uniform(-2.5, 2.5), rng.uniform(-1.5, 1.5)) for n in letters} | {"pi": complex(math.pi)}
+            x, y = _value(a, at), _value(b, at)
+            if not abs(x - y) <= 1e-9 * max(1.0, abs(x), abs(y)):
                 return False
         return True
-    except (ValueError, ZeroDivisionError, OverflowError, RecursionError, KeyError):
+    except (ZeroDivisionError, OverflowError, RecursionError, ValueError):
         return False
 
 
-_FRACTION = re.compile(r"-?[0-9]+.?/0*[1-9][0-9]*.?\Z")
+def _unsigned(tree):
+    return _unsigned(tree[1]) if isinstance(tree, tuple) and tree[0] == "neg" else tree
 
 
-def grade_answer(given: str | None, gold: str | None) -> bool:
-    """Whether an answer equals the gold answer.
+def is_whole(e: Element) -> bool:
+    """Whether an element is a whole number as it stands."""
+    t = _unsigned(e.tree)
+    return isinstance(t, Fraction) and t.denominator == 1
 
-    Equal in either normal form is right. Otherwise elements are compared one by one: two fractions
-    only as text (an unreduced one is wrong), a whole number only with a whole number, anything else
-    by value; the brackets of a tuple with several elements must agree.
-    """
-    if given is None or gold is None:
-        return False
-    if latex_form(given) == latex_form(gold):
-        return True
-    a, b = plain_form(gold), plain_form(given)
-    if a == b:
-        return True
-    if not a or not b:
+
+def is_fraction(e: Element) -> bool:
+    """Whether an element is one whole number over another as it stands."""
+    t = _unsigned(e.tree)
+    return isinstance(t, tuple) and t[0] == "/" and all(isinstance(x, Fraction) and x.denominator == 1 for x in map(_unsigned, t[1:]))
+
+
+def same_element(a: Element, b: Element) -> bool:
+    """Equal as read; or by value, but not two fractions (an unreduced one is wrong) nor a whole number and another form."""
+    if a.text == b.text:
+        return bool(a.text)
+    if a.tree is None or b.tree is None or is_fraction(a) and is_fraction(b) or is_whole(a) != is_whole(b):
         return False
-    want, have = elements(a), elements(b)
-    if len(want) != len(have) or len(want) > 1 and (a[0], a[-1]) != (b[0], b[-1]):
+    return same_value(a.tree, b.tree)
+
+
+def grade_answer(given: str | None, gold: str | None) -> bool:
+    """Whether an answer equals the gold answer: as many elements, in the same brackets, each the same."""
+    if given is None or gold is None:
         return False
-    for x, y in zip(want, have):
-        if _FRACTION.match(x) and _FRACTION.match(y):
-            right = x == y
-        elif _is_whole(_number(without_thousands(x))) != _is_whole(_number(without_thousands(y))):
-            right = False
-        else:
-            right = same_value(x, y)
-        if not right:
-            return False
-    return True
+    if given.strip() == gold.strip():
+        return bool(given.strip())
+    a, b = read_answer(gold), read_answer(given)
+    return len(a.elements) == len(b.elements) and a.brackets == b.brackets and all(map(same_element, a.elements, b.elements))
 
 
 @pandas_udf(BooleanType())
@@ -400,7 +391,9 @@ def grade_math(df: DataFrame, response: Column, gold: Column) -> DataFrame:
     extracted = math_extract(response)
     expected = py_strip(gold)
     out = df.withColumn("extracted", extracted).withColumn("__gold", expected)
-    out = out.withColumn("__same", grade_answers(F.col("extracted"), F.col("__gold")))
+    # what is equal as text needs no reading
+    equal = F.coalesce((F.col("extracted") == F.col("__gold")) & (F.col("__gold") != ""), F.lit(False))
+    out = out.withColumn("__same", equal | grade_answers(F.when(~equal, F.col("extracted")), F.col("__gold")))
     numbers = F.coalesce(normalize_numeric(F.col("extracted")) == normalize_numeric(F.col("__gold")), F.lit(False))
     method = (
         F.when(F.col("extracted").isNull(), "failed").when(F.col("__same"), "prm800k").when(numbers, "robust_boxed").otherwise("no_match")

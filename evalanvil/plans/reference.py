@@ -418,16 +418,17 @@ _LINES = f"SELECT row_id, eval_id, dataset, replace(model, '--', '/') AS model,
 
 
 def _answer_sql(text: str) -> str:
-    steps = (
-        (r"(?is)<think>.*?</think>|\[THINK\].*?\[/THINK\]", "g"),
-        (r"(?is)\A.*?(?:</think>|\[/THINK\])", ""),
-        (r"(?is)(?:<think>|\[THINK\]).*\z", ""),
-        (r"(?s)\A.*?(?:<\|start\|>)?assistant(?:<\|channel\|>)?final(?:<\|message\|>)?", ""),
-        (r"<\|(?:end|return)\|>\s*\z", ""),
-    )
-    for pattern, flags in steps:
-        text = f"regexp_replace({text}, '{pattern}', '', '{flags}')" if flags else f"regexp_replace({text}, '{pattern}', '')"
-    return _STRIP.format(c=text)
+    """The answer without reasoning, by positions: pairs go first, then what lies before a closer and after an opener."""
+    at = lambda tag: f"strpos(lower(x), '{tag}')"
+    pairs = rf"regexp_replace({text}, '(?is)<think>.*?</think>|\[THINK\].*?\[/THINK\]', '', 'g')"
+    closed = f"CASE WHEN {at('</think>')} > 0 THEN substr(x, {at('</think>')} + 8) WHEN {at('[/think]')} > 0 THEN substr(x, {at('[/think]')} + 8) ELSE x END"
+    opened = f"CASE WHEN {at('<think>')} + {at('[think]')} = 0 THEN x ELSE left(x, least(coalesce(nullif({at('<think>')}, 0), 1000000000), coalesce(nullif({at('[think]')}, 0), 1000000000)) - 1) END"
+    final = r"regexp_replace(x, '(?s)\A.*?(?:<\|start\|>)?assistant(?:<\|channel\|>)?final(?:<\|message\|>)?', '')"
+    ended = r"regexp_replace(x, '<\|(?:end|return)\|>\s*\z', '')"
+    sql = pairs
+    for step in (closed, opened, final, ended):
+        sql = f"(SELECT {step} FROM (SELECT {sql} AS x))"
+    return _STRIP.format(c=sql)
 
 
 _ANSWERS = f"SELECT *, {_answer_sql('completion')} AS answer FROM ({_LINES})"
