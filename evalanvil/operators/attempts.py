@@ -39,8 +39,16 @@ def offenders(ids: DataFrame, what: str, id_col: str = "id", shown: int = 10) ->
 
 
 def score_join(completions: DataFrame, samples: DataFrame, on: list[str]) -> DataFrame:
-    """Completions with their sample's columns. Duplicated samples are reduced first, so no row multiplies."""
-    return completions.join(samples.dropDuplicates(on), on)
+    """Completions with their sample's columns. Duplicated samples are reduced to the last first, so no row multiplies."""
+    return completions.join(last_of(samples, on), on)
+
+
+def last_of(rows: DataFrame, on: list[str]) -> DataFrame:
+    """The last row of every key in the order in which the rows are stored."""
+    rest = [c for c in rows.columns if c not in on]
+    row = F.struct(*rest, F.lit(0).alias("__one"))
+    kept = rows.withColumn("__at", F.monotonically_increasing_id()).groupBy(*on).agg(F.max_by(row, "__at").alias("__row"))
+    return kept.select(*on, *(F.col(f"__row.`{c}`").alias(c) for c in rest)).select(*rows.columns)
 
 
 def with_missing(samples: DataFrame, scores: DataFrame, on: list[str], flag: str = "is_correct") -> DataFrame:

@@ -2,13 +2,15 @@
 
 Loose passes if any of eight variants of the answer passes: as it is or without asterisks, each whole,
 without its first line, without its last line, or without both (as published with IFEval).
-A checker is any callable (text, arguments) -> bool; an unknown instruction id raises.
+A checker is any callable (text, arguments) -> bool. An instruction id that has none, or whose arguments
+its checker can't use, is not followed, and the row's status says so; the job goes on.
 """
 
 from __future__ import annotations
 
 import json
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -153,6 +155,66 @@ def _repeat(text: str, a: dict) -> bool:
     return text.strip().lower().startswith(str(a["prompt_to_repeat"]).strip().lower())
 
 
+@checker("count:word_count_range")
+def _word_range(text: str, a: dict) -> bool:
+    return int(a["min_words"]) <= len(text.split()) <= int(a["max_words"])
+
+
+@checker("count:unique_word_count")
+def _unique_words(text: str, a: dict) -> bool:
+    return len({w.lower() for w in _words(text)}) >= int(a["N"])
+
+
+@checker("count:numbers")
+def _numbers(text: str, a: dict) -> bool:
+    return len(re.findall(r"\b\d+\b", text)) == int(a["N"])
+
+
+@checker("count:punctuation")
+def _all_punctuation(text: str, a: dict) -> bool:
+    return all(mark in text for mark in ".,!?;:")
+
+
+@checker("sentence:keyword")
+def _keyword_in_sentence(text: str, a: dict) -> bool:
+    sentences = [s for s in re.split(r"(?<=[.!?])\s+", text) if s.strip()]
+    n = int(a["N"])
+    return 0 < n <= len(sentences) and str(a["word"]).lower() in [w.lower() for w in _words(sentences[n - 1])]
+
+
+@checker("words:no_consecutive")
+def _no_consecutive_letters(text: str, a: dict) -> bool:
+    first = [w[0].lower() for w in _words(text)]
+    return all(x != y for x, y in zip(first, first[1:]))
+
+
+@checker("words:prime_lengths")
+def _prime_lengths(text: str, a: dict) -> bool:
+    lengths = {len(w) for w in _words(text)}
+    return all(n > 1 and all(n % k for k in range(2, int(n**0.5) + 1)) for n in lengths)
+
+
+@checker("words:repeats")
+def _few_repeats(text: str, a: dict) -> bool:
+    return max(Counter(w.lower() for w in _words(text)).values(), default=0) <= int(a["small_n"])
+
+
+@checker("format:newline")
+def _word_a_line(text: str, a: dict) -> bool:
+    lines = [x.strip() for x in text.strip().split("\n")]
+    return all(len(x.split()) == 1 for x in lines)
+
+
+@checker("format:no_whitespace")
+def _no_whitespace(text: str, a: dict) -> bool:
+    return not re.search(r"\s", text.strip())
+
+
+@checker("format:title_case")
+def _title_case(text: str, a: dict) -> bool:
+    return all(w[0].isupper() or not w[0].isalpha() for w in text.split())
+
+
 def variants(text: str) -> list[str]:
     """The eight variants of an answer that the loose check tries."""
     lines = text.split("\n")
@@ -160,40 +222,52 @@ def variants(text: str) -> list[str]:
     return [*cuts, *(c.replace("*", "") for c in cuts)]
 
 
-def follows(text: str, instruction_ids: list[str], arguments: list[dict]) -> list[tuple[str, bool, bool]]:
-    """(instruction id, strict, loose) of one answer without reasoning; a blank answer follows nothing."""
-    out = []
+def follows(text: str, instruction_ids: list[str], arguments: list[dict]) -> tuple[list[tuple[str, bool, bool]], str]:
+    """((instruction id, strict, loose) of one answer without reasoning, status); a blank answer follows nothing.
+
+    status is 'ok', or names the first instruction that has no checker or can't be checked with its
+    arguments; such an instruction is not followed.
+    """
+    out, status = [], "ok"
     for i, name in enumerate(instruction_ids):
-        if name not in CHECKERS:
-            raise KeyError(f"no checker for instruction {name!r}")
-        a = {k: v for k, v in (arguments[i] if i < len(arguments) else {} or {}).items() if v is not None}
-        f = CHECKERS[name]
-        strict = bool(text.strip()) and bool(f(text, a))
-        loose = strict or any(bool(v.strip()) and bool(f(v, a)) for v in variants(text))
+        f = CHECKERS.get(name)
+        a = {k: v for k, v in ((arguments[i] if i < len(arguments) else {}) or {}).items() if v is not None}
+        strict = loose = False
+        try:
+            if f is None:
+                raise LookupError("no checker")
+            strict = bool(text.strip()) and bool(f(text, a))
+            loose = strict or any(bool(v.strip()) and bool(f(v, a)) for v in variants(text))
+        except (LookupError, ValueError, TypeError) as e:
+            why = "no checker" if f is None else f"arguments ({type(e).__name__})"
+            status = f"{name}: {why}" if status == "ok" else status
         out.append((name, strict, loose))
-    return out
+    return out, status
 
 
 def grade_instructions(df: DataFrame, completion: str, ids: str, arguments: str) -> DataFrame:
-    """df with flags (array of id, strict, loose), strict_all, loose_all and is_correct (the loose one).
+    """df with flags (array of id, strict, loose), strict_all, loose_all, is_correct (the loose one) and instruction_status.
 
     `ids` is an array of instruction ids, `arguments` a JSON array of objects in their order. A null
-    completion follows nothing; without instructions all are followed. An unknown id fails the job.
+    completion follows nothing; without instructions all are followed. See `follows` for ids without a checker.
     """
-    added = "flags array<struct<id:string,strict:boolean,loose:boolean>>, strict_all boolean, loose_all boolean, is_correct boolean"
+    added = "flags array<struct<id:string,strict:boolean,loose:boolean>>, strict_all boolean, loose_all boolean, is_correct boolean, instruction_status string"
     schema = ", ".join([*(f"`{c}` {t}" for c, t in df.dtypes), added])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = pdf.drop(columns="__answer")
-            flags = []
+            flags, status = [], []
             for text, names, args in zip(pdf["__answer"], pdf[ids], pdf[arguments]):
                 given = json.loads(args) if isinstance(args, str) else []
-                flags.append(follows(text if isinstance(text, str) else "", [] if names is None else list(names), given))
+                one, how = follows(text if isinstance(text, str) else "", [] if names is None else list(names), given if isinstance(given, list) else [])
+                flags.append(one)
+                status.append(how)
             out["flags"] = [[{"id": n, "strict": s, "loose": loose} for n, s, loose in f] for f in flags]
             out["strict_all"] = [all(s for _, s, _ in f) for f in flags]
             out["loose_all"] = [all(loose for *_, loose in f) for f in flags]
             out["is_correct"] = out["loose_all"]
+            out["instruction_status"] = status
             yield out
 
     return df.withColumn("__answer", strip_reasoning(F.col(completion))).mapInPandas(run, schema)

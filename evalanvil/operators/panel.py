@@ -24,14 +24,18 @@ BINS, ROUNDS, FOLDS = 3, 20, 5
 
 
 def pass_matrix(tidy: DataFrame, sample: str = "sample_id", model: str = "model", flag: str = "pass") -> DataFrame:
-    """(sample_id, pv): each sample's passes in the order of model names.
+    """(sample_id, pv): each sample's passes in the order of the names of all models.
 
-    One row per (sample, model) is made first (a pass if any row is); nulls count as fails. A
-    sample's array is as long as its number of models, so a complete panel gives equal lengths.
+    One row per (sample, model) is made first (a pass if any row is); nulls and missing results
+    count as fails, so all arrays are as long as the panel. Its names come to the driver, a panel
+    being small; a null model is none.
     """
-    one = tidy.groupBy(sample, model).agg(F.max(F.coalesce(F.col(flag), F.lit(False))).alias(flag))
-    pairs = F.sort_array(F.collect_list(F.struct(F.col(model), F.col(flag))))
-    return one.groupBy(sample).agg(F.transform(pairs, lambda p: p[flag]).alias("pv"))
+    known = tidy.where(F.col(model).isNotNull())
+    names = [r[0] for r in known.select(model).distinct().orderBy(model).collect()]
+    one = known.groupBy(sample, model).agg(F.max(F.coalesce(F.col(flag), F.lit(False))).alias(flag))
+    passed = F.collect_list(F.when(F.col(flag), F.col(model)))
+    every = F.array(*map(F.lit, names)) if names else F.array().cast("array<string>")
+    return one.groupBy(sample).agg(passed.alias("__p")).select(sample, F.transform(every, lambda m: F.array_contains("__p", m)).alias("pv"))
 
 
 def not_unanimous(matrix: DataFrame) -> DataFrame:
@@ -244,7 +248,13 @@ def _bounded(matrix: DataFrame, most: int) -> DataFrame:
     return matrix
 
 
-def representative_subset(matrix: DataFrame, group: str, wanted: int, bins: int = BINS, seed: int = 0, sample: str = "sample_id", most: int = MOST) -> DataFrame:
+#: A selector: pass vectors, positions per cell, samples wanted and a seed give the positions chosen.
+Selector = Callable[[np.ndarray, dict[tuple[str, int], list[int]], int, int], list[int]]
+
+
+def representative_subset(
+    matrix: DataFrame, group: str, wanted: int, bins: int = BINS, seed: int = 0, sample: str = "sample_id", most: int = MOST, selector: Selector = choose
+) -> DataFrame:
     """(sample_id, grp, bin) of a representative subset of (sample_id, pv, group).
 
     Reproducible whatever the order of rows: samples are sorted by id. A pool of more than `most`
@@ -256,7 +266,7 @@ def representative_subset(matrix: DataFrame, group: str, wanted: int, bins: int
         pv = np.array(pdf["pv"].tolist(), dtype=bool)
         cells = cells_of(pdf["sid"].tolist(), pdf["grp"].tolist(), pv.sum(axis=1), bins)
         home = {i: k for k, v in cells.items() for i in v}
-        picked = sorted(choose(pv, cells, wanted, seed))
+        picked = sorted(selector(pv, cells, wanted, seed))
         return pd.DataFrame({"sample_id": pdf["sid"][picked], "grp": [home[i][0] for i in picked], "bin": [home[i][1] for i in picked]})
 
     pool = _bounded(matrix, most).select(F.col(sample).cast("string").alias("sid"), "pv", F.col(group).cast("string").alias("grp"))
@@ -279,10 +289,12 @@ def model_folds(n_models: int, folds: int = FOLDS, seed: int = 0) -> list[list[i
     return out
 
 
-def held_out(matrix: DataFrame, group: str, wanted: int, folds: int = FOLDS, seed: int = 0, bins: int = BINS, sample: str = "sample_id", most: int = MOST) -> DataFrame:
+def held_out(
+    matrix: DataFrame, group: str, wanted: int, folds: int = FOLDS, seed: int = 0, bins: int = BINS, sample: str = "sample_id", most: int = MOST, selector: Selector = choose
+) -> DataFrame:
     """(model_index, full, held): each model's accuracy in full and on the subset chosen without it.
 
-    The folds are separate grouped-map tasks; each chooses on the models of the other folds.
+    `seed` sets the folds only; `selector` is any function that chooses a subset. The folds are separate grouped-map tasks; each chooses on the models of the other folds.
     """
     first = matrix.select(F.size("pv").alias("n")).first()
     if first is None:
@@ -295,7 +307,7 @@ def held_out(matrix: DataFrame, group: str, wanted: int, folds: int = FOLDS, see
         pv = np.array(pdf["pv"].tolist(), dtype=bool)
         train = [m for m in range(pv.shape[1]) if m not in set(test)]
         seen = pv[:, train]
-        picked = choose(seen, cells_of(pdf["sid"].tolist(), pdf["grp"].tolist(), seen.sum(axis=1), bins), wanted, 0)
+        picked = selector(seen, cells_of(pdf["sid"].tolist(), pdf["grp"].tolist(), seen.sum(axis=1), bins), wanted, 0)
         return pd.DataFrame({"model_index": test, "full": pv[:, test].mean(axis=0), "held": pv[picked][:, test].mean(axis=0)})
 
     each = F.explode(F.array(*(F.lit(f) for f in range(len(plan)))))
@@ -324,7 +336,8 @@ def compact(tidy: DataFrame, groups: DataFrame, wanted: int | None, spark: Spark
     for f in FILTERS.values():
         pool = pool.transform(f)
     pool = cut(pool.join(groups.select("sample_id", group), "sample_id"))
-    report: dict = {"stages": stages, "skipped": [r.asDict() for r in models.where("reason is not null").orderBy("model").collect()]}
+    names = [r[0] for r in models.where("reason is null").select("model").orderBy("model").collect()]
+    report: dict = {"stages": stages, "models": names, "skipped": [r.asDict() for r in models.where("reason is not null").orderBy("model").collect()]}
     n = pool.count()
     if wanted and n > wanted:
         n_models = models.where("reason is null").count()

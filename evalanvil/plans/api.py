@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -65,12 +66,26 @@ def score_completions(spark: SparkSession, eval_id: str, dataset: str, completio
 
 
 def report(eval_id: str, dataset: str, scored: DataFrame, metrics: DataFrame) -> DataFrame:
-    """One row of JSON: eval, data set, total, correct, accuracy and metrics (scores stay a table)."""
-    context = metrics.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("metric", "value")))).alias("context"))
+    """(section, entry) rows of JSON: one 'summary', a 'context' row per metric, a 'scores' row per completion.
+
+    No row grows with the data.
+    """
     head = summary(scored).select(F.lit(eval_id).alias("eval_id"), F.lit(dataset).alias("dataset"), "total", "correct", "accuracy", F.lit(__version__).alias("runtime_version"))
-    one = F.lit(1).alias("one")
-    joined = head.select("*", one).join(context.select("*", one), "one").drop("one")  # one row each
-    return joined.select(F.to_json(F.struct("*")).alias("report"))
+    section = lambda df, name: df.select(F.lit(name).alias("section"), F.to_json(F.struct("*")).alias("entry"))
+    shown = scored.select("id", "completion", "is_correct")
+    return section(head, "summary").unionByName(section(metrics.select("metric", "value"), "context")).unionByName(section(shown, "scores"))
+
+
+def report_document(eval_id: str, dataset: str, scored: DataFrame, metrics: DataFrame) -> Iterator[str]:
+    """The same as pieces of one JSON document {eval_id, dataset, total, correct, accuracy, context, scores}, streamed a partition at a time."""
+    head = summary(scored).select("total", "correct", "accuracy").first().asDict()
+    yield json.dumps({"eval_id": eval_id, "dataset": dataset, **head})[:-1] + ', "context": {'
+    for i, r in enumerate(metrics.select("metric", "value").orderBy("metric").toLocalIterator()):
+        yield (", " if i else "") + f"{json.dumps(r['metric'])}: {json.dumps(r['value'])}"
+    yield '}, "scores": ['
+    for i, r in enumerate(scored.select("id", "completion", "is_correct").orderBy("id").toLocalIterator()):
+        yield (",\n" if i else "") + json.dumps(r.asDict())
+    yield "]}\n"
 
 
 def verify_runs(spark: SparkSession, eval_id: str, dataset: str, results: str, root: str | None = None) -> DataFrame:
@@ -109,3 +124,36 @@ def compact_dataset(spark: SparkSession, eval_id: str, dataset: str, results: st
     metadata = {**{k: meta[k] for k in ("repeats",) if k in meta}, "source_dataset": dataset, "compaction": found}
     catalog.save_rows(kept, eval_id, to, None, root, json.loads(json.dumps(metadata, default=str)))
     return metadata
+
+
+def representative_dataset(
+    spark: SparkSession, eval_id: str, dataset: str, results: str, wanted: int, to: str, root: str | None = None, seed: int = 0, selector: panel.Selector = panel.choose
+) -> dict:
+    """Writes the data set `to` with a representative subset of all samples and returns its metadata.
+
+    All models' runs are graded, models with missing results or without any pass are left out, and
+    the subset is chosen from the whole data set (no filters, no cross-validation). The metadata name
+    the models, those left out and why, and what was generated with. Raises if no model is left.
+    """
+    from evalanvil.functions.keys import logical_id
+
+    truth = catalog.load_samples(spark, eval_id, dataset, root)
+    tidy = cut(pass_table(spark, eval_id, dataset, results, root))
+    groups = truth.select(F.col("id").alias("sample_id"), panel.group_key(eval_id).alias("grp")).dropDuplicates(["sample_id"])
+    models = cut(panel.complete_models(tidy, groups))
+    names = [r[0] for r in models.where("reason is null").select("model").orderBy("model").collect()]
+    if not names:
+        raise RuntimeError("no model has complete results")
+    kept = tidy.join(models.where("reason is null").select("model"), "model", "left_semi")
+    pool = panel.pass_matrix(kept).join(groups, "sample_id")
+    chosen = cut(panel.representative_subset(pool, "grp", wanted, seed=seed, selector=selector).select("sample_id"))
+    rows, meta = catalog.checked_rows(spark, eval_id, dataset, root)
+    keep = chosen.select(logical_id(F.col("sample_id")).alias("id")).distinct()
+    picked = rows.withColumn("id", catalog._sample_id(eval_id)).join(keep, "id", "left_semi").drop("id")
+    skipped = models.where("reason is not null").orderBy("model").select("model", "reason", "have", "missing", "total").collect()
+    metadata = {
+        **{k: meta[k] for k in ("repeats",) if k in meta}, "source_dataset": dataset, "models": names,
+        "skipped": [r.asDict() for r in skipped], "generation_params": catalog.generation_spec(eval_id),
+    }
+    catalog.save_rows(picked, eval_id, to, None, root, metadata)
+    return metadata

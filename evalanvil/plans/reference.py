@@ -489,7 +489,8 @@ verified AS (SELECT *, missing = 0 AND extra = 0 AND duplicates = 0 AS ok, CASE
   WHEN duplicates > 0 THEN 'duplicates' WHEN empty = total THEN 'zero-score' WHEN empty > 0 THEN 'partial-empty' ELSE 'ok' END AS status FROM counted)"""
 _PROMPTS = f"SELECT DISTINCT eval_id, dataset, {_NORM.format(c='id')} AS sid, messages[-1].content AS prompt FROM samples"
 _PANEL = "SELECT user_id AS sample_id, event_type AS model, count(*) % 2 = 1 AS pass FROM events GROUP BY ALL"
-_VECTORS = f"SELECT sample_id, string_agg(CAST(CAST(pass AS INT) AS VARCHAR), '' ORDER BY model) AS pv FROM ({_PANEL}) GROUP BY ALL"
+_VECTORS = f"""SELECT e.sample_id, string_agg(CASE WHEN p.pass THEN '1' ELSE '0' END, '' ORDER BY e.model) AS pv
+  FROM (SELECT * FROM (SELECT DISTINCT sample_id FROM ({_PANEL})) CROSS JOIN (SELECT DISTINCT model FROM ({_PANEL}))) e LEFT JOIN ({_PANEL}) p USING (sample_id, model) GROUP BY ALL"""
 _DRIFT = f"""
   SELECT f.model, f.a AS full_accuracy, coalesce(s.a, 0.0) AS subset_accuracy, abs(coalesce(s.a, 0.0) - f.a) AS deviation FROM
   (SELECT model, sum(CAST(pass AS INT)) / CAST(count(*) AS DOUBLE) AS a FROM ({_PANEL}) GROUP BY ALL) f LEFT JOIN
@@ -552,6 +553,11 @@ ORACLES = {
         FROM (SELECT model, count(*) AS have, CAST(sum(CAST(pass AS INT)) AS BIGINT) AS passes FROM r GROUP BY ALL), t""",
     "difficulty_bins": f"""SELECT sample_id, grp, passes, 3 - ntile(3) OVER (PARTITION BY grp ORDER BY passes DESC, sample_id DESC) AS bin FROM (
         SELECT sample_id, CAST(sample_id % 4 AS VARCHAR) AS grp, length(replace(pv, '0', '')) AS passes FROM ({_VECTORS}))""",
+    "cell_quotas": f"""WITH b AS (SELECT grp, 3 - ntile(3) OVER (PARTITION BY grp ORDER BY passes DESC, sample_id DESC) AS bin FROM (
+          SELECT sample_id, CAST(sample_id % 4 AS VARCHAR) AS grp, length(replace(pv, '0', '')) AS passes FROM ({_VECTORS}))),
+        c AS (SELECT grp, CAST(bin AS INT) AS bin, count(*) AS size, count(*) * 40.0::DOUBLE / sum(count(*)) OVER () AS share FROM b GROUP BY ALL),
+        f AS (SELECT *, least(size, greatest(1, floor(share))) AS base, row_number() OVER (ORDER BY share - floor(share) DESC, grp DESC, bin DESC) AS turn FROM c)
+        SELECT grp, bin, size, CAST(base + CASE WHEN turn <= 40 - (SELECT sum(base) FROM f) THEN 1 ELSE 0 END AS BIGINT) AS quota FROM f""",
     "subset_drift": _DRIFT,
     "panel_tau": f"""WITH d AS ({_DRIFT}) SELECT sum(sign((a.full_accuracy - b.full_accuracy) * (a.subset_accuracy - b.subset_accuracy))) / CAST(count(*) AS DOUBLE) AS kendall_tau
         FROM d a JOIN d b ON a.model < b.model""",

@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalanvil.functions.fingerprint import content_fingerprint, line_of, structured_ids
+from evalanvil.functions.fingerprint import canonical_json, content_fingerprint, line_of, structured_ids
 from evalanvil.functions.keys import py_strip, short_hash
 from evalanvil.functions.text import user_message
 from evalanvil.operators.attempts import expand
@@ -47,6 +47,12 @@ class Files:
     def read(self, path: str) -> str:
         return "\n".join(r["value"] for r in self.spark.read.text(path, wholetext=True).collect())
 
+    def move(self, path: str, to: str) -> None:
+        """Renames a file or folder; the folder above its new name is made."""
+        self.fs.mkdirs(self._path(to).getParent())
+        if not self.fs.rename(self._path(path), self._path(to)):
+            raise OSError(f"{path} can't be moved to {to}")
+
     def write(self, path: str, text: str) -> None:
         out = self.fs.create(self._path(path), True)
         out.write(bytearray(text.encode("utf-8")))
@@ -95,8 +101,8 @@ def repeats_of(metadata: dict) -> int:
     return n
 
 
-def read_rows(spark: SparkSession, eval_id: str, dataset: str, split: str | None = None, root: str | None = None) -> DataFrame:
-    """The stored rows of a split, with their schema; a missing file raises before any plan is built."""
+def stored_rows(spark: SparkSession, eval_id: str, dataset: str, split: str | None = None, root: str | None = None) -> DataFrame:
+    """The rows of a split as they are stored, all columns; a missing file raises before any plan is built."""
     primary, form, schema = EVALS[eval_id]
     folder = dataset_dir(eval_id, dataset, root)
     path = f"{folder}/{split or primary}.{'jsonl' if form == 'json' else form}"
@@ -104,7 +110,18 @@ def read_rows(spark: SparkSession, eval_id: str, dataset: str, split: str | None
         raise FileNotFoundError(f"{path} is missing; write the data set with save_rows, or set {ROOT_VARIABLE} to where it lies")
     if form == "json":
         return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
-    stored = spark.read.parquet(path)
+    return spark.read.parquet(path)
+
+
+def read_rows(spark: SparkSession, eval_id: str, dataset: str, split: str | None = None, root: str | None = None) -> DataFrame:
+    """The rows of a split with the columns of its eval."""
+    return as_rows(eval_id, stored_rows(spark, eval_id, dataset, split, root))
+
+
+def as_rows(eval_id: str, stored: DataFrame) -> DataFrame:
+    """Stored rows with the columns of their eval; nested arguments become JSON text."""
+    if EVALS[eval_id][1] == "json":
+        return stored
     if eval_id == "ifbench":
         kwargs = F.col("kwargs") if dict(stored.dtypes)["kwargs"] == "string" else F.to_json("kwargs")
         n = F.col("n_constraints").cast("long") if "n_constraints" in stored.columns else F.lit(None).cast("long")
@@ -112,27 +129,27 @@ def read_rows(spark: SparkSession, eval_id: str, dataset: str, split: str | None
     return stored.select("prompt", F.col("answer").cast("string").alias("answer"))
 
 
-def _fingerprint_line(eval_id: str) -> Column | None:
+def dataset_fingerprint(eval_id: str, stored: DataFrame) -> str | None:
+    """The order-insensitive content hash of a data set's stored rows; None where an eval has none.
+
+    Questions with an answer are hashed field by field, nested rows as JSON with sorted keys, every
+    stored column and null among them.
+    """
     if eval_id in ("gpqa_diamond", "math_500"):
-        return line_of(F.col("prompt"), F.col("answer"))
+        return content_fingerprint(stored, line_of(F.col("prompt"), F.col("answer").cast("string")))
     if eval_id == "ifbench":
-        return line_of(F.col("key"), F.to_json("instruction_id_list"), F.col("prompt"), F.col("kwargs"))
+        return content_fingerprint(stored, canonical_json(F.to_json(F.struct(*stored.columns), {"ignoreNullFields": "false"})))
     return None
 
 
-def dataset_fingerprint(eval_id: str, rows: DataFrame) -> str | None:
-    """The order-insensitive content hash of a data set; None where an eval has none."""
-    line = _fingerprint_line(eval_id)
-    return None if line is None else content_fingerprint(rows, line)
-
-
 def checked_rows(spark: SparkSession, eval_id: str, dataset: str, root: str | None = None) -> tuple[DataFrame, dict]:
     """Rows and metadata, after the content hash was checked if metadata has one."""
-    rows = read_rows(spark, eval_id, dataset, None, root)
+    stored = stored_rows(spark, eval_id, dataset, None, root)
+    rows = as_rows(eval_id, stored)
     meta = read_metadata(spark, dataset_dir(eval_id, dataset, root), needed=eval_id in ("gpqa_diamond", "math_500"))
     wanted = meta.get("content_sha256")
     if wanted:
-        actual = dataset_fingerprint(eval_id, rows)
+        actual = dataset_fingerprint(eval_id, stored)
         if actual is not None and actual != wanted:
             raise ValueError(f"integrity check failed for {eval_id}/{dataset}: {actual} is not {wanted}")
     return rows, meta
@@ -187,7 +204,7 @@ def save_rows(rows: DataFrame, eval_id: str, dataset: str, split: str | None = N
     getattr(out.write.mode("overwrite"), form)(path)
     if metadata is not None:
         meta = {"repeats": 1, **metadata, "eval_id": eval_id, "dataset": dataset, "num_samples": rows.count()}
-        print_hash = dataset_fingerprint(eval_id, read_rows(spark, eval_id, dataset, split, root))
+        print_hash = dataset_fingerprint(eval_id, stored_rows(spark, eval_id, dataset, split, root))
         if print_hash:
             meta["content_sha256"] = print_hash
         Files(spark, folder).write(f"{folder}/metadata.json", json.dumps(meta, indent=2))
@@ -278,7 +295,8 @@ def read_runs(spark: SparkSession, results: str, eval_id: str, dataset: str) ->
         paths += [f"{folder}/{m}/{dataset}/{n}" for n in (shards or ["completions.jsonl"] * merged)]
     if not paths:
         return spark.createDataFrame([], "model string, id string, completion string, file string")
-    model = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -3)
+    # a shard is a file or a folder of files
+    model = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+/completions[^/]*(?:/[^/]*)?\z", 1)
     return spark.read.schema(COMPLETIONS).option("mode", "FAILFAST").json(paths).select(
         F.replace(F.url_decode(model), F.lit("--"), F.lit("/")).alias("model"), "id", "completion", F.col("_metadata.file_name").alias("file")
     )
@@ -289,12 +307,44 @@ def write_completions(completions: DataFrame, folder: str, by: tuple[str, ...] =
     completions.write.mode("append").partitionBy(*by).json(folder)
 
 
-def export_prompts(prompts: DataFrame, path: str, limit: int = 0, order: str = "id") -> None:
-    """Prompts as JSON lines, the first `limit` of them if it isn't 0."""
-    out = prompts.orderBy(order).limit(limit) if limit else prompts
+def write_runs(completions: DataFrame, results: str) -> int:
+    """Lays (eval_id, model, dataset, shard, id, completion) out as runs and returns the number of shards.
+
+    `<results>/<eval>/<model>/<dataset>/completions.shard<k>.jsonl`, each a folder of JSON lines. One
+    job writes all; moving the folders to their names touches metadata only. A null shard is shard 0.
+    """
+    parts = ["eval_id", "model", "dataset", "shard"]
+    raw = f"{results}/_unsorted"
+    slug = F.replace("model", F.lit("/"), F.lit("--"))
+    out = completions.select("eval_id", slug.alias("model"), "dataset", F.coalesce("shard", F.lit(0)).alias("shard"), "id", "completion")
+    out.repartition(*parts).write.partitionBy(*parts).json(raw)
+    files, n = Files(out.sparkSession, results), 0
+
+    def leaves(folder: str, depth: int) -> list[str]:
+        found = [f"{folder}/{x}" for x in files.names(folder, dirs=True)]
+        return found if depth == 1 else [y for x in found for y in leaves(x, depth - 1)]
+
+    for leaf in leaves(raw, len(parts)):
+        eval_id, model, dataset, shard = (x.split("=", 1)[1] for x in leaf.split("/")[-len(parts) :])
+        files.move(leaf, f"{results}/{eval_id}/{model}/{dataset}/completions.shard{shard}.jsonl")
+        n += 1
+    files.fs.delete(files._path(raw), True)
+    return n
+
+
+def export_prompts(prompts: DataFrame, path: str, limit: int = 0, order: str | None = None) -> None:
+    """Prompts as JSON lines; the first `limit` of them if it isn't 0, in the data set's own order or by a column."""
+    if limit:
+        prompts = (prompts.orderBy(order) if order else in_order(prompts)).limit(limit)
+    out = prompts
     out.select(F.to_json(F.struct("*")).alias("value")).write.mode("overwrite").text(path)
 
 
+def in_order(rows: DataFrame) -> DataFrame:
+    """Rows of a scan in the order in which they are stored (file by file, row by row)."""
+    return rows.withColumn("__at", F.monotonically_increasing_id()).orderBy("__at").drop("__at")
+
+
 def generation_specs(spark: SparkSession) -> DataFrame:
     """What is generated per eval; nulls are left out where this is written as JSON."""
     rows = [(e, g["max_tokens"], g["temperature"], g["mcq_choices"]) for e, g in sorted(GENERATION.items())]

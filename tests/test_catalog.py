@@ -106,7 +106,10 @@ def test_score_and_verify(spark, root, capsys):
     scored, metrics = api.score_completions(spark, "gpqa_diamond", "default", done, root)
     assert scored.columns == ["id", "messages", "completion", "is_correct"] and scored.where("is_correct").count() == 2
     assert {r["metric"]: r["value"] for r in metrics.collect()}["gpqa_diamond_pass_at_1"] == 0.5
-    assert json.loads(api.report("gpqa_diamond", "default", scored, metrics).first()[0])["accuracy"] == 0.5
+    rows = [(r["section"], json.loads(r["entry"])) for r in api.report("gpqa_diamond", "default", scored, metrics).collect()]
+    assert [e["accuracy"] for s, e in rows if s == "summary"] == [0.5] and sum(s == "scores" for s, _ in rows) == 4
+    document = json.loads("".join(api.report_document("gpqa_diamond", "default", scored, metrics)))
+    assert document["accuracy"] == 0.5 and document["context"]["gpqa_diamond_pass_at_1"] == 0.5 and [x["id"] for x in document["scores"]] == ids
     with pytest.raises(api.Rejected, match="duplicate"):
         api.score_completions(spark, "gpqa_diamond", "default", done.union(done), root)
     with pytest.raises(api.Rejected, match="not in dataset: zzz"):
@@ -128,6 +131,56 @@ def test_score_and_verify(spark, root, capsys):
     assert "gpqa_diamond" in capsys.readouterr().out
 
 
+def test_representative_dataset(spark, root):
+    """Models with missing results or without a pass are left out and named; repeats and parameters are carried on."""
+    ids = [r["id"] for r in catalog.load_samples(spark, "gpqa_diamond", "default", root).orderBy("id").collect()]
+    for model, text, some in (("m--a", "Answer: B", ids), ("m--b", "Answer: D", ids), ("m--c", "Answer: D", ids[:2]), ("m--d", "Answer: C", ids)):
+        folder = f"{root}/results/gpqa_diamond/{model}/default"
+        os.makedirs(folder)
+        open(f"{folder}/completions.jsonl", "w").write("".join(json.dumps({"id": i, "completion": text}) + "\n" for i in some))
+    args = (spark, "gpqa_diamond", "default", f"{root}/results", 2)
+    meta = api.representative_dataset(*args, "rep", root, selector=lambda pv, cells, wanted, seed: list(range(wanted)))
+    assert meta["models"] == ["m/a", "m/b"] and {(x["model"], x["reason"]) for x in meta["skipped"]} == {("m/c", "incomplete"), ("m/d", "zero accuracy")}
+    stored = catalog.read_metadata(spark, f"{root}/datasets/gpqa_diamond/rep")
+    assert stored["generation_params"]["max_tokens"] == 2048 and stored["repeats"] == 2 and stored["source_dataset"] == "default"
+    assert {r["id"] for r in catalog.load_samples(spark, "gpqa_diamond", "rep", root).collect()} <= set(ids)
+    assert main(["--root", root, "represent", "gpqa_diamond", "default", f"{root}/results", "rep2", "--samples", "2"]) == 0
+    for model in ("m--a", "m--b", "m--d"):
+        os.remove(f"{root}/results/gpqa_diamond/{model}/default/completions.jsonl")
+    with pytest.raises(RuntimeError, match="no model"):
+        api.representative_dataset(*args, "rep3", root)
+
+
+def test_nested_rows_are_hashed_as_stored(spark, root, tmp_path):
+    """Sorted JSON of whole rows, arguments nested as they are stored, nulls among them."""
+    import hashlib
+
+    folder = f"{root}/datasets/ifbench/nested"
+    schema = "key string, instruction_id_list array<string>, prompt string, kwargs array<struct<n:int,word:string>>"
+    rows = spark.createDataFrame([("2", ["a:b"], "Größe?", [(None, "x")]), ("1", ["a:b", "c:d"], "Go.", [(3, None), None])], schema)
+    rows.coalesce(1).write.parquet(f"{folder}/train.parquet")
+    plain = [r.asDict(recursive=True) for r in rows.collect()]
+    want = hashlib.sha256("\n".join(sorted(json.dumps(r, sort_keys=True) for r in plain)).encode()).hexdigest()
+    assert catalog.dataset_fingerprint("ifbench", catalog.stored_rows(spark, "ifbench", "nested", None, root)) == want
+    open(f"{folder}/metadata.json", "w").write(json.dumps({"content_sha256": want}))
+    assert catalog.load_samples(spark, "ifbench", "nested", root).count() == 2
+
+
+def test_the_last_of_repeated_samples_counts(spark, tmp_path):
+    from evalanvil.operators.attempts import score_join
+
+    spark.createDataFrame([("a", "1", 7), ("a", "2", None), ("b", "3", 1), (None, "4", 1)], "id string, answer string, n int").coalesce(1).write.parquet(f"{tmp_path}/s")
+    done = spark.createDataFrame([("a", "x"), ("a", "y"), ("b", "z"), (None, "w")], "id string, completion string")
+    got = {(r["id"], r["completion"], r["answer"], r["n"]) for r in score_join(done, spark.read.parquet(f"{tmp_path}/s"), ["id"]).collect()}
+    assert got == {("a", "x", "2", None), ("a", "y", "2", None), ("b", "z", "3", 1)}
+
+
+def test_limit_takes_the_order_of_the_data_set(spark, tmp_path):
+    spark.createDataFrame([(x,) for x in "zyxab"], "id string").coalesce(1).write.parquet(f"{tmp_path}/p")
+    catalog.export_prompts(spark.read.parquet(f"{tmp_path}/p"), f"{tmp_path}/out", limit=3)
+    assert sorted(r["id"] for r in spark.read.json(f"{tmp_path}/out").collect()) == ["x", "y", "z"]
+
+
 def test_compact_carries_repeats(spark, root):
     ids = [r["id"] for r in catalog.load_samples(spark, "gpqa_diamond", "default", root).collect()]
     for model, text in (("m--a", "Answer: B"), ("m--b", "Answer: D")):

@@ -79,12 +79,26 @@ def test_grade_structured(spark):
 def test_follows():
     words = {f"keyword{i + 1}": k for i, k in enumerate(("one", "two", "three", "four", "five"))}
     text = " ".join(k for k, n in zip(("one", "two", "three", "four", "five"), (1, 2, 3, 5, 7)) for _ in range(n))
-    assert follows(text, ["count:keywords_multiple"], [words]) == [("count:keywords_multiple", True, True)]
-    assert follows("a, b\nfine", ["punctuation:no_comma"], [{"x": None}]) == [("punctuation:no_comma", False, True)]
-    assert follows("", ["punctuation:no_comma"], [{}]) == [("punctuation:no_comma", False, False)]
+    assert follows(text, ["count:keywords_multiple"], [words]) == ([("count:keywords_multiple", True, True)], "ok")
+    assert follows("a, b\nfine", ["punctuation:no_comma"], [{"x": None}]) == ([("punctuation:no_comma", False, True)], "ok")
+    assert follows("", ["punctuation:no_comma"], [{}]) == ([("punctuation:no_comma", False, False)], "ok")
     assert len(variants("a\nb")) == 8 and "change_case:english_capital" in CHECKERS
-    with pytest.raises(KeyError):
-        follows("x", ["no:such"], [{}])
+    flags, status = follows("x", ["no:such", "punctuation:no_comma", "count:numbers"], [{}])
+    assert flags == [("no:such", False, False), ("punctuation:no_comma", True, True), ("count:numbers", False, False)] and status == "no:such: no checker"
+    assert follows("1", ["count:numbers"], [{"N": "many"}])[1] == "count:numbers: arguments (ValueError)"
+
+
+@pytest.mark.parametrize(
+    ("iid", "args", "good", "bad"),
+    [
+        ("count:word_count_range", {"min_words": 2, "max_words": 3}, "two words", "one"), ("count:unique_word_count", {"N": 3}, "a b c", "a b A"), ("count:numbers", {"N": 2}, "3 and 14", "3"),
+        ("count:punctuation", {}, "a.b,c!d?e;f:", "a.b"), ("sentence:keyword", {"N": 2, "word": "mill"}, "No. The mill.", "The mill. No."), ("words:no_consecutive", {}, "big cat", "big bat"),
+        ("words:prime_lengths", {}, "to the house", "four"), ("words:repeats", {"small_n": 1}, "a b", "a A"), ("format:newline", {}, "a\nb", "a b"), ("format:no_whitespace", {}, "a-b", "a b"),
+        ("format:title_case", {}, "The Mill 7", "The mill"),
+    ],
+)
+def test_further_checkers(iid, args, good, bad):
+    assert follows(good, [iid], [args])[0] == [(iid, True, True)] and follows(bad, [iid], [args])[0][0][1] is False
 
 
 def test_instruction_scores(spark):

@@ -5,10 +5,10 @@ from __future__ import annotations
 import pytest
 from oracle import differs
 
-from evalanvil.plans import problems, reference
+from evalanvil.plans import evaluation, problems, reference
 
-QUERIES = {**problems.QUERIES, **reference.QUERIES}
-ORACLES = {**problems.ORACLES, **reference.ORACLES}
+QUERIES = {**problems.QUERIES, **reference.QUERIES, **evaluation.QUERIES}
+ORACLES = {**problems.ORACLES, **reference.ORACLES, **evaluation.ORACLES}
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
