@@ -1,13 +1,14 @@
 """Queries of the evaluation operators, over whole tables, with their SQL.
 
-Where the tables hold no truth for an operator, it is derived by a plain rule that SQL can repeat:
-an answer counts as right if its completion has an even number of characters; a panel is made of
-users (samples) and event types (models), right if the number of events is odd.
+Completions are graded by their eval's grader: options against the letter that the sample's id gives
+(the tables hold no key), sums against their value, data by how it begins, instructions by the one
+that every prompt can be asked (no comma). A panel is made of users (samples) and event types
+(models), right if the number of events is odd: the tables hold no complete panel of runs.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalanvil.functions.fingerprint import content_fingerprints, line_of, md5_seed
@@ -81,9 +82,28 @@ def _prompts(spark: SparkSession, d: str) -> DataFrame:
     return read_table(spark, d, "samples").select("eval_id", "dataset", norm_id(F.col("id")).alias("sid"), last.alias("prompt")).distinct()
 
 
+def _gold_letter() -> Column:
+    return F.char(F.lit(65) + F.conv(F.substring("id", 1, 1), 16, 10).cast("int") % 4)
+
+
+def _graded(spark: SparkSession, d: str) -> DataFrame:
+    """Every line with whether its eval's grader finds it right; nothing to grade against is wrong."""
+    lines = _lines(spark, d).withColumn("answer", strip_reasoning(F.col("completion")))
+    e, answer = F.col("eval_id"), F.col("answer")
+    sums = _gold_sums(spark, d).withColumn("eval_id", F.lit("math_500"))
+    joined = lines.withColumn("sid", logical_id(F.col("id"))).join(sums, ["eval_id", "dataset", "sid"], "left").drop("sid")
+    graded = grade_math(joined, F.when(e == "math_500", answer), F.col("gold")).withColumnRenamed("is_correct", "__sum")
+    right = (
+        F.when(e == "gpqa_diamond", mcq_correct(mcq_answer(answer, "ABCD")["extracted"], _gold_letter()))
+        .when(e == "math_500", F.col("__sum"))
+        .when(e == "ifstruct", F.substring(answer, 1, 1).isin("{", "["))
+        .otherwise((answer != "") & ~F.contains(answer, F.lit(",")))
+    )
+    return graded.select("row_id", *RUN, "id", "completion", F.coalesce(right, F.lit(False)).alias("is_correct"))
+
+
 def _scored(spark: SparkSession, d: str) -> DataFrame:
-    right = F.coalesce(F.length("completion") % 2 == 0, F.lit(False))
-    return _lines(spark, d).select("row_id", *RUN, "id", right.alias("is_correct"))
+    return _graded(spark, d).drop("completion")
 
 
 def _attempts(spark: SparkSession, d: str) -> DataFrame:
@@ -105,8 +125,7 @@ def mcq_choices(spark: SparkSession, d: str) -> DataFrame:
 
 def mcq_accuracy(spark: SparkSession, d: str) -> DataFrame:
     """Gold letters are those of the sample's id: its first hex digit modulo 4."""
-    gold = F.char(F.lit(65) + F.conv(F.substring("id", 1, 1), 16, 10).cast("int") % 4)
-    graded = _answers(spark, d, "gpqa_diamond").select("model", mcq_correct(mcq_answer(F.col("answer"), "ABCD")["extracted"], gold).alias("is_correct"))
+    graded = _answers(spark, d, "gpqa_diamond").select("model", mcq_correct(mcq_answer(F.col("answer"), "ABCD")["extracted"], _gold_letter()).alias("is_correct"))
     return summary(graded, ["model"])
 
 
@@ -129,11 +148,16 @@ def math_answers(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def _sums(spark: SparkSession, d: str) -> DataFrame:
-    """Answers to the prompts that ask for `a + b - c`, with the true value."""
+def _gold_sums(spark: SparkSession, d: str) -> DataFrame:
+    """The true value of every prompt that asks for `a + b - c`."""
     n = lambda i: F.regexp_extract("prompt", r"(\d+) \+ (\d+) - (\d+)", i).try_cast("long")
     asked = _prompts(spark, d).where(F.col("eval_id") == "math_500").where(F.col("prompt").rlike(r"\d+ \+ \d+ - \d+"))
-    gold = asked.select("dataset", "sid", (n(1) + n(2) - n(3)).cast("string").alias("gold")).distinct()
+    return asked.select("dataset", "sid", (n(1) + n(2) - n(3)).cast("string").alias("gold")).distinct()
+
+
+def _sums(spark: SparkSession, d: str) -> DataFrame:
+    """Answers to the prompts that ask for `a + b - c`, with the true value."""
+    gold = _gold_sums(spark, d)
     return _answers(spark, d, "math_500").withColumn("sid", logical_id(F.col("id"))).join(gold, ["dataset", "sid"])
 
 
@@ -242,9 +266,8 @@ def registered_status(spark: SparkSession, d: str) -> DataFrame:
 
 def enriched_scores(spark: SparkSession, d: str) -> DataFrame:
     prompts = _prompts(spark, d).groupBy("eval_id", "dataset", "sid").agg(F.max("prompt").alias("prompt"))
-    joined = _lines(spark, d).withColumn("sid", logical_id(F.col("id"))).join(prompts, ["eval_id", "dataset", "sid"])
-    right = F.coalesce(F.length("completion") % 2 == 0, F.lit(False))
-    return joined.select("row_id", F.length("prompt").cast("long").alias("prompt_chars"), F.length("completion").cast("long").alias("chars"), right.alias("is_correct"))
+    joined = _graded(spark, d).withColumn("sid", logical_id(F.col("id"))).join(prompts, ["eval_id", "dataset", "sid"])
+    return joined.select("row_id", F.length("prompt").cast("long").alias("prompt_chars"), F.length("completion").cast("long").alias("chars"), "is_correct")
 
 
 def blank_answers(spark: SparkSession, d: str) -> DataFrame:
@@ -472,13 +495,16 @@ _SUMS = f"""
 WITH p AS (SELECT DISTINCT dataset, {_NORM.format(c='id')} AS sid, messages[-1].content AS prompt FROM samples WHERE eval_id = 'math_500'),
 gold AS (SELECT DISTINCT dataset, sid, CAST(CAST(regexp_extract(prompt, '(\\d+) \\+ (\\d+) - (\\d+)', 1) AS BIGINT) + CAST(regexp_extract(prompt, '(\\d+) \\+ (\\d+) - (\\d+)', 2) AS BIGINT)
     - CAST(regexp_extract(prompt, '(\\d+) \\+ (\\d+) - (\\d+)', 3) AS BIGINT) AS VARCHAR) AS gold FROM p WHERE regexp_matches(prompt, '\\d+ \\+ \\d+ - \\d+')),
-graded AS (SELECT m.model, CASE WHEN extracted IS NULL THEN 'failed' WHEN {_NUMERIC} = gold THEN 'prm800k' ELSE 'no_match' END AS method
+graded AS (SELECT m.row_id, m.model, CASE WHEN extracted IS NULL THEN 'failed' WHEN {_NUMERIC} = gold THEN 'prm800k' ELSE 'no_match' END AS method
   FROM ({_MATH}) m JOIN gold g ON g.dataset = m.dataset AND g.sid = regexp_replace(m.id, '#[^#]*$', ''))"""
-_RIGHT = "coalesce(length(completion) % 2 = 0, false)"
+_GRADED = f"""
+SELECT l.row_id, l.eval_id, l.dataset, l.model, l.id, l.completion, coalesce(CASE l.eval_id WHEN 'gpqa_diamond' THEN c.extracted = chr(65 + CAST('0x' || l.id[1] AS INT) % 4) WHEN 'math_500' THEN m.method = 'prm800k'
+    WHEN 'ifstruct' THEN left(l.answer, 1) IN ('{{', '[') ELSE l.answer <> '' AND NOT contains(l.answer, ',') END, false) AS ok
+  FROM ({_ANSWERS}) l LEFT JOIN ({_CHOICES}) c USING (row_id) LEFT JOIN ({_SUMS} SELECT row_id, method FROM graded) m USING (row_id)"""
 _ATTEMPTS = f"""
-WITH {_EXPECTED}, lines AS ({_LINES}), runs AS (SELECT DISTINCT eval_id, dataset, model FROM lines),
+WITH {_EXPECTED}, lines AS ({_GRADED}), runs AS (SELECT DISTINCT eval_id, dataset, model FROM lines),
 want AS (SELECT DISTINCT r.model, e.eval_id, e.dataset, e.id FROM expected e JOIN runs r USING (eval_id, dataset)),
-scored AS (SELECT eval_id, dataset, model, id, max({_RIGHT}) AS ok, count(*) AS n,
+scored AS (SELECT eval_id, dataset, model, id, max(ok) AS ok, count(*) AS n,
   sum(CASE WHEN {_STRIP.format(c="coalesce(completion, '')")} = '' THEN 1 ELSE 0 END) AS blank FROM lines GROUP BY ALL),
 attempts AS (SELECT w.*, coalesce(s.ok, false) AS ok FROM want w LEFT JOIN scored s USING (eval_id, dataset, model, id))"""
 _VERIFIED = f"""{_ATTEMPTS},
@@ -531,7 +557,7 @@ ORACLES = {
     "status_totals": f"{_VERIFIED} SELECT status, count(*) AS runs FROM verified GROUP BY ALL",
     "registered_status": f"""{_VERIFIED} SELECT r.hf_id AS model, coalesce(v.status, 'missing') AS status, coalesce(v.runs, 0) AS runs FROM model_registry r LEFT JOIN
         (SELECT model, count(*) AS runs, coalesce(min(CASE WHEN status <> 'ok' THEN status END), 'ok') AS status FROM verified GROUP BY ALL) v ON v.model = r.hf_id""",
-    "enriched_scores": f"""SELECT l.row_id, length(p.prompt) AS prompt_chars, length(l.completion) AS chars, {_RIGHT} AS is_correct FROM ({_LINES}) l JOIN
+    "enriched_scores": f"""SELECT l.row_id, length(p.prompt) AS prompt_chars, length(l.completion) AS chars, l.ok AS is_correct FROM ({_GRADED}) l JOIN
         (SELECT eval_id, dataset, sid, max(prompt) AS prompt FROM ({_PROMPTS}) GROUP BY ALL) p ON p.eval_id = l.eval_id AND p.dataset = l.dataset AND p.sid = regexp_replace(l.id, '#[^#]*$', '')""",
     "blank_answers": f"""SELECT eval_id, dataset, model, CAST(sum(CASE WHEN {_STRIP.format(c="coalesce(completion, '')")} = '' THEN 1 ELSE 0 END) AS BIGINT) AS blank,
         CAST(sum(length(completion)) AS BIGINT) AS chars FROM ({_LINES}) GROUP BY ALL""",
