@@ -1,11 +1,14 @@
-"""Validation of structured answers (JSON or YAML) against a sample's requirements."""
+"""Validation of structured answers (JSON, YAML, CSV or XML) against a sample's requirements."""
 
 from __future__ import annotations
 
+import csv
+import io
 import json
 import operator
 import re
 from collections.abc import Iterator
+from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -78,8 +81,30 @@ def _is_type(value, name: str) -> bool:
 
 
 def parse(text: str, output_format: str):
-    """(value, error): the answer's data. YAML is read with the safe loader if it is installed."""
-    if (output_format or "json").lower() == "yaml":
+    """(value, error): the answer's data. YAML is read with the safe loader if it is installed.
+
+    CSV gives a list of objects by its header, XML an object of its root's name and a list of its
+    children; as neither knows types, text that is a number counts as one. XML that declares a
+    document type is refused.
+    """
+    form = (output_format or "json").lower()
+    if form == "csv":
+        try:
+            rows = list(csv.reader(io.StringIO(text.strip()), strict=True))
+        except csv.Error:
+            rows = []
+        if len(rows) < 2 or len(rows[0]) < 2 or any(len(r) != len(rows[0]) for r in rows):
+            return None, "no valid CSV"
+        return [dict(zip(map(str.strip, rows[0]), map(_typed, r))) for r in rows[1:]], ""
+    if form == "xml":
+        try:
+            root = None if "<!" in text else ElementTree.fromstring(text.strip())
+        except (ElementTree.ParseError, ValueError):
+            root = None
+        if root is None:
+            return None, "no valid XML"
+        return {root.tag: [{c.tag: _typed(c.text or "") for c in item} if len(item) else _typed(item.text or "") for item in root]}, ""
+    if form == "yaml":
         try:
             import yaml
         except ImportError:
@@ -95,6 +120,14 @@ def parse(text: str, output_format: str):
         return None, "no valid JSON"
 
 
+def _typed(text: str):
+    """A number if the text is one, else the text."""
+    t = text.strip()
+    if re.fullmatch(r"-?\d{1,18}", t):
+        return int(t)
+    return float(t) if re.fullmatch(r"-?\d+\.\d+", t) else t
+
+
 def validate(answer: str, spec: dict) -> list[str]:
     """Errors of an answer without reasoning; none means it passes.
 
@@ -124,6 +157,8 @@ def validate(answer: str, spec: dict) -> list[str]:
         items = value[key]
     elif isinstance(value, dict) and key and set(value) == {key}:
         items = value[key]
+    elif isinstance(value, dict) and (spec.get("output_format") or "").lower() == "xml":
+        items = next(iter(value.values()))  # a root must have some name
     count = spec.get("top_level_count")
     if count is not None:
         if not isinstance(items, list):

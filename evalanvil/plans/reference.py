@@ -170,10 +170,10 @@ def math_methods(spark: SparkSession, d: str) -> DataFrame:
 
 
 def struct_validate(spark: SparkSession, d: str) -> DataFrame:
-    """Answers to prompts for JSON, checked against what the prompt says."""
+    """Answers to prompts for data in some format, checked against what the prompt says."""
     p = F.col("prompt")
     fmt = F.lower(F.regexp_extract(p, r"Return (\w+) with", 1))
-    asked = _prompts(spark, d).where((F.col("eval_id") == "ifstruct") & fmt.isin("json", "yaml"))
+    asked = _prompts(spark, d).where((F.col("eval_id") == "ifstruct") & fmt.isin("json", "yaml", "csv", "xml"))
     schema = F.lit('{"type":"object","required":["name","count"],"properties":{"name":{"type":"string"},"count":{"type":"integer"}}}')
     flag = lambda text: F.when(F.contains(p, F.lit(text)), "true").otherwise("false")
     spec = F.concat(
@@ -187,6 +187,11 @@ def struct_validate(spark: SparkSession, d: str) -> DataFrame:
     return graded.select("row_id", "model", "output_format", "require_wrapper_key", F.array_join("errors", ";").alias("errors"), "is_correct")
 
 
+def struct_json(spark: SparkSession, d: str) -> DataFrame:
+    """The verdicts on answers to prompts for JSON, the one format that SQL can read too."""
+    return struct_validate(spark, d).where("output_format = 'json'").drop("output_format", "require_wrapper_key")
+
+
 def struct_summary(spark: SparkSession, d: str) -> DataFrame:
     return structured_summary(cut(struct_validate(spark, d)).withColumn("entity_type", F.col("model")))
 
@@ -426,7 +431,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         reasoning_strip, mcq_choices, mcq_accuracy, mcq_choice_histogram, mcq_unparsed_rate, math_answers, math_accuracy, math_methods,
-        struct_validate, struct_summary, sample_ids, content_fingerprint, repeat_expand, logical_ids, prompt_messages, choice_prompts, option_seeds,
+        struct_validate, struct_json, struct_summary, sample_ids, content_fingerprint, repeat_expand, logical_ids, prompt_messages, choice_prompts, option_seeds,
         pass_rate, pass_rate_per_sample, duplicated_ids, unknown_sample_ids, verification_report, status_totals, registered_status,
         enriched_scores, blank_answers, model_slugs, release_name, next_2025_10, prompt_shards, prompt_length_stats, pass_vectors,
         unanimous_filter, dedup_behavior, full_accuracy, model_exclusion, difficulty_bins, cell_quotas, subset_drift, panel_tau,
@@ -522,7 +527,26 @@ _DRIFT = f"""
   (SELECT model, sum(CAST(pass AS INT)) / CAST(count(*) AS DOUBLE) AS a FROM ({_PANEL}) GROUP BY ALL) f LEFT JOIN
   (SELECT model, sum(CAST(pass AS INT)) / CAST(count(*) AS DOUBLE) AS a FROM ({_PANEL}) WHERE sample_id % 3 = 0 GROUP BY ALL) s USING (model)"""
 
+_FENCED = r"(?s)```[\w+-]*[ \t]*\n(.*?)\n?[ \t]*```"
+_STRUCT = rf"""
+WITH asked AS (SELECT DISTINCT dataset, {_NORM.format(c='id')} AS id, messages[-1].content AS prompt FROM samples WHERE eval_id = 'ifstruct'),
+j AS (SELECT l.row_id, l.model, coalesce(l.answer, '') AS a, contains(prompt, 'Use a code block') AS fence, contains(prompt, 'Do not add commentary') AS bare, contains(prompt, 'Wrap the entries') AS wrap,
+    CAST(regexp_extract(prompt, 'with (\d+) entries', 1) AS BIGINT) AS n
+  FROM ({_ANSWERS}) l JOIN asked USING (dataset, id) WHERE l.eval_id = 'ifstruct' AND lower(regexp_extract(prompt, 'Return (\w+) with', 1)) = 'json'),
+f AS (SELECT *, regexp_matches(a, '{_FENCED}') AS has, regexp_extract(a, '{_FENCED}', 1) AS inside, {_STRIP.format(c=f"regexp_replace(a, '{_FENCED}', '')")} AS around, regexp_extract(a, '(?s)[\[{{].*[\]}}]', 0) AS span FROM j),
+b AS (SELECT *, CASE WHEN has THEN inside WHEN NOT bare AND span <> '' THEN span ELSE a END AS body FROM f),
+v AS (SELECT *, CASE WHEN json_valid(body) THEN body::JSON END AS value FROM b),
+i AS (SELECT *, CASE WHEN wrap THEN value->'items' WHEN json_type(value) = 'OBJECT' AND json_keys(value) = ['items'] THEN value->'items' ELSE value END AS items FROM v),
+e AS (SELECT *, CASE WHEN json_type(items) = 'ARRAY' THEN json_extract(items, '$[*]') ELSE [items] END AS each FROM i),
+x AS (SELECT row_id, model, CASE WHEN fence AND NOT has THEN 'no code block' END AS e1, CASE WHEN bare AND has AND around <> '' THEN 'commentary' END AS e2,
+    CASE WHEN value IS NULL THEN 'no valid JSON' WHEN wrap AND items IS NULL THEN 'no wrapper key' END AS stop,
+    CASE WHEN json_type(items) <> 'ARRAY' THEN 'not a list' WHEN json_array_length(items) <> n THEN 'wrong number of items' END AS e3,
+    CASE WHEN len(list_filter(each, lambda o: NOT coalesce(json_type(o) = 'OBJECT' AND json_type(o->'name') = 'VARCHAR' AND (json_type(o->'count') IN ('UBIGINT', 'BIGINT', 'HUGEINT', 'UHUGEINT')
+      OR json_type(o->'count') = 'DOUBLE' AND CAST(o->'count' AS DOUBLE) = floor(CAST(o->'count' AS DOUBLE))), false))) > 0 THEN 'schema' END AS e4 FROM e)"""
+
 ORACLES = {
+    "struct_json": f"""{_STRUCT} SELECT row_id, model, coalesce(concat_ws(';', e1, e2, stop, CASE WHEN stop IS NULL THEN e3 END, CASE WHEN stop IS NULL THEN e4 END), '') AS errors,
+        coalesce(e1, e2, stop, e3, e4) IS NULL AS is_correct FROM x""",
     "reasoning_strip": f"SELECT row_id, length(a) AS chars, sha256(a) AS answer_hash FROM (SELECT row_id, {_answer_sql('completion')} AS a FROM completions)",
     "mcq_choices": f"SELECT row_id, extracted, pattern FROM ({_CHOICES})",
     "mcq_accuracy": f"""SELECT model, CAST(sum(CAST(coalesce(extracted = chr(65 + CAST('0x' || id[1] AS INT) % 4), false) AS INT)) AS BIGINT) AS correct, count(*) AS total,

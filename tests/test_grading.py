@@ -64,6 +64,12 @@ def test_validate():
     assert validate('[{"name": "a"}]', {**spec, "require_wrapper_key": True, "top_level_key": "items"}) == ["no wrapper key"]
     assert validate('[{"name": "a"}, {"name": 2}]', {**spec, "top_level_count": [2, 3]}) == ["schema"]
     assert validate("- name: a", {**spec, "output_format": "yaml"}) in ([], ["YAML can't be read here"])
+    as_csv, as_xml = {**spec, "output_format": "csv"}, {**spec, "output_format": "xml", "top_level_key": "items", "require_wrapper_key": True}
+    assert validate('name,n\n"a, b",3', as_csv) == [] and validate("name,n\na,9", as_csv) == ["schema"] and validate("name,n\na,1,2", as_csv) == validate("just text", as_csv) == ["no valid CSV"]
+    assert validate("name,n\na,1\nb,2", as_csv) == ["wrong number of items"]
+    assert validate("<items><item><name>a</name><n>3</n></item></items>", as_xml) == [] and validate("<list><item><name>a</name></item></list>", as_xml) == ["no wrapper key"]
+    assert validate("<r><item><name>a</name></item></r>", {**as_xml, "require_wrapper_key": False}) == [] and validate("<items><item>", as_xml) == ["no valid XML"]
+    assert validate('<!DOCTYPE x [<!ENTITY a "b">]><items/>', as_xml) == ["no valid XML"]
 
 
 def test_grade_structured(spark):
