@@ -1,24 +1,28 @@
 """Panels of models over samples: pass matrices, filters, strata, representative subsets, drift.
 
 The matrix, filters, strata and accuracies are DataFrame operations over the tidy form
-(sample_id, model, pass). The subset search is sequential by nature and runs as one grouped-map task
-per run or fold over a panel that a caller bounds by `most`; folds and runs are parallel.
+(sample_id, model, pass). The subset search is sequential by nature and runs as one task. It is given
+strata, quotas and accuracies of the whole pool, but of the samples only those that it could ever
+take: samples of a stratum with the same pass vector are interchangeable, so as many of them as the
+stratum's quota are enough. What it holds is thus bounded by vectors and quotas, not by samples.
 """
 
 from __future__ import annotations
 
 import random
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evalanvil.functions.text import accuracy
 from evalanvil.operators.attempts import positions
+from evalanvil.plans.session import cut
 
-#: Samples that one subset search accepts; a larger pool is to be filtered or reduced first.
+#: Samples that one subset search accepts, after the reduction to interchangeable ones.
 MOST = 200_000
 BINS, ROUNDS, FOLDS = 3, 20, 5
 
@@ -198,13 +202,19 @@ def _worst(correct: np.ndarray, n: int, full: np.ndarray) -> np.ndarray:
     return np.abs(correct / n - full).max(axis=-1)
 
 
-def choose(pv: np.ndarray, cells: dict[tuple[str, int], list[int]], wanted: int, seed: int, rounds: int = ROUNDS) -> list[int]:
+def choose(
+    pv: np.ndarray, cells: dict[tuple[str, int], list[int]], wanted: int, seed: int, rounds: int = ROUNDS,
+    full: np.ndarray | None = None, quota: dict[tuple[str, int], int] | None = None,
+) -> list[int]:
     """Positions of a subset whose accuracy per model is close to the full one: cell by cell the sample
-    that keeps the worst model's deviation lowest, then swaps inside cells while they help."""
+    that keeps the worst model's deviation lowest, then swaps inside cells while they help.
+
+    full and quota are those of the whole pool, if what is given is only a part of it.
+    """
     rng = random.Random(seed)
     x = pv.astype(np.float64)
-    full = x.mean(axis=0)
-    quota = allocate({k: len(v) for k, v in cells.items()}, wanted)
+    full = x.mean(axis=0) if full is None else full
+    quota = allocate({k: len(v) for k, v in cells.items()}, wanted) if quota is None else quota
     order = list(cells)
     rng.shuffle(order)
     chosen: list[int] = []
@@ -241,37 +251,50 @@ def choose(pv: np.ndarray, cells: dict[tuple[str, int], list[int]], wanted: int,
     return chosen
 
 
-def _bounded(matrix: DataFrame, most: int) -> DataFrame:
-    n = matrix.count()
-    if n > most:
-        raise ValueError(f"{n} samples are more than one search accepts ({most}); filter the pool first")
-    return matrix
-
-
 #: A selector: pass vectors, positions per cell, samples wanted and a seed give the positions chosen.
 Selector = Callable[[np.ndarray, dict[tuple[str, int], list[int]], int, int], list[int]]
 
 
+def _bounded(pool: DataFrame, most: int) -> DataFrame:
+    n = pool.count()
+    if n > most:
+        raise ValueError(f"{n} samples are more than one search accepts ({most}); filter the pool first")
+    return pool
+
+
 def representative_subset(
     matrix: DataFrame, group: str, wanted: int, bins: int = BINS, seed: int = 0, sample: str = "sample_id", most: int = MOST, selector: Selector = choose
 ) -> DataFrame:
     """(sample_id, grp, bin) of a representative subset of (sample_id, pv, group).
 
-    Reproducible whatever the order of rows: samples are sorted by id. A pool of more than `most`
-    samples raises instead of being cut.
+    Reproducible whatever the order of rows: samples are sorted by id. A null group is the group ''.
+    Pools of any size are searched exactly (see the module); only one with more than `most` samples
+    after the reduction raises. Another selector gets the whole pool, which `most` then bounds.
     """
+    grp = F.coalesce(F.col(group).cast("string"), F.lit(""))
+    pool = matrix.select(F.col(sample).cast("string").alias("sid"), "pv", grp.alias("grp"))
+    passes = F.size(F.filter("pv", lambda x: x))
+    binned = difficulty_bins(pool.select("sid", "grp", passes.alias("passes")), "grp", "passes", "sid", bins).select("sid", "bin")
+    pool = cut(pool.join(binned, "sid"))
+    sizes = {(r["grp"], r["bin"]): r["n"] for r in pool.groupBy("grp", "bin").agg(F.count(F.lit(1)).alias("n")).collect()}  # groups times bins
+    quota = allocate(sizes, wanted)
+    full = np.array([r["a"] for r in pool.select(F.posexplode("pv").alias("m", "x")).groupBy("m").agg(F.avg(F.col("x").cast("int")).alias("a")).orderBy("m").collect()])
+    reduced = selector is choose
+    if reduced:  # pushed below the shuffle, so a vector that a third of all samples have costs its quota
+        alike = Window.partitionBy("grp", "bin", "pv").orderBy("sid")
+        pool = pool.withColumn("__r", F.row_number().over(alike)).where(F.col("__r") <= max(quota.values(), default=0)).drop("__r")
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("sid", kind="stable").reset_index(drop=True)
+        cells: dict[tuple[str, int], list[int]] = {}
+        for i, k in enumerate(zip(pdf["grp"], pdf["bin"])):
+            cells.setdefault((k[0], int(k[1])), []).append(i)
+        cells = dict(sorted(cells.items()))
         pv = np.array(pdf["pv"].tolist(), dtype=bool)
-        cells = cells_of(pdf["sid"].tolist(), pdf["grp"].tolist(), pv.sum(axis=1), bins)
-        home = {i: k for k, v in cells.items() for i in v}
-        picked = sorted(selector(pv, cells, wanted, seed))
-        return pd.DataFrame({"sample_id": pdf["sid"][picked], "grp": [home[i][0] for i in picked], "bin": [home[i][1] for i in picked]})
+        picked = sorted(choose(pv, cells, wanted, seed, full=full, quota=quota) if reduced else selector(pv, cells, wanted, seed))
+        return pd.DataFrame({"sample_id": pdf["sid"][picked], "grp": pdf["grp"][picked], "bin": pdf["bin"][picked]})
 
-    pool = _bounded(matrix, most).select(F.col(sample).cast("string").alias("sid"), "pv", F.col(group).cast("string").alias("grp"))
-    out = pool.groupBy(F.lit(0).alias("run")).applyInPandas(lambda pdf: search(pdf), "sample_id string, grp string, bin int")
-    return out
+    return _bounded(pool, most).groupBy(F.lit(0).alias("run")).applyInPandas(search, "sample_id string, grp string, bin int")
 
 
 def model_folds(n_models: int, folds: int = FOLDS, seed: int = 0) -> list[list[int]]:
@@ -294,25 +317,25 @@ def held_out(
 ) -> DataFrame:
     """(model_index, full, held): each model's accuracy in full and on the subset chosen without it.
 
-    `seed` sets the folds only; `selector` is any function that chooses a subset. The folds are separate grouped-map tasks; each chooses on the models of the other folds.
+    `seed` sets the folds only; `selector` is any function that chooses a subset. Each fold chooses
+    on the models of the other folds; the accuracies are aggregations over all samples.
     """
+    spark, schema = matrix.sparkSession, "model_index int, full double, held double"
     first = matrix.select(F.size("pv").alias("n")).first()
     if first is None:
-        return matrix.sparkSession.createDataFrame([], "model_index int, full double, held double")
-    plan = model_folds(first["n"], folds, seed)
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        test = plan[int(pdf["fold"].iloc[0])]
-        pdf = pdf.sort_values("sid", kind="stable").reset_index(drop=True)
-        pv = np.array(pdf["pv"].tolist(), dtype=bool)
-        train = [m for m in range(pv.shape[1]) if m not in set(test)]
-        seen = pv[:, train]
-        picked = selector(seen, cells_of(pdf["sid"].tolist(), pdf["grp"].tolist(), seen.sum(axis=1), bins), wanted, 0)
-        return pd.DataFrame({"model_index": test, "full": pv[:, test].mean(axis=0), "held": pv[picked][:, test].mean(axis=0)})
-
-    each = F.explode(F.array(*(F.lit(f) for f in range(len(plan)))))
-    pool = _bounded(matrix, most).select(F.col(sample).cast("string").alias("sid"), "pv", F.col(group).cast("string").alias("grp"), each.alias("fold"))
-    return pool.groupBy("fold").applyInPandas(one, "model_index int, full double, held double")
+        return spark.createDataFrame([], schema)
+    pool = cut(matrix.select(F.col(sample).cast("string").alias("sid"), "pv", F.col(group).alias("grp")))
+    out = []
+    for test in model_folds(first["n"], folds, seed):
+        train = [m for m in range(first["n"]) if m not in set(test)]
+        seen = pool.select("sid", F.array(*(F.col("pv")[m] for m in train)).alias("pv"), "grp")
+        chosen = cut(representative_subset(seen, "grp", wanted, bins, 0, "sid", most, selector)).select(F.col("sample_id").alias("sid"), F.lit(True).alias("chosen"))
+        results = pool.join(chosen, "sid", "left").select("chosen", F.explode(F.array(*(F.struct(F.lit(m).alias("model_index"), F.col("pv")[m].cast("int").alias("x")) for m in test))).alias("r"))
+        out.append(
+            results.groupBy(F.col("r.model_index").alias("model_index"))
+            .agg(F.avg("r.x").alias("full"), F.avg(F.when(F.col("chosen"), F.col("r.x"))).alias("held"))
+        )
+    return reduce(DataFrame.unionByName, out)
 
 
 def cv_summary(held: DataFrame) -> dict:
@@ -327,8 +350,6 @@ def cv_summary(held: DataFrame) -> dict:
 def compact(tidy: DataFrame, groups: DataFrame, wanted: int | None, spark: SparkSession, group: str = "grp", seed: int = 0) -> tuple[DataFrame, dict]:
     """(chosen samples, report): exclusion of incomplete models, filters, cross-validation and selection
     on the filtered pool, drift against the unfiltered one."""
-    from evalanvil.plans.session import cut
-
     models = complete_models(tidy, groups)
     kept = tidy.join(models.where("reason is null").select("model"), "model", "left_semi")
     matrix = cut(pass_matrix(kept))

@@ -77,6 +77,22 @@ def test_subset(spark):
         panel.representative_subset(m, "grp", 30, most=10)
 
 
+def test_pools_of_any_size_are_searched(spark):
+    """Samples with the same vector are interchangeable: a pool far above the bound is searched as well as a whole one."""
+    pv = vectors(3000, 4, 2)
+    m = panel.pass_matrix(tidy(spark, pv)).selectExpr("sample_id", "pv", "int(substring(sample_id, 4, 1)) % 3 as grp")
+    chosen = panel.representative_subset(m, "grp", 30, most=600).collect()
+    assert len({r["sample_id"] for r in chosen}) == 30
+    whole = panel.representative_subset(m, "grp", 30, selector=lambda v, cells, wanted, seed: panel.choose(v, cells, wanted, seed)).collect()
+    x = np.array([pv[k] for k in sorted(pv)], float).mean(axis=0)
+    drift = lambda rows: np.abs(np.array([pv[r["sample_id"]] for r in rows], float).mean(axis=0) - x).max()
+    assert drift(chosen) <= drift(whole) + 0.02
+    per_cell = lambda rows: sorted((r["grp"], r["bin"]) for r in rows)
+    assert per_cell(chosen) == per_cell(whole)
+    with pytest.raises(ValueError):
+        panel.representative_subset(m, "grp", 30, most=600, selector=lambda *a: [0])
+
+
 def test_search_improves():
     pv = np.array(list(vectors(80, 6, 3).values()))
     ids = [f"{i:02d}" for i in range(80)]
