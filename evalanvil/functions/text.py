@@ -174,6 +174,11 @@ def user_message(prompt: Column) -> Column:
     return F.array(F.struct(F.lit("user").alias("role"), prompt.alias("content")))
 
 
+def allowed_tokens(ids: Column) -> Column:
+    """The token ids that a constrained answer may begin with: each once, in order, without nulls."""
+    return F.sort_array(F.array_distinct(F.array_compact(ids)))
+
+
 def accuracy(correct: Column, total: Column) -> Column:
     """correct / total, 0 if there is nothing."""
     return F.coalesce(F.try_divide(correct.cast("double"), total), F.lit(0.0))

@@ -22,9 +22,7 @@ def generate(prompts: DataFrame, make: Callable[[], Generator], prompt: str = "p
     completion is the empty string. With `choices` a completion is stripped and in upper case, and empty
     if it is none of them.
     """
-    fits = F.col(prompt).isNotNull()
-    if tokens and limit:
-        fits = fits & F.coalesce(F.col(tokens) <= limit - 1, F.lit(False))
+    fits = _fits(prompt, tokens, limit)
     kept = prompts.columns
     schema = ", ".join([*(f"`{c}` {t}" for c, t in prompts.dtypes), "completion string"])
 
@@ -47,6 +45,20 @@ def generate(prompts: DataFrame, make: Callable[[], Generator], prompt: str = "p
     return prompts.withColumn("__fits", fits).mapInPandas(run, schema)
 
 
+def _fits(prompt: str, tokens: str | None, limit: int | None) -> Column:
+    fits = F.col(prompt).isNotNull()
+    return fits & F.coalesce(F.col(tokens) <= limit - 1, F.lit(False)) if tokens and limit else fits
+
+
+def skipped(prompts: DataFrame, order: list[str], prompt: str = "prompt", tokens: str | None = None, limit: int | None = None, shown: int = 10) -> DataFrame:
+    """What a log of a run says of the prompts that `generate` doesn't give to the model: the first `shown` by `order`,
+    their tokens, and how many there are in all (`skipped`). Empty if none is left out."""
+    left = prompts.where(~_fits(prompt, tokens, limit))
+    n = left.count()
+    size = F.col(tokens).cast("long") if tokens else F.lit(None).cast("long")
+    return left.orderBy(*order).limit(shown).select(*order, size.alias("tokens"), F.lit(n).cast("long").alias("skipped"))
+
+
 def pick_source(files: DataFrame, model: str, owner: str, quant: str, priority: list[str], wanted: list[str]) -> DataFrame:
     """(model, owner, covered) of the published copy to use: the first owner in `priority` that has all
     wanted quantisations, else the one that has most of them (ties by priority, then name)."""

@@ -29,6 +29,16 @@ def _known(eval_id: str) -> None:
         raise NotFound(f"unknown eval {eval_id!r}")
 
 
+def completions_of(spark: SparkSession, records: list[dict]) -> DataFrame:
+    """(id, completion) of a request's list of records; one without an id, or whose values aren't text, is rejected."""
+    rows = []
+    for i, r in enumerate(records):
+        if not isinstance(r, dict) or not isinstance(r.get("id"), str) or not isinstance(r.get("completion", ""), (str, type(None))):
+            raise Rejected(f"record {i} needs an id and a completion, both text")
+        rows.append((r["id"], r.get("completion")))
+    return spark.createDataFrame(rows, "id string, completion string")
+
+
 def samples(spark: SparkSession, eval_id: str, dataset: str, root: str | None = None) -> DataFrame:
     """(id, messages) of a data set."""
     _known(eval_id)

@@ -9,15 +9,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalanvil.functions.keys import model_key, norm_id
-from evalanvil.functions.text import strip_reasoning
+from evalanvil.functions.text import allowed_tokens
 from evalanvil.operators import panel
 from evalanvil.operators.attempts import offenders, unknown_ids
+from evalanvil.operators.generate import skipped
 from evalanvil.operators.instructions import grade_instructions
 from evalanvil.operators.mathgrade import grade_answers
 from evalanvil.operators.scoring import SCORERS
 from evalanvil.operators.structured import common_errors, structured_summary
 from evalanvil.plans.problems import _EXPECTED, _NORM, _STRIP
-from evalanvil.plans.reference import _ANSWERS, _LINES, _PANEL, _SUMS, _VECTORS, _DRIFT, _answers, _expected, _lines, _panel, _prompts, _strata, _sums, subset_drift
+from evalanvil.plans.reference import _ANSWERS, _LINES, _PANEL, _PROMPTS, _SUMS, _VECTORS, _DRIFT, _answers, _expected, _lines, _panel, _prompts, _strata, _sums, subset_drift
 from evalanvil.plans.session import cut, read_table, shared_dir
 from evalanvil.sources import catalog
 from evalanvil.sources.schemas import EVALS
@@ -187,6 +188,18 @@ def offending_ids(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(offenders(unknown.select("id").distinct(), "unknown ids"),)], "message string")
 
 
+def skipped_prompts(spark: SparkSession, d: str) -> DataFrame:
+    """The first ten prompts of more than 40 words, which a model with a window of 41 isn't given."""
+    words = _prompts(spark, d).withColumn("words", F.size(F.split("prompt", " ")))
+    return skipped(words, ["eval_id", "dataset", "sid"], "prompt", "words", 41)
+
+
+def token_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Ids of a set, each once and in order: the suppliers of every order."""
+    ids = read_table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list("l_suppkey").alias("ids"))
+    return ids.select("l_orderkey", F.array_join(allowed_tokens(F.col("ids")).cast("array<string>"), " ").alias("ids"))
+
+
 def registered_subset(spark: SparkSession, d: str) -> DataFrame:
     """The registry's rows of named models (the first three names)."""
     registry = read_table(spark, d, "model_registry")
@@ -243,7 +256,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         catalog_samples, catalog_prompts, catalog_listing, runs_written, jsonl_completions, prompt_export, instruction_flags, instruction_metrics, math_metrics, math_equivalence,
-        struct_facets, struct_errors, offending_ids, registered_subset, sparse_pass_vectors, filter_stages, max_drift, drift_summary, fold_split, subset_check,
+        struct_facets, struct_errors, offending_ids, skipped_prompts, token_ids, registered_subset, sparse_pass_vectors, filter_stages, max_drift, drift_summary, fold_split, subset_check,
     )
 }
 
@@ -300,6 +313,9 @@ ORACLES = {
     "offending_ids": f"""WITH {_EXPECTED}, u AS (SELECT DISTINCT id FROM ({_LINES}) l ANTI JOIN expected USING (eval_id, dataset, id)),
         f AS (SELECT string_agg(id, ', ' ORDER BY encode(id)) AS first FROM (SELECT id FROM u ORDER BY encode(id) LIMIT 10)), n AS (SELECT count(*) AS n FROM u)
         SELECT 'unknown ids: ' || first || CASE WHEN n > 10 THEN ' (and ' || (n - 10) || ' more)' ELSE '' END AS message FROM f, n""",
+    "skipped_prompts": f"""WITH p AS ({_PROMPTS}), s AS (SELECT *, len(string_split(prompt, ' ')) AS tokens FROM p WHERE prompt IS NULL OR len(string_split(prompt, ' ')) > 40)
+        SELECT eval_id, dataset, sid, tokens, (SELECT count(*) FROM s) AS skipped FROM s ORDER BY eval_id, dataset, sid LIMIT 10""",
+    "token_ids": "SELECT l_orderkey, string_agg(CAST(l_suppkey AS VARCHAR), ' ' ORDER BY l_suppkey) AS ids FROM (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem) GROUP BY ALL",
     "registered_subset": "SELECT hf_id, mem, base_shards FROM model_registry ORDER BY hf_id LIMIT 3",
     "sparse_pass_vectors": f"""WITH o AS ({_ORDERS}), every AS (SELECT * FROM (SELECT DISTINCT sample_id FROM o) CROSS JOIN (SELECT DISTINCT model FROM o))
         SELECT e.sample_id, string_agg(CASE WHEN o.pass THEN '1' ELSE '0' END, '' ORDER BY e.model) AS pv FROM every e LEFT JOIN o USING (sample_id, model) GROUP BY ALL""",

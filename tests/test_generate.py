@@ -55,3 +55,18 @@ def test_ingest(spark, tmp_path):
     (tmp_path / "up.jsonl").write_text('{"key": "7", "prompt": "p", "instruction_id_list": ["punctuation:no_comma"], "kwargs": [{"n": 3}], "other": 1}\n')
     row = catalog.read_upstream_instructions(spark, str(tmp_path / "up.jsonl")).first()
     assert row.asDict() == {"key": "7", "instruction_id_list": ["punctuation:no_comma"], "prompt": "p", "kwargs": '[{"n":"3"}]'}
+
+
+def test_skipped_and_records(spark):
+    from evalanvil.operators.generate import skipped
+    from evalanvil.plans import api
+
+    df = spark.createDataFrame([(i, "p" if i else None, i) for i in range(30)], "id int, prompt string, n int")
+    rows = skipped(df, ["id"], "prompt", "n", 11, shown=5).collect()
+    assert [r["id"] for r in rows] == [0, 11, 12, 13, 14] and {r["skipped"] for r in rows} == {20}
+    assert skipped(df.limit(0), ["id"], "prompt", "n", 11).count() == 0
+    assert api.completions_of(spark, [{"id": "a", "completion": None}, {"id": "b"}, {"id": "c", "completion": "x", "more": 1}]).count() == 3
+    for bad in ([{"completion": "x"}], [{"id": 3, "completion": "x"}], ["x"], [{"id": "a", "completion": 1}]):
+        with pytest.raises(api.Rejected):
+            api.completions_of(spark, bad)
+    assert api.completions_of(spark, []).count() == 0
