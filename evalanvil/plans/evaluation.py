@@ -304,7 +304,7 @@ ORACLES = {
         UNION ALL SELECT 'strict/' || cat, avg(strict::INT) FROM k GROUP BY cat UNION ALL SELECT 'loose/' || cat, avg(loose::INT) FROM k GROUP BY cat""",
     "math_metrics": f"""{_SUMS} SELECT 'math_500_method/' || d.method AS metric, count(g.method)::DOUBLE AS value FROM (SELECT unnest(['prm800k', 'robust_boxed', 'no_match', 'failed']) AS method) d
         LEFT JOIN graded g ON g.method = d.method GROUP BY ALL
-        UNION ALL SELECT 'math_500_unparsed_rate', avg((method IN ('no_match', 'failed'))::INT) FROM graded UNION ALL SELECT 'math_500_failed_rate', avg((method = 'failed')::INT) FROM graded""",
+        UNION ALL SELECT 'math_500_unparsed_rate', coalesce(avg((method IN ('no_match', 'failed'))::INT), 0.0) FROM graded UNION ALL SELECT 'math_500_failed_rate', coalesce(avg((method = 'failed')::INT), 0.0) FROM graded""",
     "math_equivalence": "SELECT p_partkey, p_partkey % 10 IN (0, 2, 3, 6, 7, 8, 9) AS is_correct FROM part",
     "struct_facets": f"""WITH {_BEGUN}, f AS (SELECT ok, unnest(['all', 'by_format', 'by_top_level_structure', 'by_entity_type']) AS facet, unnest(['', f, CASE WHEN w THEN 'wrapped' ELSE 'list' END, e]) AS value FROM b)
         SELECT facet, value, CAST(sum(ok::INT) AS BIGINT) AS passed, count(*) AS total, sum(ok::INT) / count(*)::DOUBLE AS pass_rate FROM f GROUP BY ALL""",
@@ -328,5 +328,5 @@ ORACLES = {
           (SELECT sum(sign((a.full_accuracy - b.full_accuracy) * (a.subset_accuracy - b.subset_accuracy))) / CAST(count(*) AS DOUBLE) FROM d a JOIN d b ON a.model < b.model) AS kendall_tau,
           (SELECT count(*) / 5.0 FROM (SELECT model FROM d ORDER BY full_accuracy DESC, model LIMIT 5) SEMI JOIN (SELECT model FROM d ORDER BY subset_accuracy DESC, model LIMIT 5) USING (model)) AS top5_agreement FROM d""",
     "fold_split": f"SELECT DISTINCT model, 2::BIGINT AS trains, 1::BIGINT AS tests FROM ({_PANEL})",
-    "subset_check": "SELECT 40::BIGINT AS samples, 40::BIGINT AS in_pool, 40::BIGINT AS distinct_samples, 0::BIGINT AS quotas_missed, true AS small_drift",
+    "subset_check": "SELECT n AS samples, n AS in_pool, n AS distinct_samples, 0::BIGINT AS quotas_missed, true AS small_drift FROM (SELECT least(40, count(DISTINCT user_id)) AS n FROM events)",
 }

@@ -607,7 +607,7 @@ ORACLES = {
           SELECT sample_id, CAST(sample_id % 4 AS VARCHAR) AS grp, length(replace(pv, '0', '')) AS passes FROM ({_VECTORS}))),
         c AS (SELECT grp, CAST(bin AS INT) AS bin, count(*) AS size, count(*) * 40.0::DOUBLE / sum(count(*)) OVER () AS share FROM b GROUP BY ALL),
         f AS (SELECT *, least(size, greatest(1, floor(share))) AS base, row_number() OVER (ORDER BY share - floor(share) DESC, grp DESC, bin DESC) AS turn FROM c)
-        SELECT grp, bin, size, CAST(base + CASE WHEN turn <= 40 - (SELECT sum(base) FROM f) THEN 1 ELSE 0 END AS BIGINT) AS quota FROM f""",
+        SELECT grp, bin, size, CAST(CASE WHEN (SELECT sum(size) FROM f) <= 40 THEN size ELSE base + CASE WHEN turn <= 40 - (SELECT sum(base) FROM f) THEN 1 ELSE 0 END END AS BIGINT) AS quota FROM f""",
     "subset_drift": _DRIFT,
     "panel_tau": f"""WITH d AS ({_DRIFT}) SELECT sum(sign((a.full_accuracy - b.full_accuracy) * (a.subset_accuracy - b.subset_accuracy))) / CAST(count(*) AS DOUBLE) AS kendall_tau
         FROM d a JOIN d b ON a.model < b.model""",
