@@ -132,9 +132,11 @@ def draw(
     drawn = summed.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("rounds")))).withColumn(
         "middle", (F.col("copy") - 1) * F.col("held") + F.col("start") + F.col("tokens") / 2.0
     )
-    at = last_at_or_below(F.col("due"), F.least(F.col("middle") / F.col("demand"), F.lit(1.0)), len(moments))
-    # no document lies beyond the last moment: what is found there belongs to the stretch before it
-    located = drawn.where(F.col("middle") <= F.col("demand")).withColumn("__k", F.least(at, F.lit(len(moments) - 2)))
+    # the stretch between moments, of which there is nothing to search if there is one; no document lies beyond the
+    # last moment, so what is found there belongs to the stretch before it
+    searched = last_at_or_below(F.col("due"), F.least(F.col("middle") / F.col("demand"), F.lit(1.0)), len(moments))
+    at = F.least(searched, F.lit(len(moments) - 2)) if len(moments) > 2 else F.lit(0)
+    located = drawn.where(F.col("middle") <= F.col("demand")).withColumn("__k", at)
     k = F.col("__k")
     of = lambda values, i: F.array(*map(F.lit, values))[i]
     long = of(moments, k + 1) - of(moments, k)
