@@ -35,7 +35,7 @@ from evalanvil.llm.answers import (
     word_bucket,
 )
 
-from evalanvil.llm.sampling import hash_share
+from evalanvil.llm.sampling import hash_share, lowest
 
 LABELS = ("empty", "truncated", "refusal", "copy", "language")
 #: Whether the words of an answer speak for a label: what is a copy or the wrong language only the prompt can tell.
@@ -708,9 +708,9 @@ def sampled(lines: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
 
 
 def sample_pairs(pairs: DataFrame, rows: int = SAMPLE_ROWS) -> list[tuple[str | None, str | None]]:
-    """A bounded, reproducible sample of (prompt, text): the rows with the lowest hashes of row_id."""
-    ordered = pairs.select("prompt", "text", F.xxhash64("row_id").alias("h"), "row_id").orderBy("h", "row_id")
-    return [(r["prompt"], r["text"]) for r in ordered.limit(rows).collect()]
+    """A reproducible sample of (prompt, text), bounded in rows and bytes: the rows with the lowest hashes of row_id."""
+    hashed = pairs.select("prompt", "text", F.xxhash64("row_id").alias("h"), "row_id")
+    return [(r["prompt"], r["text"]) for r in lowest(hashed, ["h", "row_id"], ["prompt", "text"], rows).collect()]
 
 
 def score_pairs(pairs: DataFrame, model: PairModel) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from evalanvil.llm.answers import _COMMON_SETS, lower_words, word_bucket
 from evalanvil.llm.holdout import HOLDOUT
-from evalanvil.llm.sampling import hash_share
+from evalanvil.llm.sampling import hash_share, lowest
 
 KINDS = ("prose", "list", "table", "junk")
 #: Bound of the training sample, in documents.
@@ -640,10 +640,10 @@ class QualityModel:
 
 
 def sample_texts(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = SAMPLE_DOCS) -> list[str]:
-    """A bounded, reproducible sample of texts: the rows with the lowest hashes of their ids."""
+    """A reproducible sample of texts, bounded in rows and bytes: the rows with the lowest hashes of their ids."""
     picked = documents.where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("t"), F.xxhash64(id_col).alias("h"))
     some = picked.where(hash_share(documents, F.col("h"), rows))
-    return [r["t"] for r in some.orderBy("h").limit(rows).collect()]
+    return [r["t"] for r in lowest(some, ["h", "t"], ["t"], rows).collect()]
 
 
 #: Counts of one row of `familiar_of`.

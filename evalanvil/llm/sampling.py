@@ -2,10 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Bound of a training sample in bytes, besides its bound in rows: texts may be very long.
+SAMPLE_BYTES = 128 << 20
+
+
+def lowest(df: DataFrame, order: list[str], texts: list[str], rows: int, size: int = SAMPLE_BYTES) -> DataFrame:
+    """The first `rows` rows by `order` that together hold at most `size` bytes of text, in that order.
+
+    The window runs over what the limit leaves, at most `rows` rows.
+    """
+    some = df.orderBy(*order).limit(rows)
+    each = sum((F.coalesce(F.octet_length(t), F.lit(0)).cast("long") for t in texts), F.lit(0).cast("long"))
+    so_far = F.sum(each).over(Window.partitionBy(F.lit(0)).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return some.withColumn("__bytes", so_far).where(F.col("__bytes") <= size).drop("__bytes").orderBy(*order)
+
+
 def hash_share(df: DataFrame, h: Column, rows: int) -> Column:
     """Whether a row's 64-bit hash is among about the lowest `rows` (and a quarter more) of df's.
 
