@@ -18,7 +18,9 @@ from evalanvil.operators.mathgrade import grade_answers
 from evalanvil.operators.scoring import SCORERS
 from evalanvil.operators.structured import common_errors, structured_summary
 from evalanvil.plans.problems import _EXPECTED, _NORM, _STRIP
-from evalanvil.plans.reference import _ANSWERS, _LINES, _PANEL, _PROMPTS, _SUMS, _VECTORS, _DRIFT, _answers, _expected, _lines, _panel, _prompts, _strata, _sums, subset_drift
+from evalanvil.plans.reference import (
+    _ANSWERS, _DRIFT, _LINES, _PANEL, _PROMPTS, _STRUCT, _SUMS, _VECTORS, _expected, _lines, _panel, _prompts, _strata, _sums, struct_validate, subset_drift,
+)
 from evalanvil.plans.session import cut, read_table, shared_dir
 from evalanvil.sources import catalog
 from evalanvil.sources.schemas import EVALS
@@ -165,21 +167,21 @@ def math_equivalence(spark: SparkSession, d: str) -> DataFrame:
     return read_table(spark, d, "part").select("p_partkey", grade_answers(pick(0), pick(1)).alias("is_correct"))
 
 
-def struct_facets(spark: SparkSession, d: str) -> DataFrame:
-    """The summary of structured answers over all facets; an answer passes here if it begins like data."""
-    return structured_summary(_begun(spark, d))
+def _json_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    """Verdicts on answers to prompts for JSON, with their errors as an array; a model stands for the kind of entity."""
+    errors = F.when(F.col("errors") == "", F.array().cast("array<string>")).otherwise(F.split("errors", ";"))
+    found = struct_validate(spark, d).where("output_format = 'json'")
+    return found.withColumns({"errors": errors, "entity_type": F.col("model")})
 
 
-def struct_errors(spark: SparkSession, d: str) -> DataFrame:
-    """How often each error occurs among answers to prompts for data."""
-    e = F.filter(F.array(F.when(~F.col("is_correct"), "no data"), F.when(F.contains("answer", F.lit("```")), "code block"), F.when(F.col("answer") == "", "blank")), lambda x: x.isNotNull())
-    return common_errors(_begun(spark, d).withColumn("errors", e))
+def struct_facets(spark: SparkSession, d: str) -> DataFrame:
+    """The summary of answers to prompts for JSON: in total, by format, structure and entity."""
+    return structured_summary(_json_verdicts(spark, d))
 
 
-def _begun(spark: SparkSession, d: str) -> DataFrame:
-    answers = _answers(spark, d, "ifstruct").withColumn("answer", F.coalesce("answer", F.lit("")))
-    flags = answers.select("answer", F.substring("answer", 1, 1).isin("{", "[").alias("is_correct"), F.when(F.contains("answer", F.lit("{")), "json").otherwise("other").alias("output_format"))
-    return flags.withColumns({"require_wrapper_key": F.col("is_correct") & (F.substring("answer", 1, 1) == "{"), "entity_type": (F.length("answer") % 3).cast("string")})
+def struct_errors(spark: SparkSession, d: str) -> DataFrame:
+    """How often each error occurs among answers to prompts for JSON."""
+    return common_errors(_json_verdicts(spark, d))
 
 
 def offending_ids(spark: SparkSession, d: str) -> DataFrame:
@@ -280,8 +282,6 @@ checked AS (
 flags AS (SELECT t.row_id, i.iid, coalesce(bool_or(c.ok) FILTER (c.whole), false) AS strict, coalesce(bool_or(c.ok), false) AS loose
   FROM texts t CROSS JOIN (SELECT unnest(['punctuation:no_comma', 'length_constraints:number_words', 'keywords:existence', 'keywords:frequency']) AS iid) i
   LEFT JOIN checked c ON c.row_id = t.row_id AND c.iid = i.iid GROUP BY ALL)"""
-_BEGUN = f"""b AS (SELECT a, left(a, 1) IN ('{{', '[') AS ok, CASE WHEN contains(a, '{{') THEN 'json' ELSE 'other' END AS f, left(a, 1) = '{{' AS w, CAST(length(a) % 3 AS VARCHAR) AS e
-  FROM (SELECT coalesce(answer, '') AS a FROM ({_ANSWERS}) WHERE eval_id = 'ifstruct'))"""
 _ORDERS = "SELECT o_custkey AS sample_id, o_orderpriority AS model, max(o_orderstatus = 'F') AS pass FROM orders GROUP BY ALL"
 
 ORACLES = {
@@ -306,10 +306,10 @@ ORACLES = {
         LEFT JOIN graded g ON g.method = d.method GROUP BY ALL
         UNION ALL SELECT 'math_500_unparsed_rate', coalesce(avg((method IN ('no_match', 'failed'))::INT), 0.0) FROM graded UNION ALL SELECT 'math_500_failed_rate', coalesce(avg((method = 'failed')::INT), 0.0) FROM graded""",
     "math_equivalence": "SELECT p_partkey, p_partkey % 10 IN (0, 2, 3, 6, 7, 8, 9) AS is_correct FROM part",
-    "struct_facets": f"""WITH {_BEGUN}, f AS (SELECT ok, unnest(['all', 'by_format', 'by_top_level_structure', 'by_entity_type']) AS facet, unnest(['', f, CASE WHEN w THEN 'wrapped' ELSE 'list' END, e]) AS value FROM b)
-        SELECT facet, value, CAST(sum(ok::INT) AS BIGINT) AS passed, count(*) AS total, sum(ok::INT) / count(*)::DOUBLE AS pass_rate FROM f GROUP BY ALL""",
-    "struct_errors": f"""WITH {_BEGUN} SELECT error, count(*) AS n FROM (SELECT unnest([CASE WHEN NOT ok THEN 'no data' END, CASE WHEN contains(a, '```') THEN 'code block' END, CASE WHEN a = '' THEN 'blank' END]) AS error FROM b)
-        WHERE error IS NOT NULL GROUP BY ALL""",
+    "struct_facets": f"""{_STRUCT}, facets AS (SELECT len(errors) = 0 AS ok, unnest(['all', 'by_format', 'by_top_level_structure', 'by_entity_type']) AS facet,
+          unnest(['', 'json', CASE WHEN wrap THEN 'wrapped' ELSE 'list' END, model]) AS value FROM y)
+        SELECT facet, value, CAST(sum(ok::INT) AS BIGINT) AS passed, count(*) AS total, sum(ok::INT) / count(*)::DOUBLE AS pass_rate FROM facets GROUP BY ALL""",
+    "struct_errors": f"{_STRUCT} SELECT error, count(*) AS n FROM (SELECT unnest(errors) AS error FROM y) GROUP BY ALL",
     "offending_ids": f"""WITH {_EXPECTED}, u AS (SELECT DISTINCT id FROM ({_LINES}) l ANTI JOIN expected USING (eval_id, dataset, id)),
         f AS (SELECT string_agg(id, ', ' ORDER BY encode(id)) AS first FROM (SELECT id FROM u ORDER BY encode(id) LIMIT 10)), n AS (SELECT count(*) AS n FROM u)
         SELECT 'unknown ids: ' || first || CASE WHEN n > 10 THEN ' (and ' || (n - 10) || ' more)' ELSE '' END AS message FROM f, n""",

@@ -538,15 +538,15 @@ b AS (SELECT *, CASE WHEN has THEN inside WHEN NOT bare AND span <> '' THEN span
 v AS (SELECT *, CASE WHEN json_valid(body) THEN body::JSON END AS value FROM b),
 i AS (SELECT *, CASE WHEN wrap THEN value->'items' WHEN json_type(value) = 'OBJECT' AND json_keys(value) = ['items'] THEN value->'items' ELSE value END AS items FROM v),
 e AS (SELECT *, CASE WHEN json_type(items) = 'ARRAY' THEN json_extract(items, '$[*]') ELSE [items] END AS each FROM i),
-x AS (SELECT row_id, model, CASE WHEN fence AND NOT has THEN 'no code block' END AS e1, CASE WHEN bare AND has AND around <> '' THEN 'commentary' END AS e2,
+x AS (SELECT row_id, model, wrap, CASE WHEN fence AND NOT has THEN 'no code block' END AS e1, CASE WHEN bare AND has AND around <> '' THEN 'commentary' END AS e2,
     CASE WHEN value IS NULL THEN 'no valid JSON' WHEN wrap AND items IS NULL THEN 'no wrapper key' END AS stop,
     CASE WHEN json_type(items) <> 'ARRAY' THEN 'not a list' WHEN json_array_length(items) <> n THEN 'wrong number of items' END AS e3,
     CASE WHEN len(list_filter(each, lambda o: NOT coalesce(json_type(o) = 'OBJECT' AND json_type(o->'name') = 'VARCHAR' AND (json_type(o->'count') IN ('UBIGINT', 'BIGINT', 'HUGEINT', 'UHUGEINT')
-      OR json_type(o->'count') = 'DOUBLE' AND CAST(o->'count' AS DOUBLE) = floor(CAST(o->'count' AS DOUBLE))), false))) > 0 THEN 'schema' END AS e4 FROM e)"""
+      OR json_type(o->'count') = 'DOUBLE' AND CAST(o->'count' AS DOUBLE) = floor(CAST(o->'count' AS DOUBLE))), false))) > 0 THEN 'schema' END AS e4 FROM e),
+y AS (SELECT *, list_filter([e1, e2, stop, CASE WHEN stop IS NULL THEN e3 END, CASE WHEN stop IS NULL THEN e4 END], lambda z: z IS NOT NULL) AS errors FROM x)"""
 
 ORACLES = {
-    "struct_json": f"""{_STRUCT} SELECT row_id, model, coalesce(concat_ws(';', e1, e2, stop, CASE WHEN stop IS NULL THEN e3 END, CASE WHEN stop IS NULL THEN e4 END), '') AS errors,
-        coalesce(e1, e2, stop, e3, e4) IS NULL AS is_correct FROM x""",
+    "struct_json": f"{_STRUCT} SELECT row_id, model, array_to_string(errors, ';') AS errors, len(errors) = 0 AS is_correct FROM y",
     "reasoning_strip": f"SELECT row_id, length(a) AS chars, sha256(a) AS answer_hash FROM (SELECT row_id, {_answer_sql('completion')} AS a FROM completions)",
     "mcq_choices": f"SELECT row_id, extracted, pattern FROM ({_CHOICES})",
     "mcq_accuracy": f"""SELECT model, CAST(sum(CAST(coalesce(extracted = chr(65 + CAST('0x' || id[1] AS INT) % 4), false) AS INT)) AS BIGINT) AS correct, count(*) AS total,
