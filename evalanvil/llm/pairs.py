@@ -710,7 +710,8 @@ def sampled(lines: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
 def sample_pairs(pairs: DataFrame, rows: int = SAMPLE_ROWS) -> list[tuple[str | None, str | None]]:
     """A reproducible sample of (prompt, text), bounded in rows and bytes: the rows with the lowest hashes of row_id."""
     hashed = pairs.select("prompt", "text", F.xxhash64("row_id").alias("h"), "row_id")
-    return [(r["prompt"], r["text"]) for r in lowest(hashed, ["h", "row_id"], ["prompt", "text"], rows).collect()]
+    found = lowest(hashed, ["h", "row_id"], ["prompt", "text"], rows).collect()
+    return [(r["prompt"], r["text"]) for r in sorted(found, key=lambda r: (r["h"], r["row_id"]))]
 
 
 def score_pairs(pairs: DataFrame, model: PairModel) -> DataFrame:

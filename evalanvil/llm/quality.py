@@ -643,7 +643,7 @@ def sample_texts(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
     """A reproducible sample of texts, bounded in rows and bytes: the rows with the lowest hashes of their ids."""
     picked = documents.where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("t"), F.xxhash64(id_col).alias("h"))
     some = picked.where(hash_share(documents, F.col("h"), rows))
-    return [r["t"] for r in lowest(some, ["h", "t"], ["t"], rows).collect()]
+    return [r["t"] for r in sorted(lowest(some, ["h", "t"], ["t"], rows).collect(), key=lambda r: (r["h"], r["t"]))]
 
 
 #: Counts of one row of `familiar_of`.

@@ -11,14 +11,15 @@ SAMPLE_BYTES = 128 << 20
 
 
 def lowest(df: DataFrame, order: list[str], texts: list[str], rows: int, size: int = SAMPLE_BYTES) -> DataFrame:
-    """The first `rows` rows by `order` that together hold at most `size` bytes of text, in that order.
+    """The first `rows` rows by `order` that together hold at most `size` bytes of text, in no particular order.
 
-    The window runs over what the limit leaves, at most `rows` rows.
+    The window runs over what the limit leaves, at most `rows` rows. Whoever collects them sorts
+    them: another sort here would read the table once more for its ranges.
     """
     some = df.orderBy(*order).limit(rows)
     each = sum((F.coalesce(F.octet_length(t), F.lit(0)).cast("long") for t in texts), F.lit(0).cast("long"))
     so_far = F.sum(each).over(Window.partitionBy(F.lit(0)).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return some.withColumn("__bytes", so_far).where(F.col("__bytes") <= size).drop("__bytes").orderBy(*order)
+    return some.withColumn("__bytes", so_far).where(F.col("__bytes") <= size).drop("__bytes")
 
 
 def hash_share(df: DataFrame, h: Column, rows: int) -> Column:
